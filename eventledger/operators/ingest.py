@@ -1,5 +1,7 @@
 """From request bodies to events on the log."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import ids, ingress
@@ -42,7 +44,7 @@ def decode_requests(bodies: DataFrame) -> DataFrame:
     return decoded.withColumn("reject_reason", reason).drop("_document", "_request", "well_formed")
 
 
-def new_events(requests: DataFrame) -> DataFrame:
+def new_events(requests: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Events of accepted requests (customer_id, items, idempotency_key, occurred_at).
 
     With a key both ids follow from it, so a client's retry meets the same ids.
@@ -62,14 +64,16 @@ def new_events(requests: DataFrame) -> DataFrame:
         F.col("customer_id"),
         F.col("items"),
         ingress.total_cents(F.col("items")).alias("total_cents"),
+        *keep,
     )
 
 
-def event_records(events: DataFrame) -> DataFrame:
+def event_records(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Key and value of each event for the log; the order id is the key."""
     value = event_json({c: F.col(c) for c in events.columns})
     return events.select(
         F.encode("order_id", "UTF-8").alias("key"),
         F.encode(value, "UTF-8").alias("value"),
         F.col("occurred_at").alias("timestamp"),
+        *keep,
     )

@@ -191,7 +191,20 @@ def classify(
     guarantees it; otherwise one extra aggregation looks for events on several
     orders and settles those exactly.
     """
-    judged = with_faults(decode_records(records), faults)
+    return classify_decoded(
+        decode_records(records), stored, faults, one_order_per_event, frequent_rows
+    )
+
+
+def classify_decoded(
+    decoded: DataFrame,
+    stored: DataFrame | None = None,
+    faults: DataFrame | None = None,
+    one_order_per_event: bool = False,
+    frequent_rows: int | None = None,
+) -> DataFrame:
+    """``classify`` for records that went through ``decode_records``."""
+    judged = with_faults(decoded, faults)
     eligible = judged.where(F.col("cause").isNull()).select(
         "partition", "offset", "event_id", "order_id"
     )

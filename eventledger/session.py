@@ -19,6 +19,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     for name, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
     return spark
 
 

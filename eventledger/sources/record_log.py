@@ -59,19 +59,22 @@ def append_records(
     end: DataFrame | None = None,
     partition: Column | None = None,
     keep: Sequence[str] = (),
+    order: Sequence[str] = (),
     width: int | None = None,
 ) -> DataFrame:
     """Place key/value/timestamp rows on the log: partition by key, dense offsets.
 
-    ``position`` is a unique whole number giving the order of arrival. ``end``
-    says where each partition continues; it has at most ``partitions`` rows.
+    ``position`` is a whole number giving the order of arrival, after the columns
+    of ``order`` and unique with them; it should be dense. ``end`` says where each partition continues; it has at most ``partitions`` rows.
     The result has the record schema, plus the columns of ``keep``.
     """
     placed = new.withColumn(
         "partition", partition_for(F.col("key"), partitions) if partition is None else partition
     )
     widths = {} if width is None else {"width": width}
-    numbered = number_rows(placed, position, group=["partition"], into="_number", **widths)
+    numbered = number_rows(
+        placed, position, group=["partition"], order=order, into="_number", **widths
+    )
     if end is not None:
         numbered = numbered.join(broadcast_up_to(end, partitions), "partition", "left")
         first = F.coalesce("next_offset", F.lit(0))
