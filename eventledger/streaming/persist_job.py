@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schemas as S
 from ..operators import persist, replay
-from ..operators.scale import broadcast_if_small
+from ..operators.scale import broadcast_up_to
 from ..sources.record_log import append_records, log_end
 from .retry import RetryPolicy, with_retry
 from .store import read_batches, write_batch
@@ -42,18 +42,18 @@ class PersistJob:
     faults: Callable[[DataFrame, int], DataFrame] | None = None
     sleep: Callable[[float], None] | None = None
 
-    def stored_ids(self, decoded: DataFrame, batch_id: int) -> DataFrame:
+    def stored_ids(self, decoded: DataFrame, batch_id: int, records: int) -> DataFrame:
         """Rows of earlier batches that share an order or an event with this one.
 
         This batch's own folder is left out: a retried batch must not meet its
         half-finished output. The store is scanned for two columns; it is only
-        shuffled if the batch has too many ids to broadcast.
+        shuffled if the batch has too many records to broadcast their ids.
         """
         store = read_batches(self.spark, self.store, S.STORE, without=batch_id)
 
         def ids(column: str) -> DataFrame:
             found = decoded.where(F.col(column).isNotNull()).select(column).distinct()
-            return broadcast_if_small(found.withColumn(f"_{column}", F.lit(True)))
+            return broadcast_up_to(found.withColumn(f"_{column}", F.lit(True)), records)
 
         return (
             store.select("order_id", "event_id")
@@ -68,7 +68,7 @@ class PersistJob:
         records = batch.select(*[f.name for f in S.RECORD.fields])
         decoded = persist.decode_records(records).persist()
         try:
-            stored = self.stored_ids(decoded, batch_id)
+            stored = self.stored_ids(decoded, batch_id, decoded.count())
             faults = self.faults(records, batch_id) if self.faults else None
             classified = persist.classify_decoded(decoded, stored, faults).persist()
             options = {"sleep": self.sleep} if self.sleep else {}
