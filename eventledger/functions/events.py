@@ -67,10 +67,9 @@ def event_fits(document: Column) -> Column:
     return F.when(kind.rlike(f"^(VOID|{_PLAIN_EVENT})$"), True).when(kind.isNotNull(), picked).otherwise(False)
 
 
-def event_of(document: Column) -> Column:
-    """Typed fields of a document that fits (the time still as text); a JSON null has none."""
-    typed = F.try_variant_get(document, "$", _TIME_AS_TEXT.simpleString())
-    return F.coalesce(typed, F.from_json(F.lit("{}"), _TIME_AS_TEXT))
+def event_of(value: Column) -> Column:
+    """Typed fields of a value whose document fits (the time still as text); a JSON null has none."""
+    return F.coalesce(F.from_json(value, _TIME_AS_TEXT), F.from_json(F.lit("{}"), _TIME_AS_TEXT))
 
 
 def event_time(typed: Column) -> Column:

@@ -1,5 +1,8 @@
 """Identifiers: deterministic UUIDs, UUID text, and record keys."""
 
+import re
+import uuid
+
 from pyspark.sql import Column, functions as F
 
 from ..schemas import ID_NAMESPACE
@@ -23,6 +26,13 @@ def canonical_uuid(text: Column) -> Column:
     return F.when(text.rlike(_CANONICAL), text).when(text.rlike(_UUID_TEXT), _hyphenated(digits))
 
 
+def canonical_uuid_text(text: str) -> str | None:
+    """``canonical_uuid`` for a single value on the driver."""
+    if not re.fullmatch(_UUID_TEXT, text):
+        return None
+    return str(uuid.UUID(re.sub("[-{}]", "", text)))
+
+
 def uuid_from_md5(name: Column) -> Column:
     """The 32 hex digits of an md5 cut like a UUID (test tables only)."""
     return _hyphenated(F.md5(name))

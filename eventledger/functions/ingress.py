@@ -36,9 +36,9 @@ def request_fits(document: Column) -> Column:
     return F.coalesce(shaped, F.lit(False))
 
 
-def request_fields(document: Column) -> Column:
-    """The request struct of a document that fits."""
-    return F.try_variant_get(document, "$", REQUEST.simpleString())
+def request_fields(body: Column) -> Column:
+    """The request struct of a body whose document fits."""
+    return F.from_json(body, REQUEST)
 
 
 def zero_filled_items(items: Column) -> Column:
@@ -55,7 +55,13 @@ def zero_filled_items(items: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return text.rlike(r"^(?U)\s*$")
+    """Nothing but white space, Unicode's included; plain text is settled by its first character."""
+    plain = F.trim(text)
+    return (
+        F.when(plain == "", True)
+        .when(F.ascii(plain).between(0x21, 0x7E), False)
+        .otherwise(text.rlike(r"^(?U)\s*$"))
+    )
 
 
 def validation_problems(customer_id: Column, items: Column) -> Column:

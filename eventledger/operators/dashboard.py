@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import DUPLICATE, PERSISTED, PRODUCE_BUCKETS
 from . import measure, series
+from .scale import side_by_side
 
 
 def tiles(
@@ -74,7 +75,4 @@ def tiles(
         p99_of("order_processing_duration_seconds_bucket", "p99_persist"),
         p99_of("order_end_to_end_latency_seconds_bucket", "p99_e2e"),
     ]
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.join(F.broadcast(part))
-    return row
+    return side_by_side(*parts)

@@ -16,14 +16,15 @@ VALIDATION = "validation"
 def decode_requests(bodies: DataFrame) -> DataFrame:
     """Strictly decode ``body``; keeps the other columns.
 
-    Adds customer_id, items, problems and reject_reason (NULL when accepted).
+    Adds customer_id, items, problems, total_cents (NULL beyond 64 bits) and
+    reject_reason (NULL when accepted).
     ``idempotency_key`` is checked first if the column is there, then the shape
     of the body, then its content. A body known to exceed the size limit may
     come as NULL: it is refused unread.
     """
     read = once(bodies, _document=ingress.request_document(F.col("body")))
     fitted = once(read, well_formed=ingress.request_fits(F.col("_document")))
-    request = F.when(F.col("well_formed"), ingress.request_fields(F.col("_document")))
+    request = F.when(F.col("well_formed"), ingress.request_fields(F.col("body")))
     typed = once(fitted, _request=request)
     filled = once(
         typed,
@@ -35,9 +36,10 @@ def decode_requests(bodies: DataFrame) -> DataFrame:
         problems=F.when(
             F.col("well_formed"), ingress.validation_problems(F.col("customer_id"), F.col("items"))
         ).otherwise(F.array().cast("array<string>")),
+        total_cents=ingress.total_cents(F.col("items")),
     )
     reason = F.when(~F.col("well_formed"), MALFORMED_BODY).when(
-        (F.size("problems") > 0) | ingress.total_cents(F.col("items")).isNull(), VALIDATION
+        (F.size("problems") > 0) | F.col("total_cents").isNull(), VALIDATION
     )
     if "idempotency_key" in bodies.columns:
         reason = F.when(~ingress.idempotency_key_ok(F.col("idempotency_key")), VALIDATION).otherwise(reason)

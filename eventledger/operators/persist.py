@@ -43,8 +43,7 @@ def decode_records(records: DataFrame) -> DataFrame:
     value = F.col("value").cast("string")
     listed = once(records, _listed=sealed(value))
     found = once(listed, _document=sealed_document(F.col("_listed"), value))
-    document = F.col("_document")
-    typed = once(found, _typed=F.when(event_fits(document), event_of(document)))
+    typed = once(found, _typed=F.when(event_fits(F.col("_document")), event_of(value)))
     ids = once(
         typed,
         _occurred_at=event_time(F.col("_typed")),
@@ -99,16 +98,19 @@ def _position(row: str = "") -> Column:
     )
 
 
-def _tangled_orders(claims: DataFrame) -> DataFrame:
-    """Orders sharing an event with another order."""
-    shared = (
-        claims.groupBy("event_id")
-        .agg(F.min("order_id").alias("_low"), F.max("order_id").alias("_high"))
-        .where(F.col("_low") != F.col("_high"))
-        .select("event_id")
+def _shared_events(claims: DataFrame) -> DataFrame:
+    """Events that several orders claim."""
+    orders = claims.groupBy("event_id").agg(
+        F.min("order_id").alias("_low"), F.max("order_id").alias("_high")
     )
-    # few events are shared, and they spread over the rows that name them
-    return claims.select("order_id", "event_id").distinct().join(shared, "event_id", "left_semi").select("order_id").distinct()
+    return orders.where(F.col("_low") != F.col("_high")).select("event_id")
+
+
+def _claims_of_tangled_orders(claims: DataFrame, shared: DataFrame) -> DataFrame:
+    """Every claim of an order that has a shared event."""
+    pairs = claims.select("order_id", "event_id").distinct()
+    orders = pairs.join(shared, "event_id", "left_semi").select("order_id").distinct()
+    return claims.join(orders, "order_id", "left_semi")
 
 
 def _settle_tangled(claims: DataFrame) -> DataFrame:
@@ -228,9 +230,9 @@ def classify_decoded(
     joined = joined.withColumn("verdict", F.when(F.col("cause").isNull(), verdict)).drop("first", "rows")
 
     if not one_order_per_event:
-        tangled = _tangled_orders(claims)
-        if not tangled.isEmpty():
-            exact = _settle_tangled(claims.join(tangled, "order_id", "left_semi"))
+        shared = _shared_events(claims)
+        if shared.agg(F.count("*")).first()[0] > 0:
+            exact = _settle_tangled(_claims_of_tangled_orders(claims, shared))
             joined = (
                 joined.join(
                     exact.where(F.col("partition") >= 0).withColumnRenamed("verdict", "_exact"),

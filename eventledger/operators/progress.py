@@ -1,6 +1,6 @@
 """How far each partition of the log has been dealt with."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .scale import broadcast_up_to, number_rows
 
@@ -72,8 +72,6 @@ def consumer_lag(end: DataFrame, committed: DataFrame) -> DataFrame:
 def partition_skew(log: DataFrame) -> DataFrame:
     """Records per partition, and each partition's share of the log."""
     sizes = log.groupBy("partition").agg(F.count("*").alias("records"))
-    total = sizes.agg(F.sum("records").alias("total"))
-    # one row on the right
-    return sizes.join(F.broadcast(total)).select(
-        "partition", "records", (F.col("records") / F.col("total")).alias("share")
-    )
+    # one row per partition
+    total = F.sum("records").over(Window.partitionBy(F.lit(0)))
+    return sizes.withColumn("share", F.col("records") / total)

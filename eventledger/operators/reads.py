@@ -4,26 +4,21 @@ from pyspark.sql import DataFrame, Row, functions as F
 
 from ..functions import paging
 from ..functions.events import rfc3339
-from ..functions.ids import canonical_uuid
+from ..functions.ids import canonical_uuid_text
 from ..schemas import ITEM, STORE
 from .scale import number_in_order
 
 COLUMNS = [f.name for f in STORE.fields]
 
 
-def _canonical(spark_frame: DataFrame, text: str) -> str:
-    spark = spark_frame.sparkSession
-    found = spark.range(1).select(canonical_uuid(F.lit(text)).alias("id")).first()["id"]
-    if found is None:
-        raise paging.InvalidArgument(f"invalid order_id: {text}")
-    return found
-
-
 def get_order(store: DataFrame, order_id: str) -> DataFrame:
     """The order, or no row: absence is a normal answer, malformed text is not."""
     if order_id == "":
         raise paging.InvalidArgument("order_id is required")
-    return store.where(F.col("order_id") == _canonical(store, order_id)).select(*COLUMNS)
+    wanted = canonical_uuid_text(order_id)
+    if wanted is None:
+        raise paging.InvalidArgument(f"invalid order_id: {order_id}")
+    return store.where(F.col("order_id") == wanted).select(*COLUMNS)
 
 
 def after_cursor(store: DataFrame, stamp: str, order_id: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schemas as S
 from ..functions import headers as H
 from .persist import dead_letter_error, decode_records
-from .scale import broadcast_if_small, broadcast_up_to, number_rows
+from .scale import broadcast_if_small, broadcast_up_to, number_rows, side_by_side
 
 ALL_REASONS = "all"
 REPLAY = "replay"
@@ -73,7 +73,7 @@ def up_to_limit(decided: DataFrame, limit: int, width: int | None = None) -> Dat
     """Records scanned until ``limit`` of them were replayed, in (partition, offset) order.
 
     Replayable records are numbered; the position of number ``limit`` ends the
-    scan (one row). A limit of 0 means none.
+    scan. A limit of 0 means none.
     """
     if limit <= 0:
         return decided
@@ -82,19 +82,10 @@ def up_to_limit(decided: DataFrame, limit: int, width: int | None = None) -> Dat
         decided.where(F.col("decision") == REPLAY).select("partition", "offset"),
         "offset", order=["partition"], into="_number", **widths,
     )
-    last = numbered.where(F.col("_number") == limit).select(
-        F.col("partition").alias("_p"), F.col("offset").alias("_o")
-    )
-    within = (F.col("partition") < F.col("_p")) | (
-        (F.col("partition") == F.col("_p")) & (F.col("offset") <= F.col("_o"))
-    )
-    # an aggregate without groups: always one row, NULL where the limit is not reached
-    end = last.agg(F.min("_p").alias("_p"), F.min("_o").alias("_o"))
-    return (
-        decided.join(F.broadcast(end))
-        .where(F.col("_p").isNull() | within)
-        .drop("_p", "_o")
-    )
+    last = numbered.where(F.col("_number") == limit)
+    # a single value, NULL where the limit is not reached
+    end = last.select(F.struct("partition", "offset")).scalar()
+    return decided.where(end.isNull() | (F.struct("partition", "offset") <= end))
 
 
 def replay_records(decided: DataFrame, now: Column) -> DataFrame:
@@ -144,11 +135,10 @@ def verify_replayed(ids: DataFrame, store: DataFrame) -> DataFrame:
     """
     wanted = ids.where(F.col("event_id") != "").select("event_id").distinct()
     found = store.select("event_id").join(broadcast_if_small(wanted), "event_id", "left_semi")
-    return (
-        wanted.agg(F.count("*").alias("checked"))
-        .join(F.broadcast(found.agg(F.count("*").alias("persisted"))))
-        .select("checked", "persisted", (F.col("checked") - F.col("persisted")).alias("missing"))
+    counted = side_by_side(
+        wanted.agg(F.count("*").alias("checked")), found.agg(F.count("*").alias("persisted"))
     )
+    return counted.withColumn("missing", F.col("checked") - F.col("persisted"))
 
 
 def replay_report(scanned: DataFrame) -> DataFrame:

@@ -46,6 +46,14 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One-row tables with different columns as one row."""
+    together = rows[0]
+    for row in rows[1:]:
+        together = together.unionByName(row, allowMissingColumns=True)
+    return together.agg(*[F.any_value(c, ignoreNulls=True).alias(c) for c in together.columns])
+
+
 def bucket_of(number: Column, width: int) -> Column:
     """Whole-number bucket; keeps all 64 bits, unlike a division of doubles."""
     return F.call_function("div", number.cast("bigint"), F.lit(width).cast("bigint"))

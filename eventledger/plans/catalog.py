@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .. import schemas as S
 from ..functions import failures, headers as H, ids, ingress, paging
 from ..operators import ingest, measure, persist, progress, reads, replay, series
+from ..operators.scale import side_by_side
 from ..session import prepare
 from ..sources import record_log as log_io, tables as T
 
@@ -136,7 +137,7 @@ def strict_decode(spark, sf_dir):
         F.coalesce(F.col("reject_reason") == ingest.MALFORMED_BODY, F.lit(False)).alias("malformed"),
         "customer_id",
         F.size("items").cast("bigint").alias("items"),
-        F.coalesce(ingress.total_cents(F.col("items")), F.lit(-1)).alias("total_cents"),
+        F.coalesce("total_cents", F.lit(-1)).alias("total_cents"),
         F.md5("body").alias("body_md5"),
     )
 
@@ -310,8 +311,10 @@ def order_id_collisions(spark, sf_dir):
 @query
 def poison_isolation(spark, sf_dir):
     """Per chunk of records: how many the bad ones among them did not take down."""
-    chunked = progress.offset_chunks(_outcomes(spark, sf_dir).select("partition", "offset", "outcome"), CHUNK)
-    return chunked.groupBy("partition", "chunk").agg(
+    log = T.record_log(spark, sf_dir)
+    chunked = progress.offset_chunks(log, CHUNK)
+    outcomes = persist.classify(chunked, faults=T.sink_faults(log), one_order_per_event=True)
+    return outcomes.groupBy("partition", "chunk").agg(
         F.count("*").alias("records"),
         F.count_if(F.col("outcome") == S.DEAD_LETTER).alias("parked"),
         F.count_if(F.col("outcome") != S.DEAD_LETTER).alias("applied"),
@@ -357,8 +360,7 @@ def replay_is_noop(spark, sf_dir):
     twice_stored = persist.insert_once(twice, faults).agg(
         F.count("*").alias("rows_twice"), fingerprint.alias("print_twice")
     )
-    # one row each
-    return once_stored.join(F.broadcast(twice_stored))
+    return side_by_side(once_stored, twice_stored)
 
 
 # --- progress -------------------------------------------------------------------

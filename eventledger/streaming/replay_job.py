@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..operators import replay
-from ..operators.scale import number_rows
+from ..operators.scale import number_rows, side_by_side
 from ..sources.record_log import append_records, log_end
 
 
@@ -83,5 +83,4 @@ class ReplayJob:
             return report
         ids = replay.with_event_id(scanned.where(F.col("decision") == replay.REPLAY)).select("event_id")
         verified = replay.verify_replayed(ids, store).select(F.struct("*").alias("verify"))
-        # one row each
-        return report.join(F.broadcast(verified))
+        return side_by_side(report, verified)
