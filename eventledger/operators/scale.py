@@ -166,8 +166,8 @@ def number_in_order(df: DataFrame, order: Sequence[Column], into: str = "row_num
     )
 
 
-# Whole numbers per bucket when quantiles are found by counting.
-VALUES_PER_BUCKET = 1 << 16
+# Low bits of a value inside its bucket when quantiles are found by counting.
+VALUE_BITS = 16
 
 CONTINUOUS = "cont"
 DISCRETE = "disc"
@@ -190,10 +190,12 @@ def exact_quantiles(
     nearest rank. Adds ``n`` and ``max`` of each group. Without ``by`` there is
     always one row, with n = 0 and NULL quantiles when there is no input.
     """
+    # never NULL after the filter; saying so lets both uses of the counts share one shuffle
+    number = F.coalesce(F.col(value).cast("bigint"), F.lit(0))
     counts = (
         df.where(F.col(value).isNotNull())
-        .select(*by, F.col(value).cast("bigint").alias("_v"))
-        .groupBy(*by, bucket_of(F.col("_v"), VALUES_PER_BUCKET).alias("_bucket"), "_v")
+        .select(*by, number.alias("_v"))
+        .groupBy(*by, F.shiftright("_v", VALUE_BITS).alias("_bucket"), "_v")
         .agg(F.count("*").alias("_c"))
     )
     everything = list(by) or [F.lit(0)]

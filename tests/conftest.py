@@ -11,7 +11,7 @@ from eventledger.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, shuffle_partitions=4)
+    return local_session(4, shuffle_partitions=2)
 
 
 @pytest.fixture()

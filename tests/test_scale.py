@@ -47,7 +47,7 @@ def test_lookup_spreads_frequent_and_missing_keys(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
 @pytest.mark.parametrize("width", [1, 7, 1 << 15])
