@@ -79,6 +79,9 @@ def lookup(
     columns = [c for c in right.columns if c != key]
     answer = F.struct(*[F.col(c) for c in columns])
 
+    # the join adds this filter to one use of ``right``; adding it to both keeps
+    # the two alike, so that what computes ``right`` runs once
+    right = right.where(F.col(key).isNotNull())
     frequent = (
         right.where(F.col(weight) >= threshold)
         .orderBy(F.desc(weight), F.asc(key))

@@ -34,6 +34,12 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        # as many partitions as cores: merging small ones would leave cores idle
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        # a test table is read by a single task; a broadcast join would keep the rest
+        # of the query in that task
+        .config("spark.sql.autoBroadcastJoinThreshold", "1m")
+        .config("spark.sql.adaptive.localShuffleReader.enabled", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

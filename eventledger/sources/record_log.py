@@ -66,7 +66,8 @@ def append_records(
 
     ``position`` is a whole number giving the order of arrival, after the columns
     of ``order`` and unique with them; it should be dense. ``end`` says where each partition continues; it has at most ``partitions`` rows.
-    The result has the record schema, plus the columns of ``keep``.
+    The result has the record schema, plus the columns of ``keep``. ``new`` is
+    read twice; checkpoint it first if it is costly to compute.
     """
     placed = new.withColumn(
         "partition", partition_for(F.col("key"), partitions) if partition is None else partition

@@ -46,7 +46,7 @@ def test_lookup_spreads_frequent_and_missing_keys(spark):
         assert len(sizes) == 8 and max(sizes) < 1.5 * 4000 / 8
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1m")
         spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
