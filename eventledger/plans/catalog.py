@@ -732,7 +732,7 @@ def histogram_quantile(spark, sf_dir):
     grown = series.counter_increase(_buckets(spark, sf_dir), WINDOW_US, [*series.SERIES, "le"])
     result = series.histogram_quantile(grown.where(F.col("increase").isNotNull()), 0.99, ["ts"], "increase")
     return result.where(F.col("quantile").isNotNull()).select(
-        _us("ts", "ts_us"), _rounded(F.col("quantile"), 6, "p99")
+        _us("ts", "ts_us"), _rounded(F.col("quantile"), 9, "p99")
     )
 
 
@@ -787,7 +787,7 @@ def dashboard_tiles(spark, sf_dir):
         frontier=progress.commit_frontier(T.accounted_for(log)),
     )
     return row.select(
-        *[_rounded(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)), 6, c) for c in row.columns]
+        *[_rounded(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)), 9, c) for c in row.columns]
     )
 
 

@@ -340,7 +340,7 @@ def _tiles() -> str:
         "p99_e2e": f"(SELECT p99 FROM quantiles WHERE {fresh})",
     }
     return "SELECT " + ", ".join(
-        f"round(coalesce(CAST({sql} AS DOUBLE), -1), 6) AS {name}" for name, sql in tiles.items()
+        f"round(coalesce(CAST({sql} AS DOUBLE), -1), 9) AS {name}" for name, sql in tiles.items()
     )
 
 
@@ -545,7 +545,7 @@ def all_sql() -> dict[str, str]:
             f"""SELECT epoch_us(ts) AS ts_us, label, round(sum(increase / {C.WINDOW_US / 1e6}), 9) AS rate FROM growth GROUP BY ts, label""",
             "growth"),
         "counter_rate_extrapolated": _with(_extrapolated(), "growth"),
-        "histogram_quantile": _with("SELECT epoch_us(ts) AS ts_us, round(p99, 6) AS p99 FROM quantiles", "quantiles"),
+        "histogram_quantile": _with("SELECT epoch_us(ts) AS ts_us, round(p99, 9) AS p99 FROM quantiles", "quantiles"),
         "lag_slope": _with(
             f"""SELECT epoch_us(ts) AS ts_us, label, round(slope, 6) AS slope FROM (
                 SELECT ts, label, regr_slope(value, (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6) OVER w AS slope, count(*) OVER w AS c
