@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from eventledger.llm.byte_pairs import SHIFT, Merges, byte_letters
-from eventledger.llm.common import arrow_map, text_or_empty
+from eventledger.llm.common import arrow_map, share, text_or_empty
 
 # Fixed value: the pattern whose matches are the words of a text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -204,7 +204,7 @@ class Decoder:
         return self.pending.decode(b"", final=True) if self.byte_level else ""
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Encodes every text and decodes it again.
 
     One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and
@@ -212,10 +212,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = False) -
     A null text counts as empty and has no tokens.
     """
     merges = Merges.load(tokenizer)
-    shared = docs.sparkSession.sparkContext.broadcast((merges, sufficient_lookahead(merges)))
+    shared = share(docs.sparkSession, (merges, sufficient_lookahead(merges)))
 
     def rows():
-        merges, lookahead = shared.value
+        merges, lookahead = shared()
         encode = encoder(merges, lookahead)
         tokens = {str(i): t.encode("utf-8") for i, t in merges.tokens.items()}
 
@@ -223,7 +223,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = False) -
             for doc_id, text in zip(ids, texts):
                 ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
                 kept: list[str] = []
-                decoded: list[bytes] = []
                 for joined in encode(text):
                     # without a decoder in the tokenizer's file a token is its own text
                     parts = joined.split(" ")
@@ -231,17 +230,16 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_text: bool = False) -
                     ids_hash.update(b" " + joined.encode() if n else joined.encode())
                     text_hash.update(b" " + spelled if n else spelled)
                     n += len(parts)
-                    if with_text:
+                    if with_ids:
                         kept.append(joined)
-                        decoded.append(spelled)
                 row = doc_id, n, ids_hash.hexdigest(), text_hash.hexdigest()
-                yield row + (" ".join(kept), b" ".join(decoded).decode()) if with_text else row
+                yield (*row, " ".join(kept)) if with_ids else row
 
         return handle
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return arrow_map(
         docs.select(F.col("doc_id").cast("bigint"), text_or_empty()),
-        schema + (", ids string, decoded string" if with_text else ""),
+        schema + (", ids string" if with_ids else ""),
         rows,
     )

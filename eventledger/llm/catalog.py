@@ -4,7 +4,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from eventledger.llm import bpe_stream, secret_scan, shards, token_counts, toxicity
+from eventledger.llm import (
+    bpe_stream,
+    decontaminate,
+    hilbert_ann,
+    line_dedup,
+    near_dedup,
+    secret_scan,
+    shards,
+    suffix_tree,
+    token_counts,
+    toxicity,
+)
 from eventledger.llm.common import read
 
 HELD_OUT_OF = 5
@@ -21,6 +32,11 @@ def remainder(doc_id: str = "doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % HELD_OUT_OF
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classes = near_dedup.near_classes(read(spark, sf_dir, "documents"))
+    return classes.select("doc_id", "class_id", "class_size", "text_id")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -57,24 +73,124 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(remainder() == 1, F.lit(False))
+    counts = suffix_tree.gather(docs.where(~held_out)).checkpoint()
+    scored = suffix_tree.score(docs, counts, suffix_tree.fit(counts))
+    return scored.select(
+        "doc_id",
+        held_out.alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
+def op7_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op8_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.encode_documents(
         read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
     )
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = line_dedup.line_verdicts(read(spark, sf_dir, "documents"))
+    every = F.when(F.col("n_lines") > 0, F.sequence(F.lit(0), F.col("n_lines") - 1)).otherwise(
+        F.array().cast("array<int>")
+    )
+    return verdicts.select(
+        "doc_id",
+        F.col("n_lines").cast("bigint").alias("n_lines"),
+        F.size("kept").cast("bigint").alias("n_kept"),
+        F.concat_ws(",", F.array_except(every, "kept").cast("array<string>")).alias("dropped_lines"),
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_near_dedup,
             op2_secret_scan,
             op3_byte_shards,
             op4_toxicity,
             op5_token_counts,
+            op6_suffix_tree,
+            op7_hilbert_ann,
             op8_bpe_stream,
+            op9_decontaminate,
+            op10_line_dedup,
         )
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL}
+
+
+OP9_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), x -> x <> '') AS w
+  FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)),
+widths AS (SELECT DISTINCT n FROM win),
+places AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s + n - 1], ' ') AS phrase
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, widths)),
+hits AS (SELECT p.doc_id, p.s, p.n, win.item_id FROM places p JOIN win USING (n, phrase)),
+words AS (SELECT doc_id, count(DISTINCT pos) AS n_hit
+  FROM (SELECT doc_id, unnest(range(s, s + n)) AS pos FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS items_sha256
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
+  coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP10_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) - 1 AS no
+  FROM documents),
+full_lines AS (SELECT doc_id, no, line FROM l WHERE trim(line) <> ''),
+firsts AS (
+  SELECT line, min(doc_id::HUGEINT * 1000000000 + no) AS place, string_split(line, ' ') AS w
+  FROM full_lines GROUP BY line),
+long AS (SELECT place, w, len(w) AS n FROM firsts WHERE len(w) >= 10),
+cut AS (SELECT place, n, i, md5(array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ')) AS rest
+  FROM (SELECT place, w, n, unnest(range(1, n + 1)) AS i FROM long)),
+changed AS (
+  SELECT place FROM (SELECT place, min(place) OVER (PARTITION BY n, i, rest) AS low FROM cut) WHERE low < place),
+whole AS (SELECT place, n, md5(array_to_string(w, ' ')) AS rest FROM long),
+pairs AS (SELECT w.place AS a, c.place AS b FROM whole w JOIN cut c ON w.n = c.n - 1 AND w.rest = c.rest),
+near AS (SELECT place FROM changed UNION SELECT greatest(a, b) FROM pairs),
+kept AS (SELECT place FROM firsts WHERE place NOT IN (SELECT place FROM near)),
+judged AS (
+  SELECT l.doc_id, l.no, trim(l.line) = '' OR k.place IS NOT NULL AS stays
+  FROM l LEFT JOIN kept k ON k.place = l.doc_id::HUGEINT * 1000000000 + l.no)
+SELECT d.doc_id, count(j.no)::BIGINT AS n_lines, count(j.no) FILTER (WHERE j.stays)::BIGINT AS n_kept,
+  coalesce(string_agg(j.no::VARCHAR, ',' ORDER BY j.no) FILTER (WHERE NOT j.stays), '') AS dropped_lines
+FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""

@@ -1,8 +1,10 @@
 """Small helpers shared by the operators of this folder."""
 
+import pickle
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from eventledger.session import prepare
@@ -26,6 +28,15 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     )
 
 
+def share(spark: SparkSession, value) -> Callable:
+    """Sends a value to the executors once; the returned function gives it in a task.
+
+    It travels pickled by value, like the functions of this folder.
+    """
+    sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(sent.value)
+
+
 def arrow_map(
     df: DataFrame,
     schema: str,

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from eventledger.llm.byte_pairs import Merges, byte_letters
-from eventledger.llm.common import arrow_map, text_or_empty
+from eventledger.llm.common import arrow_map, share, text_or_empty
 
 # Fixed value: the pattern that cuts a text into pieces before the merges.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -153,10 +153,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     (bounded by its file) is sent to the tasks once.
     """
     merges = Merges.load(tokenizer)
-    shared = docs.sparkSession.sparkContext.broadcast((merges, proved_whole(merges)))
+    shared = share(docs.sparkSession, (merges, proved_whole(merges)))
 
     def rows():
-        count = token_counter(*shared.value)
+        count = token_counter(*shared())
 
         def handle(ids, texts):
             for doc_id, text in zip(ids, texts):

@@ -13,9 +13,10 @@ import re
 import unicodedata
 
 import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from eventledger.llm.common import arrow_map, text_or_empty
+from eventledger.llm.common import arrow_map, share, text_or_empty
 
 # Bounds of what the lexicon is fitted on and of its size.
 SAMPLE_DOCUMENTS = 20_000
@@ -257,11 +258,11 @@ def score(docs: DataFrame, lexicon: Lexicon, columns: tuple[str, ...] = ("doc_id
 
     A null text counts as empty; a text without hits has the score of the offset.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    shared = share(docs.sparkSession, lexicon)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def rows():
-        lexicon = shared.value
+        lexicon = shared()
         match = lexicon.matcher()
 
         def handle(texts, *others):
@@ -278,3 +279,18 @@ def score(docs: DataFrame, lexicon: Lexicon, columns: tuple[str, ...] = ("doc_id
         schema + ", score double, predicted int, hits int",
         rows,
     )
+
+
+def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    shared = share(docs.sparkSession, lexicon)
+
+    def keep(batches):
+        lexicon = shared()
+        match = lexicon.matcher()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            clean = [lexicon.probability(lexicon.evidence(*match(t or ""))) < 0.5 for t in texts]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
