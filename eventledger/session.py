@@ -1,8 +1,9 @@
 """Session settings the package relies on, and the shared scratch folder."""
 
 import hashlib
-import os
+import re
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,12 +52,20 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is named."""
+    """The cluster's checkpoint folder.
+
+    Where none is named, a temporary folder serves a session whose master is
+    local. On a cluster each executor would write to a disk of its own, so that
+    is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if named:
         return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="eventledger-")
@@ -71,13 +80,29 @@ def run_folder(spark: SparkSession, *parts: str) -> str:
 _tables: dict[tuple[str, str, str], str] = {}
 
 
-def table_of(spark: SparkSession, name: str, sf_dir: str, build) -> DataFrame:
+def input_version(spark: SparkSession, path: str) -> str:
+    """Changes when a file below ``path`` is added, removed or rewritten."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return ""
+    files, seen = system.listFiles(root, True), []
+    while files.hasNext():
+        file = files.next()
+        seen.append(f"{file.getPath()} {file.getLen()} {file.getModificationTime()}")
+    return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def table_of(spark: SparkSession, name: str, sf_dir: str, inputs: Sequence[str], build) -> DataFrame:
     """Write ``build()`` once per application as a Parquet table and read it back.
 
-    Used for the two record logs, which in production are stored logs rather
-    than something recomputed by each reader.
+    Used for what in production is a stored table (the two record logs, the
+    orders) rather than something recomputed by each reader. Built again when
+    one of its ``inputs`` has changed.
     """
-    where = (spark.sparkContext.applicationId, name, os.path.normpath(sf_dir))
+    root = sf_dir.rstrip("/")
+    version = ":".join(input_version(spark, f"{root}/{i}.parquet") for i in inputs)
+    where = (spark.sparkContext.applicationId, name, f"{root} {version}")
     if where not in _tables:
         tag = hashlib.md5(where[2].encode()).hexdigest()[:12]
         path = run_folder(spark, f"{name}-{tag}")

@@ -204,7 +204,7 @@ def place_on_log(arriving: DataFrame) -> DataFrame:
 def record_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The source log (record schema plus the event number ``n``), stored once per application."""
     prepare(spark)
-    return table_of(spark, "record_log", sf_dir, lambda: place_on_log(arriving_records(spark, sf_dir)))
+    return table_of(spark, "record_log", sf_dir, ["events"], lambda: place_on_log(arriving_records(spark, sf_dir)))
 
 
 def sink_faults(log: DataFrame) -> DataFrame:
@@ -250,7 +250,7 @@ def dead_letter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dead-letter log, stored once per application."""
     prepare(spark)
     return table_of(
-        spark, "dead_letter_log", sf_dir, lambda: place_dead_letters(classified_log(spark, sf_dir))
+        spark, "dead_letter_log", sf_dir, ["events"], lambda: place_dead_letters(classified_log(spark, sf_dir))
     )
 
 
