@@ -64,11 +64,22 @@ def is_blank(text: Column) -> Column:
     )
 
 
-def validation_problems(customer_id: Column, items: Column) -> Column:
-    """Every problem of a request, in order; empty when it is acceptable."""
+# The items of a request that have a problem, with their place in the list.
+FAULTY = "array<struct<at:bigint,sku:string,quantity:bigint,unit_price_cents:bigint>>"
+
+
+def item_is_faulty(item: Column) -> Column:
+    return is_blank(item["sku"]) | (item["quantity"] <= 0) | (item["unit_price_cents"] < 0)
+
+
+def problems_of(customer_id: Column, n_items: Column, faulty: Column) -> Column:
+    """Every problem of a request, in order; empty when it is acceptable.
+
+    ``faulty`` has the type FAULTY; items without a problem may be in it too.
+    """
 
-    def of_item(it: Column, i: Column) -> Column:
-        at = F.concat(F.lit("items["), i.cast("string"), F.lit("]."))
+    def of_item(it: Column) -> Column:
+        at = F.concat(F.lit("items["), it["at"].cast("string"), F.lit("]."))
         return F.array(
             F.when(is_blank(it["sku"]), F.concat(at, F.lit("sku is required"))),
             F.when(it["quantity"] <= 0, F.concat(at, F.lit("quantity must be > 0"))),
@@ -77,9 +88,20 @@ def validation_problems(customer_id: Column, items: Column) -> Column:
 
     whole = F.array(
         F.when(is_blank(customer_id), F.lit("customer_id is required")),
-        F.when(F.size(items) == 0, F.lit("at least one item is required")),
+        F.when(n_items == 0, F.lit("at least one item is required")),
+    )
+    return F.array_compact(F.concat(whole, F.flatten(F.transform(faulty, of_item))))
+
+
+def validation_problems(customer_id: Column, items: Column) -> Column:
+    """The same for a request with the list of its items."""
+    placed = F.transform(
+        items,
+        lambda it, i: F.struct(i.cast("bigint").alias("at"), it["sku"], it["quantity"], it["unit_price_cents"]).cast(
+            "struct<at:bigint,sku:string,quantity:bigint,unit_price_cents:bigint>"
+        ),
     )
-    return F.array_compact(F.concat(whole, F.flatten(F.transform(items, of_item))))
+    return problems_of(customer_id, F.size(items), placed)
 
 
 def validation_message(problems: Column) -> Column:

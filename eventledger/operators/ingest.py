@@ -19,8 +19,7 @@ def decode_requests(bodies: DataFrame) -> DataFrame:
     Adds customer_id, items, problems, total_cents (NULL beyond 64 bits) and
     reject_reason (NULL when accepted).
     ``idempotency_key`` is checked first if the column is there, then the shape
-    of the body, then its content. A body known to exceed the size limit may
-    come as NULL: it is refused unread.
+    of the body, then its content. A body over the size limit is refused unread.
     """
     read = once(bodies, _document=ingress.request_document(F.col("body")))
     fitted = once(read, well_formed=ingress.request_fits(F.col("_document")))
@@ -49,6 +48,8 @@ def decode_requests(bodies: DataFrame) -> DataFrame:
 def new_events(requests: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Events of accepted requests (customer_id, items, idempotency_key, occurred_at).
 
+    Where the items are not at hand, their total may come as ``total_cents``.
+
     With a key both ids follow from it, so a client's retry meets the same ids.
     Without one they are random; write the result before using it twice.
     """
@@ -64,8 +65,8 @@ def new_events(requests: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         an_id("order:").alias("order_id"),
         F.col("occurred_at"),
         F.col("customer_id"),
-        F.col("items"),
-        ingress.total_cents(F.col("items")).alias("total_cents"),
+        *([F.col("items")] if "items" in requests.columns else []),
+        F.col("total_cents") if "items" not in requests.columns else ingress.total_cents(F.col("items")).alias("total_cents"),
         *keep,
     )
 

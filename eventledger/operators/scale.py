@@ -116,11 +116,13 @@ def number_rows(
     order: Sequence[str] = (),
     into: str = "row_number",
     width: int = POSITIONS_PER_BUCKET,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Dense row numbers from 1 within ``group``, by ``order`` then ``position``.
 
     ``position`` is an integer, unique within (group, order); a bucket of
     ``width`` consecutive positions therefore holds at most ``width`` rows.
+    Where positions repeat, ``ties`` orders the rows of one.
     Rows are numbered inside their bucket, and a running count over the buckets
     supplies what came before, so no task ever sorts a whole group.
     """
@@ -131,7 +133,7 @@ def number_rows(
     )
     sizes = bucketed.groupBy(*keys).agg(F.count("*").alias("_rows"))
     starts = sizes.select(*keys, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys).orderBy(position)
+    inside = Window.partitionBy(*keys).orderBy(position, *ties)
     return (
         bucketed.withColumn("_inside", F.row_number().over(inside))
         .join(starts, keys, "left")

@@ -177,7 +177,7 @@ def lenient_decode(spark, sf_dir):
 @query
 def validate_requests(spark, sf_dir):
     requests = T.order_requests(spark, sf_dir)
-    problems = ingress.validation_problems(F.col("customer_id"), F.col("items"))
+    problems = ingress.problems_of(F.col("customer_id"), F.col("n_items"), F.col("faulty"))
     return requests.select(
         "order_key",
         F.coalesce(ingress.validation_message(problems), F.lit("")).alias("message"),
@@ -192,16 +192,24 @@ def validate_idempotency_key(spark, sf_dir):
 
 @query
 def order_totals(spark, sf_dir):
-    return T.order_requests(spark, sf_dir).select(
-        "order_key", ingress.total_cents(F.col("items")).alias("total_cents")
-    )
+    return T.order_requests(spark, sf_dir).select("order_key", "total_cents")
 
 
 @query
 def derive_ids(spark, sf_dir):
-    keyed = T.order_requests(spark, sf_dir).where(F.col("idempotency_key") != "")
-    return ingest.new_events(keyed).select(
-        "event_id", "order_id", "customer_id", "total_cents", _us("occurred_at", "occurred_us")
+    """Ids of every request: those that follow from a key are shown, the random ones judged by their form."""
+    events = ingest.new_events(T.order_requests(spark, sf_dir), keep=["order_key", "idempotency_key"])
+    keyed = F.col("idempotency_key") != ""
+    form = lambda version: rf"^[0-9a-f]{{8}}-[0-9a-f]{{4}}-{version}[0-9a-f]{{3}}-[89ab][0-9a-f]{{3}}-[0-9a-f]{{12}}$"
+    well_formed = lambda c: F.when(keyed, F.col(c).rlike(form(5))).otherwise(F.col(c).rlike(form(4)))
+    return events.select(
+        "order_key",
+        F.when(keyed, F.col("event_id")).otherwise("").alias("event_id"),
+        F.when(keyed, F.col("order_id")).otherwise("").alias("order_id"),
+        (well_formed("event_id") & well_formed("order_id") & (F.col("event_id") != F.col("order_id"))).alias("well_formed"),
+        "customer_id",
+        "total_cents",
+        _us("occurred_at", "occurred_us"),
     )
 
 

@@ -382,8 +382,9 @@ def all_sql() -> dict[str, str]:
         "validate_idempotency_key": "SELECT o_orderkey AS order_key, o_orderkey % 7 IN (0, 2, 6) AS ok FROM orders",
         "order_totals": _with("SELECT k AS order_key, total AS total_cents FROM asked", "asked"),
         "derive_ids": _with(
-            f"""SELECT {_uuid5("'event:'||idk")} AS event_id, {_uuid5("'order:'||idk")} AS order_id, customer AS customer_id,
-                total AS total_cents, epoch_us(asked_at) AS occurred_us FROM asked WHERE idk <> ''""", "asked"),
+            f"""SELECT k AS order_key, CASE WHEN idk = '' THEN '' ELSE {_uuid5("'event:'||idk")} END AS event_id,
+                CASE WHEN idk = '' THEN '' ELSE {_uuid5("'order:'||idk")} END AS order_id, true AS well_formed,
+                customer AS customer_id, total AS total_cents, epoch_us(asked_at) AS occurred_us FROM asked""", "asked"),
         "rejections_by_reason": _with("SELECT reason, count(*) AS n FROM rejected GROUP BY reason", "rejected"),
         "order_json": _with(
             f"""SELECT order_id, '{{"order_id":"'||order_id||'","event_id":"'||event_id||'","customer_id":"'||customer_id||

@@ -7,6 +7,7 @@ independent query can say what must come out.
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
+from ..functions import ingress
 from ..functions.events import event_json
 from ..functions.ids import uuid_from_md5
 from ..operators import persist, replay
@@ -17,13 +18,6 @@ from .record_log import append_records
 PARTITIONS = 3
 DLQ_PARTITIONS = 3
 
-# Bytes of the shortest item in a body: {"sku":"SKU-0","quantity":0,"unit_price_cents":0}
-# and a comma. An order with more lines than fit in the size limit is known to be
-# refused without building its body.
-SHORTEST_ITEM = 50
-MOST_ITEMS = S.MAX_BODY_BYTES // SHORTEST_ITEM
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -31,82 +25,135 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 # --- ingest ---------------------------------------------------------------
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(order_key, items): the lines of each order as a list, in a fixed order.
+LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
-    Orders with more lines than any acceptable body can hold are left out
-    before their lines are gathered; ``oversized_orders`` names them.
-    """
-    lines = _lines(spark, sf_dir)
-    in_order = F.sort_array(
-        F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"))
-    )
-    item = lambda x: F.struct(
-        F.concat(F.lit("SKU-"), x["l_partkey"].cast("string")).alias("sku"),
-        x["l_quantity"].cast("bigint").alias("quantity"),
-        F.floor(x["l_extendedprice"]).cast("bigint").alias("unit_price_cents"),
-    )
-    return (
-        lines.join(oversized_orders(spark, sf_dir), "order_key", "left_anti")
-        .groupBy("order_key")
-        .agg(F.transform(in_order, item).alias("items"))
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order_key"), *LINE_ORDER)
+
+
+def _item(line: Column) -> Column:
+    return F.struct(
+        F.concat(F.lit("SKU-"), line["l_partkey"].cast("string")).alias("sku"),
+        line["l_quantity"].cast("bigint").alias("quantity"),
+        F.floor(line["l_extendedprice"]).cast("bigint").alias("unit_price_cents"),
     )
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").select(
-        F.col("l_orderkey").alias("order_key"),
-        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+def _first_item(item: Column) -> Column:
+    """The first item of an order with the faults planted in it."""
+    key = F.col("order_key")
+    return F.struct(
+        F.when(key % 107 == 0, "").otherwise(item["sku"]).alias("sku"),
+        F.when(key % 103 == 0, 0).otherwise(item["quantity"]).cast("bigint").alias("quantity"),
+        F.when(key % 109 == 0, -1).otherwise(item["unit_price_cents"]).cast("bigint").alias("unit_price_cents"),
     )
 
 
-def oversized_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = _lines(spark, sf_dir).groupBy("order_key").agg(F.count("*").alias("_lines"))
-    return counted.where(F.col("_lines") > MOST_ITEMS).select("order_key")
+def _price(item: Column) -> Column:
+    wide = "decimal(19,0)"
+    return (item["unit_price_cents"].cast(wide) * item["quantity"].cast(wide)).cast("decimal(38,0)")
 
 
-def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_key, customer_id, items, idempotency_key, occurred_at, oversized; faults planted."""
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """order_key, customer_id, idempotency_key, occurred_at; faults planted."""
     key = F.col("order_key")
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("order_key"), "o_custkey", F.col("o_orderdate").cast("timestamp").alias("occurred_at")
     )
-    joined = orders.join(order_lines(spark, sf_dir), "order_key", "left").join(
-        oversized_orders(spark, sf_dir).withColumn("oversized", F.lit(True)), "order_key", "left"
-    )
-    no_items = F.array().cast(S.REQUEST["items"].dataType)
-
-    def first_item(x: Column, i: Column) -> Column:
-        return F.struct(
-            F.when((i == 0) & (key % 107 == 0), "").otherwise(x["sku"]).alias("sku"),
-            F.when((i == 0) & (key % 103 == 0), 0).otherwise(x["quantity"]).cast("bigint").alias("quantity"),
-            F.when((i == 0) & (key % 109 == 0), -1).otherwise(x["unit_price_cents"]).cast("bigint").alias("unit_price_cents"),
-        )
-
-    return joined.select(
+    return orders.select(
         key,
         F.when(key % 101 == 0, "   ").otherwise(F.concat(F.lit("cust-"), F.col("o_custkey").cast("string"))).alias("customer_id"),
-        F.coalesce(F.transform("items", first_item), no_items).alias("items"),
         F.when(key % 10 <= 1, F.concat(F.lit("checkout-"), (key - key % 2).cast("string"))).otherwise("").alias("idempotency_key"),
         "occurred_at",
-        F.coalesce("oversized", F.lit(False)).alias("oversized"),
+    )
+
+
+def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a request whose items are not gathered.
+
+    order_key, customer_id, idempotency_key, occurred_at, n_items, total_cents
+    (NULL beyond 64 bits), faulty (the items with a problem: at, sku, quantity,
+    unit_price_cents). An order may have any number of lines: totals are sums,
+    and only faulty lines are numbered and collected.
+    """
+    line = F.struct(*LINE_ORDER)
+    lines = _lines(spark, sf_dir)
+    bad = F.coalesce(ingress.item_is_faulty(_item(F.col("line"))), F.lit(False))
+    marked = lines.select("order_key", line.alias("line")).withColumn("bad", bad)
+    per_order = marked.groupBy("order_key").agg(
+        F.count("*").alias("n_items"),
+        _item(F.min("line")).alias("first"),
+        F.sum(_price(_item(F.col("line")))).alias("listed"),
+        F.count_if("bad").alias("n_bad"),
+    )
+    # where lines after the first are faulty, their places are needed
+    some_bad = per_order.where(F.col("n_bad") > 0).select("order_key")
+    placed = number_rows(
+        lines.join(some_bad, "order_key", "left_semi"), "l_linenumber", group=["order_key"], into="_number",
+        ties=LINE_ORDER[1:], width=1,
+    )
+    item = _item(F.struct(*LINE_ORDER))
+    later = (
+        placed.where((F.col("_number") > 1) & F.coalesce(ingress.item_is_faulty(item), F.lit(False)))
+        .groupBy("order_key")
+        .agg(F.sort_array(F.collect_list(_at(F.col("_number") - 1, item))).alias("later"))
+    )
+    planted = _first_item(F.col("first"))
+    none = F.array().cast(ingress.FAULTY)
+    first_faulty = F.when(
+        F.col("n_items").isNotNull() & F.coalesce(ingress.item_is_faulty(planted), F.lit(False)),
+        F.array(_at(F.lit(0).cast("bigint"), planted)),
+    )
+    total = F.col("listed") - _price(F.col("first")) + _price(planted)
+    return (
+        _orders(spark, sf_dir)
+        .join(per_order, "order_key", "left")
+        .join(later, "order_key", "left")
+        .select(
+            "order_key",
+            "customer_id",
+            "idempotency_key",
+            "occurred_at",
+            F.coalesce("n_items", F.lit(0)).alias("n_items"),
+            F.when(F.col("n_items").isNull(), 0).otherwise(total.try_cast("bigint")).alias("total_cents"),
+            F.concat(F.coalesce(first_faulty, none), F.coalesce("later", none)).alias("faulty"),
+        )
+    )
+
+
+def _at(place: Column, item: Column) -> Column:
+    return F.struct(
+        place.cast("bigint").alias("at"),
+        item["sku"].alias("sku"),
+        item["quantity"].alias("quantity"),
+        item["unit_price_cents"].alias("unit_price_cents"),
     )
 
 
 def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """order_key, body (JSON text, NULL where it would be too large), idempotency_key, occurred_at."""
-    requests = order_requests(spark, sf_dir)
+    """order_key, body (JSON text), idempotency_key, occurred_at.
+
+    A body is one value, so the lines of an order meet in one row here; the
+    decoder then judges its size.
+    """
     key = F.col("order_key")
-    plain = F.to_json(F.struct("customer_id", "items"))
+    in_order = F.sort_array(F.collect_list(F.struct(*LINE_ORDER)))
+    listed = _lines(spark, sf_dir).groupBy("order_key").agg(F.transform(in_order, _item).alias("items"))
+    joined = _orders(spark, sf_dir).join(listed, "order_key", "left")
+    no_items = F.array().cast(S.REQUEST["items"].dataType)
+    items = F.coalesce(
+        F.transform("items", lambda x, i: F.when(i == 0, _first_item(x)).otherwise(x)), no_items
+    )
+    plain = F.to_json(F.struct("customer_id", items.alias("items")))
     body = (
-        F.when(F.col("oversized"), F.lit(None).cast("string"))
-        .when(key % 113 == 0, "{")
+        F.when(key % 113 == 0, "{")
         .when(key % 127 == 0, F.concat(F.expr("left(body, length(body) - 1)"), F.lit(',"discount":5}')))
         .when(key % 131 == 0, F.regexp_replace("body", '"quantity":[0-9]+', '"quantity":1.5'))
         .when(key % 137 == 0, F.regexp_replace("body", '"customer_id":"[^"]*"', '"customer_id":7'))
         .otherwise(F.col("body"))
     )
-    return requests.withColumn("body", plain).select(key, body.alias("body"), "idempotency_key", "occurred_at")
+    return joined.withColumn("body", plain).select(key, body.alias("body"), "idempotency_key", "occurred_at")
 
 
 def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
