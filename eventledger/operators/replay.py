@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import schemas as S
 from ..functions import headers as H
 from .persist import dead_letter_error, decode_records
-from .scale import broadcast_if_small, broadcast_up_to, number_rows, side_by_side
+from .scale import broadcast_up_to, side_by_side
 
 ALL_REASONS = "all"
 REPLAY = "replay"
@@ -69,22 +69,23 @@ def replay_decisions(
     )
 
 
-def up_to_limit(decided: DataFrame, limit: int, width: int | None = None) -> DataFrame:
+def up_to_limit(decided: DataFrame, limit: int) -> DataFrame:
     """Records scanned until ``limit`` of them were replayed, in (partition, offset) order.
 
-    Replayable records are numbered; the position of number ``limit`` ends the
-    scan. A limit of 0 means none.
+    The first ``limit`` replayable positions are a bounded top-n; the last of them
+    ends the scan. A limit of 0 means none.
     """
     if limit <= 0:
         return decided
-    widths = {} if width is None else {"width": width}
-    numbered = number_rows(
-        decided.where(F.col("decision") == REPLAY).select("partition", "offset"),
-        "offset", order=["partition"], into="_number", **widths,
+    last = (
+        decided.where(F.col("decision") == REPLAY)
+        .select("partition", "offset")
+        .orderBy("partition", "offset")
+        .limit(limit)
+        .agg(F.count("*").alias("n"), F.max(F.struct("partition", "offset")).alias("end"))
     )
-    last = numbered.where(F.col("_number") == limit)
     # a single value, NULL where the limit is not reached
-    end = last.select(F.struct("partition", "offset")).scalar()
+    end = last.select(F.when(F.col("n") == limit, F.col("end"))).scalar()
     return decided.where(end.isNull() | (F.struct("partition", "offset") <= end))
 
 
@@ -131,10 +132,10 @@ def offsets_after(scanned: DataFrame, group_id: str, topic: str) -> DataFrame:
 def verify_replayed(ids: DataFrame, store: DataFrame) -> DataFrame:
     """One row: distinct ids checked, found in the store, missing.
 
-    The store is scanned for one column and, while the ids are few, not shuffled.
+    The store is scanned for one column; how the two meet is left to the planner.
     """
     wanted = ids.where(F.col("event_id") != "").select("event_id").distinct()
-    found = store.select("event_id").join(broadcast_if_small(wanted), "event_id", "left_semi")
+    found = store.select("event_id").join(wanted, "event_id", "left_semi")
     counted = side_by_side(
         wanted.agg(F.count("*").alias("checked")), found.agg(F.count("*").alias("persisted"))
     )
@@ -142,20 +143,43 @@ def verify_replayed(ids: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def replay_report(scanned: DataFrame) -> DataFrame:
-    """One row: scanned, replayed, unreadable, and the skipped ones by reason, sorted."""
+    """One row: scanned, replayed, failed, unreadable, and the skipped ones by reason, sorted."""
+    return report_of(with_event_id(scanned))
+
+
+# Reasons beyond this many different ones are counted together.
+REASONS_SHOWN = 50
+OTHER_REASONS = "other"
+
+
+def report_of(read: DataFrame) -> DataFrame:
+    """The report of records that went through ``with_event_id``.
+
+    ``failed`` is 0 here; a job that could not send records counts them there. A
+    reason is a text of the record's headers and not bounded: the most frequent
+    ones are named, the rest counted as one.
+    """
     unreadable = (F.col("decision") == REPLAY) & (F.col("event_id") == "")
-    kinds = (
-        with_event_id(scanned)
-        .groupBy("decision")
-        .agg(F.count("*").alias("n"), F.count_if(unreadable).alias("bad"))
+    kinds = read.groupBy("decision").agg(F.count("*").alias("n"), F.count_if(unreadable).alias("bad"))
+    named = (
+        kinds.where(F.col("decision") != REPLAY)
+        .orderBy(F.desc("n"), "decision")
+        .limit(REASONS_SHOWN)
+        .agg(F.sort_array(F.collect_list(F.struct("decision", "n"))).alias("named"))
+        .select("named", F.aggregate("named", F.lit(0).cast("bigint"), lambda t, e: t + e["n"]).alias("told"))
     )
-    # one entry per decision: a handful of names
-    skipped = F.filter(
-        F.sort_array(F.collect_list(F.struct("decision", "n"))), lambda e: e["decision"] != REPLAY
-    )
-    return kinds.agg(
+    sums = kinds.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"),
         F.coalesce(F.sum(F.when(F.col("decision") == REPLAY, F.col("n"))), F.lit(0)).alias("replayed"),
         F.coalesce(F.sum("bad"), F.lit(0)).alias("unreadable"),
-        F.map_from_entries(skipped).alias("skipped"),
+    )
+    rest = F.col("scanned") - F.col("replayed") - F.col("told")
+    others = F.when(rest > 0, F.array(F.struct(F.lit(OTHER_REASONS).alias("decision"), rest.alias("n"))))
+    none = F.array().cast("array<struct<decision:string,n:bigint>>")
+    return side_by_side(sums, named).select(
+        "scanned",
+        "replayed",
+        F.lit(0).cast("bigint").alias("failed"),
+        "unreadable",
+        F.map_from_entries(F.concat("named", F.coalesce(others, none))).alias("skipped"),
     )

@@ -38,14 +38,6 @@ def broadcast_up_to(df: DataFrame, rows_at_most: int) -> DataFrame:
     return F.broadcast(df) if rows_at_most <= BROADCAST_ROWS else df
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Broadcast hint only after counting; for sides whose size nothing else bounds.
-
-    Runs a job that stops at the limit. Larger sides keep the shuffle join.
-    """
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def side_by_side(*rows: DataFrame) -> DataFrame:
     """One-row tables with different columns as one row."""
     together = rows[0]

@@ -3,24 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import STORE
+from ..streaming.store import BATCH, BUCKET
 
 TAB = "\t"
 
 
 def create_store(spark: SparkSession, name: str, path: str) -> None:
-    """The orders table, laid out by batch; does nothing where it exists.
+    """Name the orders that ``PersistJob`` writes to ``path`` as a SQL table; does nothing where it exists.
 
-    A store is sorted by processing time within its files (see ``write_store``),
-    so a page of the listing reads few row groups; bloom filters serve lookups
-    by id and by customer.
+    Call ``MSCK REPAIR TABLE`` after batches were added. The bloom filters and the
+    order within files come from the writer, see ``streaming.store.write_orders``.
     """
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORE.fields)
-    blooms = ", ".join(
-        f"'parquet.bloom.filter.enabled#{c}' = 'true'" for c in ("order_id", "event_id", "customer_id")
-    )
     spark.sql(
-        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, batch_id BIGINT) USING parquet "
-        f"OPTIONS ({blooms}) PARTITIONED BY (batch_id) LOCATION '{path}'"
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}, {BATCH} BIGINT, {BUCKET} INT) USING parquet "
+        f"PARTITIONED BY ({BATCH}, {BUCKET}) LOCATION '{path}'"
     )
 
 

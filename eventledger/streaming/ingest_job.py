@@ -7,8 +7,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas as S
 from ..operators import ingest
-from ..sources.record_log import append_records, log_end
-from .store import read_batches, write_batch
+from ..sources.record_log import append_records
+from .store import append_to_log, write_batch
 
 REJECTIONS = T.StructType([
     T.StructField("reason", T.StringType()),
@@ -30,13 +30,14 @@ class IngestJob:
         try:
             accepted = decoded.where(F.col("reject_reason").isNull())
             events = ingest.new_events(accepted, keep=["position"])
-            earlier = read_batches(self.spark, self.log, S.RECORD, without=batch_id)
             # random ids decide the partition: fix them before offsets are counted
             records = ingest.event_records(events, keep=["position"]).checkpoint()
-            placed = append_records(
-                records, "position", S.SOURCE_TOPIC, self.partitions, end=log_end(earlier)
+            append_to_log(
+                self.spark,
+                lambda end: append_records(records, "position", S.SOURCE_TOPIC, self.partitions, end=end),
+                self.log,
+                batch_id,
             )
-            write_batch(placed, self.log, batch_id)
             refused = decoded.where(F.col("reject_reason").isNotNull())
             counts = refused.groupBy(F.col("reject_reason").alias("reason")).agg(F.count("*").alias("n"))
             write_batch(counts.coalesce(1), self.rejections, batch_id)

@@ -6,6 +6,7 @@ with the lookup of ids already stored this makes at-least-once delivery end in
 each event being stored once.
 """
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -13,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schemas as S
-from ..operators import persist, replay
-from ..operators.scale import broadcast_up_to
-from ..sources.record_log import append_records, log_end
-from .retry import RetryPolicy, with_retry
-from .store import read_batches, write_batch
+from ..operators import measure, persist, replay
+from ..operators.scale import number_in_order
+from ..sources.record_log import append_records
+from .retry import RetryPolicy, SinkError, with_retry
+from .store import append_to_log, stored_with, write_batch, write_orders
 
 OUTCOMES = T.StructType([
     T.StructField("outcome", T.StringType()),
@@ -25,6 +26,12 @@ OUTCOMES = T.StructType([
     T.StructField("n", T.LongType()),
 ])
 
+# How long each record's batch took to be stored, as counts per bucket.
+PROCESSING = T.StructType([
+    T.StructField("le", T.DoubleType()),
+    T.StructField("n", T.LongType()),
+])
+
 
 @dataclass
 class PersistJob:
@@ -36,78 +43,125 @@ class PersistJob:
     outcomes: str
     dlq_partitions: int = 3
     policy: RetryPolicy = field(default_factory=RetryPolicy)
-    # stands for the store's own write; raises SinkError when the store refuses
-    before_store_write: Callable[[int], None] = lambda batch_id: None
+    # called with the rows of each write before it; may raise SinkError, as a store with constraints does
+    before_store_write: Callable[[DataFrame, int], None] = lambda rows, batch_id: None
     # failed writes of single records, as the store reports them
     faults: Callable[[DataFrame, int], DataFrame] | None = None
     sleep: Callable[[float], None] | None = None
 
-    def stored_ids(self, decoded: DataFrame, batch_id: int, records: int) -> DataFrame:
+    def stored_ids(self, decoded: DataFrame, batch_id: int) -> DataFrame:
         """Rows of earlier batches that share an order or an event with this one.
 
         This batch's own folder is left out: a retried batch must not meet its
-        half-finished output. The store is scanned for two columns; it is only
-        shuffled if the batch has too many records to broadcast their ids.
+        half-finished output. Only the buckets of the batch's ids are read.
         """
-        store = read_batches(self.spark, self.store, S.STORE, without=batch_id)
-
-        def ids(column: str) -> DataFrame:
-            found = decoded.where(F.col(column).isNotNull()).select(column).distinct()
-            return broadcast_up_to(found.withColumn(f"_{column}", F.lit(True)), records)
-
-        return (
-            store.select("order_id", "event_id")
-            .join(ids("order_id"), "order_id", "left")
-            .join(ids("event_id"), "event_id", "left")
-            .where(F.col("_order_id") | F.col("_event_id"))
-            .select("order_id", "event_id")
-        )
+        return stored_with(self.spark, self.store, decoded.select("order_id", "event_id"), without=batch_id)
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: dead letters, store, outcomes, each in its batch folder."""
+        """One micro-batch: store, dead letters, outcomes, each in its batch folder."""
+        began = time.monotonic()
         records = batch.select(*[f.name for f in S.RECORD.fields])
         decoded = persist.decode_records(records).persist()
         try:
-            stored = self.stored_ids(decoded, batch_id, decoded.count())
+            stored = self.stored_ids(decoded, batch_id).persist()
             faults = self.faults(records, batch_id) if self.faults else None
             classified = persist.classify_decoded(decoded, stored, faults).persist()
-            options = {"sleep": self.sleep} if self.sleep else {}
-            attempts, error = with_retry(
-                lambda: self._store(classified, batch_id), self.policy, **options
-            )
-            if error is not None:
-                # the store refused the whole batch: nothing of it is stored, all of it is parked
+            refused = self._store(classified, batch_id)
+            if refused is not None:
+                # what the store did not take is parked; another record may now be the first of its order
+                known = refused if faults is None else refused.unionByName(faults.select(*refused.columns))
                 classified.unpersist()
-                failed = decoded.select(
-                    "partition", "offset", F.lit(error.sqlstate or "08000").alias("sqlstate"),
-                    F.lit(attempts).alias("attempts"), F.lit(False).alias("recovered"),
-                )
-                classified = persist.classify_decoded(decoded, stored, failed).persist()
-                write_batch(self._rows(classified), self.store, batch_id)
+                classified = persist.classify_decoded(decoded, stored, known).persist()
+                write_orders(self._rows(classified), self.store, batch_id)
             self._park(classified, batch_id)
             counts = classified.groupBy("outcome", "reason").agg(F.count("*").alias("n"))
             write_batch(counts.coalesce(1), self.outcomes, batch_id)
+            self._note_time(classified, time.monotonic() - began, batch_id)
             classified.unpersist()
+            stored.unpersist()
         finally:
             decoded.unpersist()
 
     def _rows(self, classified: DataFrame) -> DataFrame:
-        rows = persist.store_rows(classified, F.current_timestamp())
-        return rows.sortWithinPartitions("processed_at", "order_id")
+        return persist.store_rows(classified, F.current_timestamp())
+
+    def _try(self, classified: DataFrame, batch_id: int) -> tuple[int, SinkError | None]:
+        rows = self._rows(classified)
 
-    def _store(self, classified: DataFrame, batch_id: int) -> None:
-        self.before_store_write(batch_id)
-        write_batch(self._rows(classified), self.store, batch_id)
+        def attempt() -> None:
+            self.before_store_write(rows, batch_id)
+            write_orders(rows, self.store, batch_id)
+
+        return with_retry(attempt, self.policy, **({"sleep": self.sleep} if self.sleep else {}))
+
+    def _store(self, classified: DataFrame, batch_id: int) -> DataFrame | None:
+        """Store the batch; the records that were refused, as faults, or None.
+
+        A failure of the environment that outlasts the budget refuses the whole
+        batch. A refusal that the data caused is narrowed down: the batch is
+        halved, and each half that is refused again, until single records are
+        left, so one bad record does not take the others down. Each attempt
+        overwrites the batch's folder; the caller writes what is left at last.
+        """
+        attempts, error = self._try(classified, batch_id)
+        if error is None:
+            return None
+        if error.retryable:
+            everything = classified.where(F.col("cause").isNull()).select("partition", "offset")
+            return self._refused(everything, error, attempts)
+        numbered = number_in_order(
+            classified.where(F.col("outcome") == S.PERSISTED).select("partition", "offset"),
+            [F.col("partition"), F.col("offset")],
+            "_number",
+        ).persist()
+        # half-open ranges of numbers still to be tried; few, as only refused ones are split
+        pending = [(1, numbered.count() + 1, error)]
+        bad = None
+        while pending:
+            low, high, error = pending.pop()
+            if high - low <= 1:
+                one = self._refused(numbered.where(F.col("_number") == low).select("partition", "offset"), error, attempts)
+                bad = one if bad is None else bad.unionByName(one)
+                continue
+            middle = (low + high) // 2
+            for part in ((low, middle), (middle, high)):
+                chosen = numbered.where((F.col("_number") >= part[0]) & (F.col("_number") < part[1]))
+                half = classified.join(chosen.select("partition", "offset"), ["partition", "offset"], "left_semi")
+                _, refusal = self._try(half, batch_id)
+                if refusal is not None:
+                    pending.append((*part, refusal))
+        if bad is not None:
+            bad = bad.checkpoint()
+        numbered.unpersist()
+        return self._refused(classified.limit(0).select("partition", "offset"), error, attempts) if bad is None else bad
+
+    def _refused(self, positions: DataFrame, error: SinkError, attempts: int) -> DataFrame:
+        return positions.select(
+            "partition", "offset", F.lit(error.sqlstate or "08000").alias("sqlstate"),
+            F.lit(attempts).alias("attempts"), F.lit(False).alias("recovered"),
+        )
 
     def _park(self, classified: DataFrame, batch_id: int) -> None:
-        earlier = read_batches(self.spark, self.dead_letters, S.RECORD, without=batch_id)
-        dead = replay.dead_letters(classified, F.current_timestamp())
         # a key stays on its source partition, so this keeps the order of each key
-        placed = append_records(
-            dead, "source_offset", S.DEAD_LETTER_TOPIC, self.dlq_partitions,
-            end=log_end(earlier), order=["source_partition"],
+        append_to_log(
+            self.spark,
+            lambda end: append_records(
+                replay.dead_letters(classified, F.current_timestamp()), "source_offset", S.DEAD_LETTER_TOPIC,
+                self.dlq_partitions, end=end, order=["source_partition"],
+            ),
+            self.dead_letters,
+            batch_id,
+        )
+
+    def _note_time(self, classified: DataFrame, seconds: float, batch_id: int) -> None:
+        """Every record of a batch waited for the whole of it."""
+        persisted = classified.where(F.col("outcome") == S.PERSISTED)
+        took = measure.histogram(persisted.withColumn("_seconds", F.lit(seconds)), F.col("_seconds"), S.PROCESSING_BUCKETS)
+        write_batch(
+            took.select(F.col("le").cast("double").alias("le"), F.col("bucket_count").cast("bigint").alias("n")).coalesce(1),
+            f"{self.outcomes}-seconds",
+            batch_id,
         )
-        write_batch(placed, self.dead_letters, batch_id)
 
     def start(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         """Work off what the log holds now, then stop.

@@ -1,26 +1,35 @@
 """Send dead letters back: a bounded job over what the dead-letter log holds now."""
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
 from ..operators import replay
 from ..operators.scale import number_rows, side_by_side
-from ..sources.record_log import append_records, log_end
+from ..sources.record_log import append_records
+from .retry import RetryPolicy, with_retry
+from .store import append_to_log, next_replay_batch
 
 
 @dataclass
 class ReplayJob:
-    """``dlq`` and ``log`` are record logs; ``commits`` appends a commit table per run."""
+    """Works on a dead-letter log and appends to the log that ingest writes, one job at a time.
+
+    ``commits`` is the commit table, to which a run appends.
+    """
 
     spark: SparkSession
+    # fixed value: the group that replay commits its offsets under
     group_id: str = "order-dlq-replay"
     reasons: str = S.RETRIES_EXHAUSTED
     max_replays: int = S.DEFAULT_MAX_REPLAYS
     limit: int = 0
     dlq_partitions: int = 3
     partitions: int = 3
+    policy: RetryPolicy = field(default_factory=RetryPolicy)
+    sleep: Callable[[float], None] | None = None
 
     def __post_init__(self) -> None:
         replay.parse_reasons(self.reasons)
@@ -44,7 +53,6 @@ class ReplayJob:
     def run(
         self,
         dlq: DataFrame,
-        log: DataFrame,
         commits: DataFrame | None,
         log_path: str,
         commits_path: str,
@@ -57,30 +65,48 @@ class ReplayJob:
         dies in between, the next one sends them again and the persist job
         recognises them.
         """
-        scanned = self.scanned(dlq, commits)
-        report = replay.replay_report(scanned).select(
+        # decided once: the report, what is sent, the commit and the check must agree
+        scanned = replay.with_event_id(self.scanned(dlq, commits))
+        if apply:
+            scanned = scanned.checkpoint()
+        back = replay.replay_records(scanned, F.current_timestamp())
+        failed: Column = F.lit(0).cast("bigint")
+        if apply:
+            failed = F.lit(self._send(back, log_path)).cast("bigint")
+        report = replay.report_of(scanned).select(
             F.lit(S.DEAD_LETTER_TOPIC).alias("dlq_topic"),
             F.lit(S.SOURCE_TOPIC).alias("source_topic"),
             F.lit(self.reasons).alias("reasons"),
             F.lit(not apply).alias("dry_run"),
             F.lit(self.max_replays).alias("max_replays"),
-            "*",
+            "scanned",
+            (F.col("replayed") - failed).alias("replayed"),
+            failed.alias("failed"),
+            "unreadable",
+            "skipped",
         )
         if not apply:
             return report
-        # the report must describe this run, not the log after it
         report = report.checkpoint()
-        back = replay.replay_records(scanned, F.current_timestamp())
-        ordered = number_rows(back, "dlq_offset", order=["dlq_partition"], into="position")
-        placed = append_records(
-            ordered, "position", S.SOURCE_TOPIC, self.partitions, end=log_end(log)
-        )
-        placed.write.mode("append").parquet(log_path)
+        if report.first()["failed"]:
+            return report  # nothing is committed, so the next run sends them again
         replay.offsets_after(scanned, self.group_id, S.DEAD_LETTER_TOPIC).write.mode("append").parquet(
             commits_path
         )
         if store is None:
             return report
-        ids = replay.with_event_id(scanned.where(F.col("decision") == replay.REPLAY)).select("event_id")
+        ids = scanned.where(F.col("decision") == replay.REPLAY).select("event_id")
         verified = replay.verify_replayed(ids, store).select(F.struct("*").alias("verify"))
         return side_by_side(report, verified)
+
+    def _send(self, back: DataFrame, log_path: str) -> int:
+        """Append the records to the log; the number of those that could not be sent (all or none)."""
+        ordered = number_rows(back, "dlq_offset", order=["dlq_partition"], into="position").checkpoint()
+        place = lambda end: append_records(ordered, "position", S.SOURCE_TOPIC, self.partitions, end=end)
+        # one number per run: a retry overwrites what the attempt before has left
+        batch = next_replay_batch(self.spark, log_path)
+        pauses = {"sleep": self.sleep} if self.sleep else {}
+        _, error = with_retry(
+            lambda: append_to_log(self.spark, place, log_path, batch), self.policy, **pauses
+        )
+        return ordered.count() if error is not None else 0

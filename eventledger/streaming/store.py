@@ -1,26 +1,69 @@
 """Parquet tables written one folder per micro-batch.
 
 A batch that is run again overwrites its own folder, so a retry never leaves
-two copies. There is one writing query per table.
+two copies. A table has one writer at a time. A record log may be written by two
+jobs in turn, ingest (batches from 0 up) and replay (from -1 down); both append
+through ``append_to_log``, which keeps the end offsets of each batch beside the
+log, so nobody scans a log to learn where it ends.
+
+The orders are laid out by a hash of the order id inside each batch, with bloom
+filters on the ids and the customer. Their event ids are kept in a table of their
+own, laid out by a hash of the event id. A lookup by either id reads one bucket.
 """
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from ..schemas import RECORD, STORE
 
 BATCH = "batch_id"
+BUCKET = "id_bucket"
+BUCKETS = 64
+
+ENDS = T.StructType([
+    T.StructField("partition", T.IntegerType()),
+    T.StructField("next_offset", T.LongType()),
+])
+EVENT_INDEX = T.StructType([
+    T.StructField("event_id", T.StringType()),
+    T.StructField("order_id", T.StringType()),
+])
 
 
 def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
 
 
-def read_batches(spark: SparkSession, path: str, schema: T.StructType, without: int | None = None) -> DataFrame:
-    """All batches but ``without``; an empty table where nothing was written yet."""
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def batches_of(spark: SparkSession, path: str) -> set[int]:
+    """Numbers of the batches written to ``path``."""
+    folder, system = _folder(spark, path)
+    if not system.exists(folder):
+        return set()
+    names = [s.getPath().getName() for s in system.listStatus(folder)]
+    return {int(n.removeprefix(f"{BATCH}=")) for n in names if n.startswith(f"{BATCH}=")}
+
+
+def read_batches(
+    spark: SparkSession, path: str, schema: T.StructType, without: int | None = None, only: Column | None = None
+) -> DataFrame:
+    """All batches but ``without``; an empty table where nothing was written yet.
+
+    ``only`` is a condition on the layout (see ``bucket_of_id``) that leaves whole folders unread.
+    """
     full = _with_batch(schema)
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if not batches_of(spark, path):
         return spark.createDataFrame([], full)
-    batches = spark.read.schema(full).parquet(path)
+    laid_out = T.StructType([*full.fields, T.StructField(BUCKET, T.IntegerType())]) if only is not None else full
+    batches = spark.read.schema(laid_out).parquet(path)
+    if only is not None:
+        batches = batches.where(only)
+    batches = batches.select(*full.fieldNames())
     return batches if without is None else batches.where(F.col(BATCH) != without)
 
 
@@ -28,14 +71,89 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
 
+# --- record logs
+
+
+def end_offsets(spark: SparkSession, path: str, without: int | None = None) -> DataFrame:
+    """(partition, next_offset) of a log, from the ends kept with its batches.
+
+    A batch whose writer died before it had noted its ends is scanned instead.
+    """
+    written = batches_of(spark, path) - {without}
+    noted = batches_of(spark, f"{path}-ends") & written
+    ends = read_batches(spark, f"{path}-ends", ENDS).where(F.col(BATCH).isin(*sorted(noted)) if noted else F.lit(False))
+    ends = ends.select("partition", "next_offset")
+    if written - noted:
+        rest = read_batches(spark, path, RECORD).where(F.col(BATCH).isin(*sorted(written - noted)))
+        ends = ends.unionByName(rest.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset")))
+    return ends.groupBy("partition").agg(F.max("next_offset").alias("next_offset"))
+
+
+def append_to_log(spark: SparkSession, place: Callable[[DataFrame], DataFrame], path: str, batch_id: int) -> None:
+    """Write what ``place`` makes of the present end offsets as one batch of the log."""
+    end = end_offsets(spark, path, without=batch_id)
+    write_batch(place(end), path, batch_id)
+    written = spark.read.schema(RECORD).parquet(f"{path}/{BATCH}={batch_id}")
+    ends = written.groupBy("partition").agg((F.max("offset") + 1).alias("next_offset"))
+    write_batch(ends.coalesce(1), f"{path}-ends", batch_id)
+
+
+def next_replay_batch(spark: SparkSession, path: str) -> int:
+    """The number under which a replay run appends to a log."""
+    return min([0, *batches_of(spark, path)]) - 1
+
+
+# --- the orders
+
+
+def bucket_of_id(an_id: Column) -> Column:
+    return F.pmod(F.hash(an_id), F.lit(BUCKETS)).cast("int")
+
+
+def in_bucket_of(an_id: str) -> Column:
+    """The bucket that a known id must be in; a constant when the query is planned."""
+    return F.col(BUCKET) == bucket_of_id(F.lit(an_id))
+
+
+def _write_bucketed(df: DataFrame, path: str, an_id: str, blooms: list[str], order: list[str]) -> None:
+    bucketed = df.withColumn(BUCKET, bucket_of_id(F.col(an_id)))
+    writer = bucketed.repartition(BUCKET).sortWithinPartitions(BUCKET, *order).write.mode("overwrite")
+    for column in blooms:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.partitionBy(BUCKET).parquet(path)
+
+
+def write_orders_table(rows: DataFrame, path: str) -> None:
+    """One folder of orders, by bucket of the order id and newest last within a bucket."""
+    _write_bucketed(rows, path, "order_id", ["order_id", "event_id", "customer_id"], ["processed_at", "order_id"])
+
+
+def write_orders(rows: DataFrame, path: str, batch_id: int) -> None:
+    """One batch of orders and of their event index."""
+    write_orders_table(rows, f"{path}/{BATCH}={batch_id}")
+    index = rows.select("event_id", "order_id")
+    _write_bucketed(index, f"{path}-events/{BATCH}={batch_id}", "event_id", ["event_id"], ["event_id"])
+
+
+def stored_with(spark: SparkSession, path: str, ids: DataFrame, without: int | None = None) -> DataFrame:
+    """(order_id, event_id) of stored rows that share an order or an event with ``ids``.
+
+    Only the buckets in which ``ids`` (order_id, event_id) lie are read; their
+    numbers, at most BUCKETS of either kind, come to the driver first.
+    """
+    found = []
+    for an_id, table, schema in (("order_id", path, STORE), ("event_id", f"{path}-events", EVENT_INDEX)):
+        wanted = ids.where(F.col(an_id).isNotNull()).select(an_id).distinct()
+        buckets = [r[0] for r in wanted.select(bucket_of_id(F.col(an_id))).distinct().collect()]
+        rows = read_batches(spark, table, schema, without, only=F.col(BUCKET).isin(*buckets) if buckets else F.lit(False))
+        found.append(rows.select("order_id", "event_id").join(wanted, an_id, "left_semi").select("order_id", "event_id"))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def compact(spark: SparkSession, path: str, schema: T.StructType, upto: int, into: str) -> None:
-    """Copy the batches up to ``upto`` into a new table as one, sorted by time.
+    """Copy the orders of the batches up to ``upto`` into a new table as one batch.
 
-    For the store: many small folders slow every scan down. The copy keeps the
-    time order within files, which is what lets a page of the listing skip
-    most row groups. Swap the folders while no query writes.
+    Many small folders slow every scan down. Swap the folders while no query writes.
     """
     old = read_batches(spark, path, schema).where(F.col(BATCH) <= upto).drop(BATCH)
-    old.repartitionByRange("processed_at").sortWithinPartitions("processed_at", "order_id").write.mode(
-        "overwrite"
-    ).parquet(f"{into}/{BATCH}={upto}")
+    write_orders(old, into, upto)

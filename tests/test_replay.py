@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,10 @@ from eventledger import schemas as S
 from eventledger.functions import headers as H
 from eventledger.operators import persist, replay
 from eventledger.schemas import HEADERS
+from eventledger.streaming import replay_job
 from eventledger.streaming.replay_job import ReplayJob
+from eventledger.streaming.retry import RetryPolicy, SinkError
+from eventledger.streaming.store import read_batches, write_batch
 from helpers import event, log_frame, record, uid
 
 
@@ -109,7 +114,7 @@ def test_replayed_record_keeps_its_bytes_and_loses_the_diagnosis(spark):
 def test_limit(spark, limit, scanned, replayed):
     rows = [dead(p, o, S.POISON if o == 2 else S.RETRIES_EXHAUSTED) for p in range(4) for o in range(3)]
     decided = replay.replay_decisions(log_frame(spark, rows))
-    kept = replay.up_to_limit(decided, limit, width=2)
+    kept = replay.up_to_limit(decided, limit)
     got = [(r.partition, r.offset) for r in kept.orderBy("partition", "offset").collect()]
     all_rows = [(p, o) for p in range(4) for o in range(3)]
     wanted, n = [], 0
@@ -141,27 +146,47 @@ def test_verify_counts_distinct_ids(spark):
 
 
 def test_job_dry_run_apply_and_rerun(spark, folder):
-    log = log_frame(spark, [record(p, o, "x") for p in range(3) for o in range(5)])
+    paths = (f"{folder}/log", f"{folder}/commits")
+    write_batch(log_frame(spark, [record(p, o, "x") for p in range(3) for o in range(5)]), paths[0], 0)
     dlq = log_frame(spark, [dead(0, 0), dead(0, 1, S.POISON), dead(1, 0), dead(2, 0, None)])
     job = ReplayJob(spark)
-    paths = (f"{folder}/log", f"{folder}/commits")
-    dry = job.run(dlq, log, None, *paths).first()
-    assert (dry.dry_run, dry.scanned, dry.replayed) == (True, 4, 2)
+    dry = job.run(dlq, None, *paths).first()
+    assert (dry.dry_run, dry.scanned, dry.replayed, dry.failed) == (True, 4, 2, 0)
 
     store = spark.createDataFrame([(uid("e0-0"),)], "event_id string")
-    done = job.run(dlq, log, None, *paths, apply=True, store=store).first()
-    assert (done.scanned, done.replayed, done.verify.checked, done.verify.missing) == (4, 2, 2, 1)
-    sent = spark.read.parquet(paths[0])
+    done = job.run(dlq, None, *paths, apply=True, store=store).first()
+    assert (done.scanned, done.replayed, done.failed) == (4, 2, 0)
+    assert (done.verify.checked, done.verify.missing) == (2, 1)
+    sent = read_batches(spark, paths[0], S.RECORD).where("batch_id < 0")
     assert sent.count() == 2
     assert sent.groupBy("partition").agg(F.min("offset").alias("o")).where("o <> 5").count() == 0
 
     commits = spark.read.parquet(paths[1])
-    again = job.run(dlq, log, commits, *paths, apply=True).first()
+    again = job.run(dlq, commits, *paths, apply=True).first()
     assert (again.scanned, again.replayed) == (0, 0)
-    other_group = ReplayJob(spark, group_id="other").run(dlq, log, commits, *paths).first()
+    other_group = ReplayJob(spark, group_id="other").run(dlq, commits, *paths).first()
     assert other_group.scanned == 4
 
 
+def test_records_that_cannot_be_sent_are_counted_and_stay(spark, folder, monkeypatch):
+    def unreachable(*args):
+        raise SinkError("08006")
+
+    monkeypatch.setattr(replay_job, "append_to_log", unreachable)
+    dlq = log_frame(spark, [dead(0, 0), dead(1, 0)])
+    job = ReplayJob(spark, policy=RetryPolicy(1, 2, 10), sleep=lambda s: None)
+    report = job.run(dlq, None, f"{folder}/log", f"{folder}/commits", apply=True).first()
+    assert (report.scanned, report.replayed, report.failed) == (2, 0, 2)
+    assert not os.path.exists(f"{folder}/commits")
+
+
+def test_reasons_beyond_the_named_ones_are_counted_together(spark):
+    decided = replay.replay_decisions(log_frame(spark, [dead(0, i, f"why{i % 70}") for i in range(140)]))
+    report = replay.replay_report(decided).first()
+    assert report.scanned == 140 and len(report.skipped) == replay.REASONS_SHOWN + 1
+    assert report.skipped[replay.OTHER_REASONS] == 2 * (70 - replay.REASONS_SHOWN)
+
+
 def test_replayed_copy_changes_nothing(spark):
     rows = [record(0, i, event(uid(f"e{i}"), uid(f"o{i}"))) for i in range(4)]
     again = [record(0, 4 + i, event(uid(f"e{i}"), uid(f"o{i}")), [("replay_count", "1")]) for i in range(4)]

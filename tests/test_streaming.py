@@ -6,8 +6,12 @@ from eventledger.operators import persist
 from eventledger.sources.record_log import read_log
 from eventledger.streaming import persist_job as P
 from eventledger.streaming.ingest_job import REJECTIONS, IngestJob
-from eventledger.streaming.retry import RetryPolicy, SinkError, with_retry
-from eventledger.streaming.store import compact, read_batches
+from eventledger.operators.reads import get_order
+from eventledger.streaming.replay_job import ReplayJob
+from eventledger.streaming.retry import RetryPolicy, SinkError, sink_error, with_retry
+from eventledger.streaming.store import (
+    BUCKET, compact, end_offsets, in_bucket_of, read_batches, stored_with, write_batch,
+)
 from helpers import event, log_frame, record, uid
 
 QUICK = RetryPolicy(base_ms=1, max_ms=4, budget_ms=50)
@@ -132,7 +136,7 @@ def test_second_delivery_of_the_whole_log(spark, log_folder):
 def test_store_that_recovers_within_the_budget(spark, log_folder):
     calls = []
 
-    def shaky(batch_id):
+    def shaky(rows, batch_id):
         calls.append(batch_id)
         if calls.count(batch_id) < 3:
             raise SinkError("57P01")
@@ -142,9 +146,9 @@ def test_store_that_recovers_within_the_budget(spark, log_folder):
     assert (ids, counts) == batch_twin(spark, log_folder) and len(calls) == 3
 
 
-@pytest.mark.parametrize("sqlstate,reason", [("08006", "retries_exhausted"), ("", "retries_exhausted"), ("42703", "poison")])
+@pytest.mark.parametrize("sqlstate,reason", [("08006", "retries_exhausted"), ("", "retries_exhausted")])
 def test_store_that_stays_away(spark, log_folder, sqlstate, reason):
-    def gone(batch_id):
+    def gone(rows, batch_id):
         if batch_id == 0:
             raise SinkError(sqlstate)
 
@@ -156,6 +160,101 @@ def test_store_that_stays_away(spark, log_folder, sqlstate, reason):
     assert len(ids) == counts[("persisted", None)] and len(dead) == records - len(ids) - counts.get(("duplicate", None), 0)
 
 
+def test_one_refused_record_does_not_take_the_batch_down(spark, folder):
+    """Five records, one of which the store refuses: four are stored, one is parked."""
+    rows = [record(0, i, event(uid(f"e{i}"), uid(f"o{i}"))) for i in range(5)]
+    log_frame(spark, rows).coalesce(1).write.parquet(folder + "/log")
+
+    def picky(rows, batch_id):
+        if not rows.where(F.col("event_id") == uid("e3")).isEmpty():
+            raise SinkError("23514")
+
+    drain(spark, folder, job_of(spark, folder, before_store_write=picky))
+    ids, dead, counts = state(spark, folder)
+    assert ids == sorted(uid(f"e{i}") for i in (0, 1, 2, 4)) and len(dead) == 1
+    assert counts == {("persisted", None): 4, ("dead_letter", "poison"): 1}
+
+
+def test_refused_record_makes_way_for_the_next_of_its_order(spark, folder):
+    rows = [record(0, 0, event(uid("bad"), uid("o"))), record(0, 1, event(uid("good"), uid("o")))]
+    log_frame(spark, rows).coalesce(1).write.parquet(folder + "/log")
+
+    def picky(rows, batch_id):
+        if not rows.where(F.col("event_id") == uid("bad")).isEmpty():
+            raise SinkError("23514")
+
+    drain(spark, folder, job_of(spark, folder, before_store_write=picky))
+    assert state(spark, folder)[0] == [uid("good")]
+
+
+def test_real_failures_are_taken_by_their_kind(spark):
+    assert sink_error(OSError("disk")).retryable
+    assert sink_error(ValueError("bug")) is None
+    with pytest.raises(Exception) as caught:
+        spark.range(1).write.parquet("/proc/1/nowhere/table")
+    assert sink_error(caught.value).retryable
+    with pytest.raises(Exception) as caught:
+        spark.sql("SELECT CAST('x' AS INT)").collect()
+    assert not sink_error(caught.value).retryable
+    with pytest.raises(Exception) as caught:
+        spark.sql("SELECT missing")
+    assert sink_error(caught.value) is None
+
+
+def test_ingest_persist_replay_persist_on_one_log(spark, folder):
+    """Dead letters go back to the log that ingest wrote; every record is seen once."""
+    good = '{"customer_id":"c","items":[{"sku":"s","quantity":1,"unit_price_cents":%d}]}'
+    bodies = spark.createDataFrame([(i, good % i, f"key-{i}") for i in range(12)], "position bigint, body string, idempotency_key string")
+    bodies = bodies.withColumn("occurred_at", F.lit("2024-01-01").cast("timestamp"))
+    bodies.coalesce(1).write.parquet(folder + "/bodies")
+    stream = spark.readStream.schema(bodies.schema).parquet(folder + "/bodies")
+    IngestJob(spark, folder + "/log", folder + "/rejections").start(stream, folder + "/cp-in").awaitTermination()
+
+    def gone(rows, batch_id):
+        raise SinkError("08006")
+
+    drain(spark, folder, job_of(spark, folder, before_store_write=gone))
+    assert state(spark, folder)[0] == []
+    dlq = read_batches(spark, folder + "/dlq", S.RECORD)
+    report = ReplayJob(spark).run(dlq, None, folder + "/log", folder + "/commits", apply=True).first()
+    assert (report.replayed, report.failed) == (12, 0)
+    drain(spark, folder, job_of(spark, folder))
+    ids, _, counts = state(spark, folder)
+    assert len(ids) == 12 and counts[("persisted", None)] == 12
+    # a second ingest continues behind the replayed records
+    more = spark.createDataFrame([(i, good % i, f"more-{i}") for i in range(5)], "position bigint, body string, idempotency_key string")
+    IngestJob(spark, folder + "/log", folder + "/rejections").write(more.withColumn("occurred_at", F.lit("2024-01-02").cast("timestamp")), 1)
+    log = read_batches(spark, folder + "/log", S.RECORD)
+    assert log.count() == 29
+    for (p,) in log.select("partition").distinct().collect():
+        found = sorted(r.offset for r in log.where(F.col("partition") == p).collect())
+        assert found == list(range(len(found)))
+    ends = {r.partition: r.next_offset for r in end_offsets(spark, folder + "/log").collect()}
+    assert ends == {r.partition: r.n for r in log.groupBy("partition").agg(F.count("*").alias("n")).collect()}
+
+
+def test_ends_of_a_batch_that_died_before_noting_them(spark, folder):
+    write_batch(log_frame(spark, [record(0, i, "x") for i in range(3)]), folder + "/log", 0)
+    assert [tuple(r) for r in end_offsets(spark, folder + "/log").collect()] == [(0, 3)]
+    assert end_offsets(spark, folder + "/log", without=0).count() == 0
+
+
+def test_lookups_read_one_bucket(spark, log_folder):
+    drain(spark, log_folder, job_of(spark, log_folder), files=3)
+    ids = state(spark, log_folder)[0]
+    store = read_batches(spark, log_folder + "/store", S.STORE)
+    wanted = store.first()
+    pruned = read_batches(spark, log_folder + "/store", S.STORE, only=in_bucket_of(wanted.order_id))
+    found = get_order(pruned, wanted.order_id)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and BUCKET in plan.split("PartitionFilters")[1].split("]")[0]
+    assert [r.event_id for r in found.collect()] == [wanted.event_id]
+    asked = spark.createDataFrame([(None, ids[0])], "order_id string, event_id string")
+    met = stored_with(spark, log_folder + "/store", asked)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert BUCKET in plan and [r.event_id for r in met.collect()] == [ids[0]]
+
+
 def test_retry_budget():
     now, waits = [0.0], []
 
