@@ -20,18 +20,28 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+# Edges per partition between rounds: few edges in many partitions make many small shuffle blocks.
+PER_PARTITION = 100_000
+
+
+def compacted(df: DataFrame, per_partition: int = PER_PARTITION) -> DataFrame:
+    """A checkpoint of ``df``, read back in no more partitions than its rows need."""
+    kept = df.checkpoint()
+    return kept.coalesce(max(1, -(-kept.count() // per_partition)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (u, v); a component is named by its smallest node.
 
     The number of rounds grows with the logarithm of the longest chain. Each
-    round ends in a checkpoint; the driver sees two numbers per round.
+    round ends in a checkpoint; the driver sees a few numbers per round.
     """
-    now = edges.where("u != v").select(
-        F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    ).distinct().checkpoint()
+    now = compacted(
+        edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    )
     seen = None
     while True:
-        now = _stars(_stars(now, True), False).checkpoint()
+        now = compacted(_stars(_stars(now, True), False))
         state = now.agg(
             F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
         ).first()

@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from eventledger.llm.byte_words import chunks, joined_bytes, letters_and_digits, mixed, word_hashes
-from eventledger.llm.components import components
+from eventledger.llm.components import compacted, components
 
 WORDS, SIMILARITY = 5, 0.8
 PLACES, ROWS = 256, 8  # 32 bands of 8 places: a pair at 0.8 meets with probability 0.997
-# Pairs whose signatures agree less than this are not verified: 2.6 standard
-# deviations below 0.8 at 256 places.
+# Pairs whose signatures agree less than this are not verified: 2.5 standard
+# deviations below 0.8 at 256 places of half a byte.
 SCREEN = 0.735
 # Members of a bucket compared in one piece; larger buckets are cut into pieces.
 PIECE = 512
@@ -156,7 +156,7 @@ def _processes(hashes, owner, counts) -> list[_Process]:
 
 
 def _sketch(batches):
-    """Per document its text's digest, band keys, and one byte per signature place."""
+    """Per document its text's digest, band keys, and half a byte per signature place."""
     bands = PLACES // ROWS
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -168,12 +168,13 @@ def _sketch(batches):
             keys = np.zeros((n, bands), np.uint64)
             for i in range(ROWS):
                 keys = mixed(keys + signature[:, i::ROWS][:, :bands] + np.arange(bands, dtype=np.uint64))
-            small = (signature & np.uint64(0xFF)).astype(np.uint8)
+            low = (signature & np.uint64(0xF)).astype(np.uint8)
+            small = low[:, ::2] << 4 | low[:, 1::2]
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(part.start, n),
                     hashed.slice(part.start, n),
-                    pa.array([d.hex() if d else None for d in digests], pa.string()),
+                    pa.array([d or None for d in digests], pa.binary()),
                     pa.ListArray.from_arrays(
                         np.arange(0, n * bands + 1, bands, dtype=np.int32), keys.reshape(-1).view(np.int64)
                     ),
@@ -222,12 +223,13 @@ def _groups(batches):
 
 
 def _agreement(small: np.ndarray) -> np.ndarray:
-    """Estimated similarity of all pairs of a piece, row by row (a byte agrees by chance in 1 of 256)."""
+    """Estimated similarity of all pairs of a piece, row by row (half a byte agrees by chance in 1 of 16)."""
     n = len(small)
+    small = np.concatenate([small >> 4, small & 15], axis=1)
     out = np.zeros((n, n), np.float32)
     for i in range(n - 1):
         out[i, i + 1 :] = (small[i + 1 :] == small[i]).mean(axis=1)
-    return (out - 1 / 256) / (1 - 1 / 256)
+    return (out - 1 / 16) / (1 - 1 / 16)
 
 
 def _candidates(forest: bool):
@@ -272,7 +274,7 @@ def _candidates(forest: bool):
                     left.append(min(x, y))
                     right.append(max(x, y))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.string()), pa.array(right, pa.string())], names=["u", "v"]
+                [pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["u", "v"]
             )
 
     return run
@@ -284,7 +286,7 @@ def _compare(members: DataFrame, forest: bool) -> DataFrame:
         members.select("key", "piece", "tid", "small", "home", "component")
         .repartition(parts, "key", "piece")
         .sortWithinPartitions("key", "piece", "tid")
-        .mapInArrow(_candidates(forest), "u string, v string")
+        .mapInArrow(_candidates(forest), "u binary, v binary")
         .distinct()
     )
 
@@ -315,7 +317,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     sketched = (
         docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
-        .mapInArrow(_sketch, "doc_id bigint, text_hash bigint, tid string, keys array<bigint>, small binary")
+        .mapInArrow(_sketch, "doc_id bigint, text_hash bigint, tid binary, keys array<bigint>, small binary")
         .checkpoint()
     )
     texts = sketched.where("tid is not null").groupBy("tid").agg(
@@ -331,7 +333,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.xxhash64("text").alias("_hash"), "text")
         .join(wanted, F.col("_id").eqNullSafe(F.col("row.doc_id")) & (F.col("_hash") == F.col("row.text_hash")))
         .select("tid", "text")
-        .mapInArrow(_units, "tid string, units array<bigint>")
+        .mapInArrow(_units, "tid binary, units array<bigint>")
         .dropDuplicates(["tid"])
         .checkpoint()
     )
@@ -340,10 +342,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     small = wanted.select("tid", "small")
 
     first = buckets.join(small, "tid").select(
-        "key", own.alias("piece"), "tid", "small", F.lit(True).alias("home"), F.lit("").alias("component")
+        "key", own.alias("piece"), "tid", "small", F.lit(True).alias("home"), F.lit(b"").alias("component")
     )
-    tried = _compare(first, True).checkpoint()
-    links = _verified(tried, units, similarity).checkpoint()
+    tried = compacted(_compare(first, True))
+    links = compacted(_verified(tried, units, similarity))
     joined = components(links)
     # which component each member of a bucket is in now, and the largest of the bucket
     sizes = joined.groupBy("component").agg(F.count("*").alias("members"))
@@ -365,13 +367,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .select("key", "piece", "tid", "small", (F.col("piece") == F.col("own")).alias("home"), "component")
     )
     untried = _compare(second, False).join(tried, ["u", "v"], "left_anti")
-    more = _verified(untried, units, similarity)
+    more = compacted(_verified(compacted(untried), units, similarity))
     final = components(links.union(more)).withColumnRenamed("node", "tid").withColumnRenamed("component", "_class")
     lone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("text_hash").cast("string"))
     rows = (
         sketched.select("doc_id", "text_hash", "tid")
         .join(final, "tid", "left")
-        .select("doc_id", "text_hash", F.col("tid").alias("text_id"), F.coalesce("_class", "tid", lone).alias("class_key"))
+        .select("doc_id", "text_hash", F.lower(F.hex("tid")).alias("text_id"), F.coalesce(F.lower(F.hex(F.coalesce("_class", "tid"))), lone).alias("class_key"))
     )
     classes = rows.groupBy("class_key").agg(
         F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")
