@@ -27,7 +27,7 @@ DEPTH = 5
 # Contexts are tested from this many occurrences on; the tree keeps so many states.
 LEAST_COUNT, STATES = 64, 20_000
 # Words whose counts are sent to the tasks.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 17
 # Symbols of a stretch of text in the scorer.
 STRETCH = 512
 
@@ -131,9 +131,10 @@ def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, stat
 
     by_depth = {depth: runs.select(F.col("key").alias("run"), "n")}
     for d in range(depth - 1, -1, -1):
+        # every depth is read several times below
         by_depth[d] = (
             by_depth[d + 1].select(last("run", d + 1).alias("run"), "n").groupBy("run").agg(F.sum("n").alias("n"))
-        )
+        ).checkpoint()
     total = by_depth[0].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     found = None
     for d in range(1, depth + 1):
@@ -158,7 +159,7 @@ def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, stat
             .select(F.lit(d).alias("depth"), "context", "gain")
         )
         found = passed if found is None else found.unionByName(passed)
-    kept = found.orderBy(F.desc("gain"), "depth", "context").limit(states)
+    kept = found.orderBy(F.desc("gain"), "depth", "context").limit(states).checkpoint()
     out = by_depth[0].select(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("context"), F.col("run").alias("symbol"), "n")
     for d in range(1, depth + 1):
         follows = by_depth[d].select(F.shiftright("run", 8).alias("context"), last("run", 1).alias("symbol"), "n")
@@ -172,45 +173,51 @@ def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, stat
 class SuffixTree:
     """The tree as an automaton: per state and symbol a log probability and the next state."""
 
-    def __init__(self, rows: list[tuple[int, int, int, int]], depth: int = DEPTH):
-        follows: dict[bytes, dict[int, int]] = {b"": {}}
-        for d, context, symbol, n in rows:
-            follows.setdefault(int(context).to_bytes(d, "big"), {})[symbol] = n
+    def __init__(self, depths, contexts, symbols, counts, depth: int = DEPTH):
+        """Four arrays of equal length: per state (its depth and packed context) what follows how often."""
+        order = np.lexsort((symbols, contexts, depths))
+        depths, contexts, symbols, counts = (np.asarray(x)[order] for x in (depths, contexts, symbols, counts))
+        new = np.ones(len(order), bool)
+        new[1:] = (depths[1:] != depths[:-1]) | (contexts[1:] != contexts[:-1])
+        starts = np.flatnonzero(new)
+        nothing = np.zeros(0, np.int64)
+        follows = {b"": (nothing, nothing)}
+        for a, b in zip(starts, np.append(starts[1:], len(order))):
+            follows[int(contexts[a]).to_bytes(int(depths[a]), "big")] = (symbols[a:b].astype(np.int64), counts[a:b])
         # beginnings and suffixes of states are states too, so that steps stay inside the tree
         names = {c[i:j] for c in follows for i in range(len(c) + 1) for j in range(i, len(c) + 1)}
-        order = sorted(names, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(order)}
+        states = sorted(names, key=lambda c: (len(c), c))
+        number = {c: i for i, c in enumerate(states)}
+        longer: list[list[tuple[int, int]]] = [[] for _ in states]
+        for i, name in enumerate(states[1:], 1):
+            longer[number[name[:-1]]].append((name[-1], i))
         self.retained, self.depth = len(follows), depth
-        used = sorted({s for f in follows.values() for s in f} | {END, SPACE})
+        used = sorted({END, SPACE, *np.unique(symbols).tolist()})
         # one column per symbol seen in training, and one for all others
         self.column = np.full(256, len(used), np.int64)
         self.column[used] = np.arange(len(used))
         width = len(used) + 1
-        chance = np.zeros((len(order), width))
-        step = np.zeros((len(order), width), np.int32)
-        root = follows[b""]
-        seen = sum(root.values())
+        chance = np.zeros((len(states), width), np.float32)
+        step = np.zeros((len(states), width), np.int32)
+        kinds, often = follows[b""]
+        seen = int(often.sum())
         chance[0, :] = 0.5 / (seen + 128)
-        for s, n in root.items():
-            chance[0, self.column[s]] = (n + 0.5) / (seen + 128)
-        for i, name in enumerate(order):
-            shorter = number[name[1:]] if name else 0
+        chance[0, self.column[kinds]] = (often + 0.5) / (seen + 128)
+        for i, name in enumerate(states):
             if name:
+                shorter = number[name[1:]]
                 step[i] = step[shorter]
                 chance[i] = chance[shorter]
-                own = follows.get(name)
-                if own:
+                if name in follows:
                     # what has not followed here is left to the suffix, by the number of kinds seen
-                    seen, kinds = sum(own.values()), len(own)
-                    chance[i] *= kinds / (seen + kinds)
-                    for s, n in own.items():
-                        chance[i, self.column[s]] += n / (seen + kinds)
-            for s in used:
-                child = number.get(name + bytes([s]))
-                if child is not None:
-                    step[i, self.column[s]] = child
+                    kinds, often = follows[name]
+                    every = int(often.sum()) + len(kinds)
+                    chance[i] *= len(kinds) / every
+                    chance[i, self.column[kinds]] += often / every
+            for symbol, child in longer[i]:
+                step[i, self.column[symbol]] = child
         # a text begins after DEPTH ends, whatever stood before
-        begin = max((number[c] for c in (bytes([END]) * d for d in range(depth + 1)) if c in number), key=lambda i: len(order[i]))
+        begin = max((number[c] for c in (bytes([END]) * d for d in range(depth + 1)) if c in number), key=lambda i: len(states[i]))
         step[:, self.column[END]] = begin
         self.begin, self.width = begin, width
         self.logs = (np.log(chance) / math.log(10)).astype(np.float32).reshape(-1)
@@ -238,8 +245,8 @@ class SuffixTree:
 
 
 def fit(counts: DataFrame) -> SuffixTree:
-    rows = retained(counts.where("kind = 0")).collect()
-    return SuffixTree([(r["depth"], r["context"], r["symbol"], r["n"]) for r in rows])
+    found = retained(counts.where("kind = 0")).toArrow()
+    return SuffixTree(*(found.column(c).to_numpy() for c in ("depth", "context", "symbol", "n")))
 
 
 def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, frequent: int = FREQUENT) -> DataFrame:
@@ -255,9 +262,8 @@ def score(docs: DataFrame, counts: DataFrame, tree: SuffixTree, frequent: int =
     texts = counts.where("kind = 2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     tokens, kinds = sums["n"] + texts, sums["v"] + (texts > 0)
     below = tokens + 0.5 * (kinds + 1)
-    top = words.orderBy(F.desc("n"), "word").limit(frequent).collect()
-    known = np.array([r["word"] for r in top], np.int64)
-    often = np.array([r["n"] for r in top], np.float64)
+    top = words.orderBy(F.desc("n"), "word").limit(frequent).toArrow()
+    known, often = top.column("word").to_numpy(), top.column("n").to_numpy().astype(np.float64)
     by_hash = np.argsort(known)
     shared = share(spark, (tree, known[by_hash], often[by_hash]))
     end_log = math.log10((texts + 0.5) / below)

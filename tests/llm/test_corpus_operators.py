@@ -309,7 +309,7 @@ def test_distributions_sum_to_one_and_stretches_agree():
     for run, count in zip(runs.tolist(), n.tolist()):
         for d in range(suffix_tree.DEPTH + 1):
             rows[d, run >> 8 & ((1 << 8 * d) - 1), run & 255] += count
-    tree = suffix_tree.SuffixTree([(*k, c) for k, c in rows.items()])
+    tree = suffix_tree.SuffixTree(*np.array([(*k, c) for k, c in rows.items()]).T)
     chance = 10.0 ** tree.logs.reshape(-1, tree.width).astype(float)
     unseen = int((tree.column == tree.width - 1).sum())
     sums = chance[:, :-1].sum(axis=1) + unseen * chance[:, -1]
