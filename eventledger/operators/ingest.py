@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ids, ingress
 from ..functions.events import event_json
@@ -11,6 +11,7 @@ from .scale import once
 
 MALFORMED_BODY = "malformed_body"
 VALIDATION = "validation"
+PRODUCE_FAILED = "produce_failed"
 
 
 def decode_requests(bodies: DataFrame) -> DataFrame:
@@ -45,6 +46,12 @@ def decode_requests(bodies: DataFrame) -> DataFrame:
     return decoded.withColumn("reject_reason", reason).drop("_document", "_request", "well_formed")
 
 
+def with_produce_failures(decoded: DataFrame, failed: Column) -> DataFrame:
+    """Marks accepted requests whose event could not be put on the log."""
+    reason = F.when(F.col("reject_reason").isNull() & failed, PRODUCE_FAILED).otherwise(F.col("reject_reason"))
+    return decoded.withColumn("reject_reason", reason)
+
+
 def new_events(requests: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Events of accepted requests (customer_id, items, idempotency_key, occurred_at).
 

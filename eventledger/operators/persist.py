@@ -274,13 +274,21 @@ def _outcome_columns(judged: DataFrame) -> DataFrame:
     )
 
 
-def outcome_counts(records: DataFrame, faults: DataFrame | None = None) -> DataFrame:
-    """(status, reason, n) of a log on an empty store, by aggregation alone.
+def outcome_counts(
+    records: DataFrame, faults: DataFrame | None = None, one_order_per_event: bool = False
+) -> DataFrame:
+    """(status, reason, n) of a log on an empty store.
 
-    Needs one order per event. Unlike ``classify`` it never joins the verdicts
-    back to the records: each (order, event) pair is counted, and the pair that
-    comes first in its order supplies one stored row and otherwise duplicates.
+    Where the producer guarantees one order per event, aggregation alone gives
+    them: verdicts are never joined back to the records, each (order, event) pair
+    is counted, and the pair that comes first in its order supplies one stored
+    row and otherwise duplicates. Without that promise the records are classified.
     """
+    if not one_order_per_event:
+        classified = classify(records, faults=faults)
+        return classified.groupBy(
+            F.col("outcome").alias("status"), F.coalesce("reason", F.lit("")).alias("reason")
+        ).agg(F.count("*").alias("n"))
     judged = with_faults(decode_records(records), faults)
     reason = F.when(F.col("cause") == UNDECODABLE, POISON).when(
         F.col("cause") == SINK_FAULT, failures.dead_letter_reason(F.col("fault.sqlstate"))
@@ -331,13 +339,22 @@ def store_rows(classified: DataFrame, processed_at: Column) -> DataFrame:
 
 
 def insert_once(
-    records: DataFrame, faults: DataFrame | None = None, processed_at: Column | None = None
+    records: DataFrame,
+    faults: DataFrame | None = None,
+    processed_at: Column | None = None,
+    one_order_per_event: bool = False,
 ) -> DataFrame:
-    """The store after writing a log to an empty one, by a single aggregation.
+    """The store after writing a log to an empty one: each order once, each event once.
 
-    Needs one order per event. The first eligible record of each order is its
-    row, so no verdict has to be joined back and copies are dropped map-side.
+    Where the producer guarantees one order per event, a single aggregation
+    gives it: the first eligible record of each order is its row, so no verdict
+    has to be joined back and copies are dropped map-side. Without that promise
+    the records are classified. ``processed_at`` may refer to ``r.timestamp``,
+    the time of the record.
     """
+    if not one_order_per_event:
+        classified = classify(records, faults=faults).withColumn("r", F.struct("timestamp"))
+        return store_rows(classified, F.current_timestamp() if processed_at is None else processed_at)
     judged = with_faults(decode_records(records), faults).where(F.col("cause").isNull())
     row = F.struct("partition", "offset", "event_id", "event", "timestamp")
     return (

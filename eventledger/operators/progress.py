@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .scale import broadcast_up_to, number_rows
+from .scale import broadcast_up_to, bucket_of, number_rows
 
 
 def commit_frontier(records: DataFrame) -> DataFrame:
@@ -46,8 +46,12 @@ def offset_chunks(records: DataFrame, size: int, width: int | None = None) -> Da
     """Adds ``chunk``: runs of ``size`` consecutive records of a partition, from 0."""
     widths = {} if width is None else {"width": width}
     numbered = number_rows(records, "offset", group=["partition"], into="_number", **widths)
-    chunk = F.floor((F.col("_number") - 1) / F.lit(size)).cast("bigint")
-    return numbered.withColumn("chunk", chunk).drop("_number")
+    return numbered.withColumn("chunk", bucket_of(F.col("_number") - 1, size)).drop("_number")
+
+
+def dense_chunks(records: DataFrame, size: int) -> DataFrame:
+    """The same for a log whose offsets are dense and begin at 0: the offset gives the chunk."""
+    return records.withColumn("chunk", bucket_of(F.col("offset"), size))
 
 
 def consumer_lag(end: DataFrame, committed: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from ..functions import paging
 from ..functions.events import rfc3339
 from ..functions.ids import canonical_uuid_text
 from ..schemas import ITEM, STORE
-from .scale import number_in_order
+from ..streaming.store import BUCKET, in_bucket_of
+from .scale import bucket_of, number_in_order
 
 COLUMNS = [f.name for f in STORE.fields]
 
@@ -18,6 +19,8 @@ def get_order(store: DataFrame, order_id: str) -> DataFrame:
     wanted = canonical_uuid_text(order_id)
     if wanted is None:
         raise paging.InvalidArgument(f"invalid order_id: {order_id}")
+    if BUCKET in store.columns:  # a table laid out by id: one bucket is read
+        store = store.where(in_bucket_of(wanted))
     return store.where(F.col("order_id") == wanted).select(*COLUMNS)
 
 
@@ -64,11 +67,13 @@ def list_orders(
 
 
 def keyset_pages(store: DataFrame, page_size: int) -> DataFrame:
-    """The whole listing with its page number, for an export of all pages."""
+    """order_id, processed_at and page number of every order, for an export of all pages.
+
+    Only the keys of the listing are sorted; join them to the store for the rest.
+    """
     newest = [F.desc("processed_at"), F.desc("order_id")]
-    numbered = number_in_order(store.select(*COLUMNS), newest, into="_number")
-    page = F.floor((F.col("_number") - 1) / F.lit(page_size)).cast("bigint")
-    return numbered.withColumn("page", page).drop("_number")
+    numbered = number_in_order(store.select("processed_at", "order_id"), newest, into="_number")
+    return numbered.withColumn("page", bucket_of(F.col("_number") - 1, page_size)).drop("_number")
 
 
 def order_json(store: DataFrame) -> DataFrame:

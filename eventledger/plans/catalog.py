@@ -291,7 +291,9 @@ def due_latency(spark, sf_dir):
 @query
 def idempotent_insert(spark, sf_dir):
     log = T.record_log(spark, sf_dir)
-    stored = persist.insert_once(log, T.sink_faults(log), F.col("r.timestamp"))
+    stored = persist.insert_once(
+        log, T.sink_faults(log), F.col("r.timestamp"), one_order_per_event=True
+    )
     item = F.col("items")[0]
     return stored.select(
         "order_id", "event_id", "customer_id", item["sku"].alias("sku"),
@@ -320,9 +322,8 @@ def order_id_collisions(spark, sf_dir):
 def poison_isolation(spark, sf_dir):
     """Per chunk of records: how many the bad ones among them did not take down."""
     log = T.record_log(spark, sf_dir)
-    chunked = progress.offset_chunks(log, CHUNK)
-    outcomes = persist.classify(chunked, faults=T.sink_faults(log), one_order_per_event=True)
-    return outcomes.groupBy("partition", "chunk").agg(
+    outcomes = persist.classify(log, faults=T.sink_faults(log), one_order_per_event=True)
+    return progress.dense_chunks(outcomes, CHUNK).groupBy("partition", "chunk").agg(
         F.count("*").alias("records"),
         F.count_if(F.col("outcome") == S.DEAD_LETTER).alias("parked"),
         F.count_if(F.col("outcome") != S.DEAD_LETTER).alias("applied"),
@@ -332,22 +333,47 @@ def poison_isolation(spark, sf_dir):
 @query
 def outcome_counters(spark, sf_dir):
     log = T.record_log(spark, sf_dir)
-    return persist.outcome_counts(log, T.sink_faults(log))
+    return persist.outcome_counts(log, T.sink_faults(log), one_order_per_event=True)
+
+
+@query
+def attempt_counters(spark, sf_dir):
+    """Counters of the worker: records by outcome, retries, and all attempts at writing."""
+    counted = measure.outcome_counters(_outcomes(spark, sf_dir))
+    return counted.withColumn("attempts", F.col("persisted") + F.col("duplicate") + F.col("dead_letter") + F.col("retries"))
+
+
+@query
+def rejection_counters(spark, sf_dir):
+    """Refusals of the front door by reason, with the requests whose event could not be produced."""
+    decoded = ingest.decode_requests(T.order_bodies(spark, sf_dir))
+    return measure.counts_by(
+        ingest.with_produce_failures(decoded, T.produce_failed()), F.coalesce("reject_reason", F.lit("accepted")).alias("reason")
+    )
 
 
 @query
 def reconcile(spark, sf_dir):
-    """Every delivery was accepted once: stored, parked, or missing?"""
+    """Every delivery was accepted once: stored, parked, or missing?
+
+    Ids come from the values themselves; a value that cannot be read is known by
+    its place. Dead letters are matched by the source place in their headers.
+    """
     log = T.record_log(spark, sf_dir)
-    number = F.col("n")
-    named = lambda kind, x: ids.uuid_from_md5(F.concat(F.lit(f"{kind}:"), x.cast("string")))
-    order_number = F.when(number % 250 == 8, number - 1).otherwise(number)
-    accepted = log.select(named("event", number).alias("event_id"), F.col("key").cast("string").alias("order_id"))
-    stored = persist.insert_once(log, T.sink_faults(log))
-    dead = T.dead_letter_log(spark, sf_dir).select(
-        named("event", number).alias("event_id"), named("order", order_number).alias("order_id")
+    place = F.concat_ws(":", F.col("partition").cast("string"), F.col("offset").cast("string"))
+    read = persist.decode_records(log).select(
+        "partition",
+        "offset",
+        F.when(F.col("readable"), F.coalesce("event_id", place)).otherwise(place).alias("event_id"),
+        F.col("key").cast("string").alias("order_id"),
+    )
+    stored = persist.insert_once(log, T.sink_faults(log), one_order_per_event=True)
+    source = lambda name: H.header(F.col("headers"), name)
+    parked = T.dead_letter_log(spark, sf_dir).select(
+        source(S.DLQ_SOURCE_PARTITION).cast("int").alias("partition"),
+        source(S.DLQ_SOURCE_OFFSET).cast("bigint").alias("offset"),
     )
-    return measure.reconcile(accepted, stored, dead)
+    return measure.reconcile(read, stored, read.join(parked, ["partition", "offset"], "left_semi"))
 
 
 @query
@@ -355,20 +381,20 @@ def replay_is_noop(spark, sf_dir):
     """The store after the log, and after the log with every stored record sent again."""
     log = T.record_log(spark, sf_dir)
     faults = T.sink_faults(log)
+    stored = _outcomes(spark, sf_dir).where(F.col("outcome") == S.PERSISTED).select(*log.columns)
     again = log_io.append_records(
-        log.withColumn("position", F.col("offset") * T.PARTITIONS + F.col("partition")),
+        stored.withColumn("position", F.col("offset") * T.PARTITIONS + F.col("partition")),
         "position", S.SOURCE_TOPIC, T.PARTITIONS, end=log_io.log_end(log), partition=F.col("partition"),
     )
-    twice = log.drop("n").unionByName(again)
-    # the second delivery meets no fault, so what failed before is stored now
     fingerprint = F.sum(F.conv(F.substring(F.md5("order_id"), 1, 8), 16, 10).cast("bigint"))
-    once_stored = persist.insert_once(log, faults).agg(
-        F.count("*").alias("rows_once"), fingerprint.alias("print_once")
-    )
-    twice_stored = persist.insert_once(twice, faults).agg(
-        F.count("*").alias("rows_twice"), fingerprint.alias("print_twice")
-    )
-    return side_by_side(once_stored, twice_stored)
+
+    def state(records: DataFrame, name: str) -> DataFrame:
+        return persist.insert_once(records, faults, one_order_per_event=True).agg(
+            F.count("*").alias(f"rows_{name}"), fingerprint.alias(f"print_{name}")
+        )
+
+    resent = again.agg(F.count("*").alias("resent"))
+    return side_by_side(state(log, "once"), state(log.drop("n").unionByName(again), "twice"), resent)
 
 
 # --- progress -------------------------------------------------------------------
@@ -469,7 +495,7 @@ def replay_report(spark, sf_dir):
     report = replay.replay_report(_decided(spark, sf_dir, S.RETRIES_EXHAUSTED))
     skipped = lambda why: F.coalesce(F.col("skipped")[why], F.lit(0)).cast("bigint")
     return report.select(
-        "scanned", "replayed", "unreadable",
+        "scanned", "replayed", "failed", "unreadable",
         skipped("no_dlq_reason").alias("skipped_no_reason"),
         skipped("reason:poison").alias("skipped_poison"),
         skipped("replay_limit").alias("skipped_limit"),
@@ -520,7 +546,7 @@ def replay_verify(spark, sf_dir):
     """Are the replayed events in the store? (The store here is the one before the replay.)"""
     log = T.record_log(spark, sf_dir)
     back = _decided(spark, sf_dir).where(F.col("decision") == replay.REPLAY)
-    stored = persist.insert_once(log, T.sink_faults(log))
+    stored = persist.insert_once(log, T.sink_faults(log), one_order_per_event=True)
     return replay.verify_replayed(replay.with_event_id(back).select("event_id"), stored)
 
 
@@ -788,7 +814,7 @@ def dashboard_tiles(spark, sf_dir):
         window_us=WINDOW_US,
         samples=T.metric_samples(spark, sf_dir),
         requests=T.request_log(spark, sf_dir),
-        outcomes=persist.outcome_counts(log, T.sink_faults(log)),
+        outcomes=persist.outcome_counts(log, T.sink_faults(log), one_order_per_event=True),
         rejected=rejected,
         dead=T.dead_letter_log(spark, sf_dir),
         faults=T.sink_faults(log),

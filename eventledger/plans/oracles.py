@@ -422,23 +422,28 @@ def all_sql() -> dict[str, str]:
         "outcome_counters": _with(
             "SELECT outcome AS status, coalesce(reason, '') AS reason, count(*) AS n FROM outcomes GROUP BY ALL", "outcomes"),
         "reconcile": _with(
-            """, stored AS (SELECT DISTINCT event_id FROM outcomes WHERE outcome = 'persisted'),
-            parked AS (SELECT DISTINCT event_id FROM outcomes WHERE outcome = 'dead_letter')
-            SELECT (SELECT count(DISTINCT event_id) FROM log) AS accepted_events,
+            """, known AS (SELECT *, CASE WHEN n % 97 = 0 THEN part||':'||off ELSE event_id END AS id FROM outcomes),
+            stored AS (SELECT DISTINCT id FROM known WHERE outcome = 'persisted'),
+            parked AS (SELECT DISTINCT id FROM known WHERE outcome = 'dead_letter')
+            SELECT (SELECT count(DISTINCT id) FROM known) AS accepted_events,
                 (SELECT count(*) FROM outcomes WHERE outcome = 'persisted') AS stored_rows,
                 (SELECT count(*) FROM stored) AS stored_events,
-                (SELECT count(*) FROM parked WHERE event_id NOT IN (SELECT event_id FROM stored)) AS parked_events,
-                (SELECT count(DISTINCT event_id) FROM log WHERE event_id NOT IN (SELECT event_id FROM stored)
-                    AND event_id NOT IN (SELECT event_id FROM parked)) AS missing,
+                (SELECT count(*) FROM parked WHERE id NOT IN (SELECT id FROM stored)) AS parked_events,
+                (SELECT count(DISTINCT id) FROM known WHERE id NOT IN (SELECT id FROM stored)
+                    AND id NOT IN (SELECT id FROM parked)) AS missing,
                 0::BIGINT AS unexpected""", "outcomes"),
         "replay_is_noop": _with(
-            """, once AS (SELECT order_id FROM outcomes WHERE outcome = 'persisted'),
-            twice AS (SELECT DISTINCT order_id FROM log WHERE n % 97 <> 0 AND n % 89 <> 0),
-            p AS (SELECT 1 AS run, order_id FROM once UNION ALL SELECT 2, order_id FROM twice),
-            f AS (SELECT run, CAST(('0x'||substr(md5(order_id),1,8)) AS BIGINT) AS x FROM p)
-            SELECT count(*) FILTER (run = 1) AS rows_once, CAST(sum(x) FILTER (run = 1) AS BIGINT) AS print_once,
-                count(*) FILTER (run = 2) AS rows_twice, CAST(sum(x) FILTER (run = 2) AS BIGINT) AS print_twice FROM f""",
+            """, p AS (SELECT CAST(('0x'||substr(md5(order_id),1,8)) AS BIGINT) AS x FROM outcomes WHERE outcome = 'persisted')
+            SELECT count(*) AS rows_once, CAST(sum(x) AS BIGINT) AS print_once, count(*) AS rows_twice,
+                CAST(sum(x) AS BIGINT) AS print_twice, count(*) AS resent FROM p""",
             "outcomes"),
+        "attempt_counters": _with(
+            """, c AS (SELECT count(*) FILTER (outcome = 'persisted') AS persisted, count(*) FILTER (outcome = 'duplicate') AS duplicate,
+                count(*) FILTER (outcome = 'dead_letter') AS dead_letter, CAST(sum(greatest(attempts - 1, 0)) AS BIGINT) AS retries
+            FROM outcomes) SELECT *, persisted + duplicate + dead_letter + retries AS attempts FROM c""", "outcomes"),
+        "rejection_counters": _with(
+            f"""SELECT CASE WHEN reason = 'accepted' AND k % {C.T.PRODUCE_FAILS_EVERY} = 0 THEN 'produce_failed' ELSE reason END AS reason,
+                count(*) AS n FROM rejected GROUP BY ALL""", "rejected"),
         "commit_frontier": _with(
             f"""SELECT part AS partition, coalesce(stop, last + 1) AS next_offset, coalesce(stop, last + 1) - 1 AS last_offset,
                 stop IS NOT NULL AS blocked FROM ({frontier})""", "log"),
@@ -473,7 +478,7 @@ def all_sql() -> dict[str, str]:
             "decided"),
         "replay_report": _with(
             """SELECT count(*) AS scanned, count(*) FILTER (by_default = 'replay') AS replayed,
-                count(*) FILTER (by_default = 'replay' AND n % 97 = 0) AS unreadable,
+                0::BIGINT AS failed, count(*) FILTER (by_default = 'replay' AND n % 97 = 0) AS unreadable,
                 count(*) FILTER (by_default = 'no_dlq_reason') AS skipped_no_reason,
                 count(*) FILTER (by_default = 'reason:poison') AS skipped_poison,
                 count(*) FILTER (by_default = 'replay_limit') AS skipped_limit FROM decided""", "decided"),

@@ -93,7 +93,13 @@ def input_version(spark: SparkSession, path: str) -> str:
     return hashlib.md5("\n".join(sorted(seen)).encode()).hexdigest()
 
 
-def table_of(spark: SparkSession, name: str, sf_dir: str, inputs: Sequence[str], build) -> DataFrame:
+def _as_parquet(frame: DataFrame, path: str) -> None:
+    frame.write.mode("overwrite").parquet(path)
+
+
+def table_of(
+    spark: SparkSession, name: str, sf_dir: str, inputs: Sequence[str], build, write=_as_parquet
+) -> DataFrame:
     """Write ``build()`` once per application as a Parquet table and read it back.
 
     Used for what in production is a stored table (the two record logs, the
@@ -106,7 +112,6 @@ def table_of(spark: SparkSession, name: str, sf_dir: str, inputs: Sequence[str],
     if where not in _tables:
         tag = hashlib.md5(where[2].encode()).hexdigest()[:12]
         path = run_folder(spark, f"{name}-{tag}")
-        frame: DataFrame = build()
-        frame.write.mode("overwrite").parquet(path)
+        write(build(), path)
         _tables[where] = path
     return spark.read.parquet(_tables[where])

@@ -13,6 +13,7 @@ from ..functions.ids import uuid_from_md5
 from ..operators import persist, replay
 from ..operators.scale import lookup, number_rows
 from ..session import prepare, table_of
+from ..streaming.store import write_orders_table
 from .record_log import append_records
 
 PARTITIONS = 3
@@ -156,6 +157,14 @@ def order_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.withColumn("body", plain).select(key, body.alias("body"), "idempotency_key", "occurred_at")
 
 
+PRODUCE_FAILS_EVERY = 139
+
+
+def produce_failed() -> Column:
+    """Requests whose event the log did not take."""
+    return F.col("order_key") % PRODUCE_FAILS_EVERY == 0
+
+
 def idempotency_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One key per order, good and bad by turns."""
     n = F.col("order_key")
@@ -305,7 +314,16 @@ def dead_letter_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One stored order per event, written floor(value * 1000) microseconds after it occurred."""
+    """The stored orders (with ``tag`` and ``n``), laid out as the persist job does; stored once per application.
+
+    One order per event, written floor(value * 1000) microseconds after it occurred.
+    """
+    return table_of(
+        spark, "orders_store", sf_dir, ["events"], lambda: _stored_orders(spark, sf_dir), write_orders_table
+    )
+
+
+def _stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = F.floor(F.col("value") * 1000).cast("bigint")
     items = _one_item()
     return _events(spark, sf_dir).select(

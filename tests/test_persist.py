@@ -174,18 +174,27 @@ def test_aggregated_counts_and_rows_agree_with_the_verdicts(spark):
         values.append("{bad" if i % 17 == 0 else event(uid(f"e{e}"), uid(f"o{order_of[e]}") if i % 13 else "x"))
     log = log_frame(spark, [record(0, i, v) for i, v in enumerate(values)])
     verdicts = persist.classify(log)
-    counted = {(r.status, r.reason): r.n for r in persist.outcome_counts(log).collect()}
+    count = lambda **how: {(r.status, r.reason): r.n for r in persist.outcome_counts(log, **how).collect()}
     expected = {
         (r.outcome, r.reason or ""): r.n
         for r in verdicts.groupBy("outcome", "reason").agg(F.count("*").alias("n")).collect()
     }
-    assert counted == expected
+    assert count(one_order_per_event=True) == count() == expected
     now = F.lit("2024-01-01").cast("timestamp")
     a = persist.store_rows(verdicts, now).orderBy("order_id").collect()
-    b = persist.insert_once(log, processed_at=now).orderBy("order_id").collect()
+    b = persist.insert_once(log, processed_at=now, one_order_per_event=True).orderBy("order_id").collect()
     assert a == b
 
 
+def test_one_event_on_two_orders_is_stored_once(spark):
+    values = [event(uid("e"), uid("o1")), event(uid("e"), uid("o2")), event(uid("f"), uid("o2"))]
+    log = log_frame(spark, [record(0, i, v) for i, v in enumerate(values)])
+    stored = {(r.event_id, r.order_id) for r in persist.insert_once(log).collect()}
+    assert stored == {(uid("e"), uid("o1")), (uid("f"), uid("o2"))}
+    counted = {(r.status, r.reason): r.n for r in persist.outcome_counts(log).collect()}
+    assert counted == {("persisted", ""): 2, ("duplicate", ""): 1}
+
+
 def test_frontier(spark):
     rows = [(0, o, True) for o in range(10, 15)] + [(1, o, o != 22) for o in range(20, 25)] + [(2, 5, False)]
     records = spark.createDataFrame(rows, "partition int, offset bigint, ok boolean")
@@ -203,6 +212,12 @@ def test_chunks(spark, bad):
     assert [r["count"] for r in sizes] == [10, 10, 5]
 
 
+def test_dense_offsets_give_the_chunk(spark):
+    records = spark.createDataFrame([(0, i) for i in range(25)], "partition int, offset bigint")
+    same = progress.dense_chunks(records, 10).exceptAll(progress.offset_chunks(records, 10))
+    assert same.isEmpty()
+
+
 def test_lag_and_skew(spark):
     end = spark.createDataFrame([(0, 10), (1, 7)], "partition int, next_offset bigint")
     done = spark.createDataFrame([(0, 4)], "partition int, next_offset bigint")

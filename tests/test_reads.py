@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventledger.functions import paging
+from eventledger.plans import catalog
+from eventledger.streaming.store import BUCKET
 from eventledger.operators import reads
 from eventledger.schemas import STORE
 from helpers import uid
@@ -121,3 +123,11 @@ def test_exported_pages_equal_walked_pages(spark):
     exported = reads.keyset_pages(store.repartition(4), 10)
     by_page = {r.order_id: r.page for r in exported.collect()}
     assert [by_page[o] for o in newest(store)] == [i // 10 for i in range(25)]
+
+
+def test_the_registered_lookup_reads_one_bucket(spark):
+    found = catalog.all_queries()["get_order"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert BUCKET in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "EqualTo(order_id" in plan.split("PushedFilters")[1]
+    assert found.count() == 1
