@@ -11,6 +11,7 @@ its length and turned into a probability.
 import math
 import re
 import unicodedata
+from collections import Counter
 
 import ahocorasick
 import pyarrow as pa
@@ -78,13 +79,16 @@ class Lexicon:
         return found
 
     def matcher(self):
-        """A function text -> (weights of the hits, words)."""
+        """A function text -> (weights of the entries found, hits, words).
+
+        An entry that is found again and again counts by the logarithm.
+        """
         found = self.automaton()
 
-        def match(text: str) -> tuple[list[float], int]:
+        def match(text: str) -> tuple[list[float], int, int]:
             words = words_of(text)
             line = " " + " ".join(words) + " "
-            hits: dict[int, float] = {}  # by the word's start: its heaviest entry
+            hits: dict[int, tuple[float, str]] = {}  # by the word's start: its heaviest entry
             excused: list[tuple[int, int]] = []
             if len(found):
                 for end, (entry, weight) in found.iter(line):
@@ -92,13 +96,14 @@ class Lexicon:
                     if weight is None:
                         excused.append((start, end))
                     else:
-                        hits[start] = max(weight, hits.get(start, weight))
-            kept = [w for s, w in hits.items() if not any(a <= s < b for a, b in excused)]
-            return kept, len(words)
+                        hits[start] = max((weight, entry), hits.get(start, (weight, entry)))
+            kept = Counter(hit for s, hit in hits.items() if not any(a <= s < b for a, b in excused))
+            weights = [weight * (1 + math.log(n)) for (weight, _), n in kept.items()]
+            return weights, kept.total(), len(words)
 
         return match
 
-    def evidence(self, weights: list[float], words: int) -> float:
+    def evidence(self, weights: list[float], hits: int, words: int) -> float:
         """Sum of the weights per text of usual length; short texts are not scaled up."""
         return sum(weights) / max(1.0, math.sqrt(words / USUAL_WORDS))
 
@@ -267,9 +272,9 @@ def score(docs: DataFrame, lexicon: Lexicon, columns: tuple[str, ...] = ("doc_id
 
         def handle(texts, *others):
             for text, *kept in zip(texts, *others):
-                weights, words = match(text or "")
-                p = lexicon.probability(lexicon.evidence(weights, words))
-                yield (*kept, p, int(p >= 0.5), len(weights))
+                weights, hits, words = match(text or "")
+                p = lexicon.probability(lexicon.evidence(weights, hits, words))
+                yield (*kept, p, int(p >= 0.5), hits)
 
         return handle
 
