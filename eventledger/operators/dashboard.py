@@ -22,13 +22,6 @@ def tiles(
 
     Each part is reduced to one row before the parts are put side by side.
     """
-    age = F.unix_micros(at) - F.unix_micros("ts")
-    recent = samples.where((age >= 0) & (age < window_us))
-
-    def at_now(rated: DataFrame) -> DataFrame:
-        """The last value of each series, if it is not stale."""
-        return rated.where(age < series.STALENESS_US)
-
     def total(df: DataFrame, column: str, name: str) -> DataFrame:
         return df.agg(F.sum(column).alias(name))
 
@@ -50,15 +43,15 @@ def tiles(
         0.99, ["one"],
     ).agg(F.max("quantile").alias("p99_accept"))
 
-    rate = at_now(
-        series.counter_rate(recent.where(F.col("metric") == "orders_processed_total"), window_us)
+    # one pass over the samples for all counters and histograms
+    grown = series.increase_at(samples.where(F.col("metric") != "consumer_lag"), at, window_us)
+    grown = grown.where(F.col("increase").isNotNull())
+    le = F.when(F.col("label") == "+Inf", float("inf")).otherwise(F.col("label").try_cast("double"))
+    quantiles = series.histogram_quantile(
+        grown.where(F.col("metric").endswith("_bucket")).withColumn("le", le), 0.99, ["metric"], "increase"
     )
-    def p99_of(metric: str, name: str) -> DataFrame:
-        buckets = at_now(series.counter_increase(recent.where(F.col("metric") == metric), window_us))
-        le = F.when(F.col("label") == "+Inf", float("inf")).otherwise(F.col("label").try_cast("double"))
-        grown = buckets.where(F.col("increase").isNotNull()).withColumn("le", le).withColumn("one", F.lit(1))
-        return series.histogram_quantile(grown, 0.99, ["one"], "increase").agg(F.max("quantile").alias(name))
-
+    of_metric = lambda metric, name: F.max(F.when(F.col("metric") == metric, F.col("quantile"))).alias(name)
+    processed = grown.where(F.col("metric") == "orders_processed_total")
     lag = series.latest(samples.where(F.col("metric") == "consumer_lag"), at)
     parts = [
         accepted,
@@ -66,13 +59,15 @@ def tiles(
         rejected.agg(F.count("*").alias("rejected")),
         dead.agg(F.count("*").alias("dlq")),
         faults.agg(F.sum(F.col("attempts") - 1).alias("retries")),
-        total(rate, "rate", "throughput"),
+        processed.agg((F.sum("increase") / seconds).alias("throughput")),
         total(lag, "value", "lag"),
         frontier.agg(
             F.count("*").alias("partitions_owned"), F.count_if("blocked").alias("partitions_paused")
         ),
         p99_accept,
-        p99_of("order_processing_duration_seconds_bucket", "p99_persist"),
-        p99_of("order_end_to_end_latency_seconds_bucket", "p99_e2e"),
+        quantiles.agg(
+            of_metric("order_processing_duration_seconds_bucket", "p99_persist"),
+            of_metric("order_end_to_end_latency_seconds_bucket", "p99_e2e"),
+        ),
     ]
     return side_by_side(*parts)

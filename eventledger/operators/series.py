@@ -57,6 +57,17 @@ def counter_increase(
     )
 
 
+def increase_at(
+    samples: DataFrame, at: Column, window_us: int, series: Sequence[str] = SERIES
+) -> DataFrame:
+    """(series, increase) over (at - w, at], whenever the last sample was; NULL below two samples."""
+    age = F.unix_micros(at) - F.unix_micros("ts")
+    recent = samples.where((age >= 0) & (age < window_us))
+    previous = F.lag("value").over(Window.partitionBy(*series).orderBy("ts"))
+    step = F.when(F.col("value") < previous, F.col("value")).otherwise(F.col("value") - previous)
+    return recent.withColumn("_step", step).groupBy(*series).agg(F.sum("_step").alias("increase"))
+
+
 def counter_rate(
     samples: DataFrame, window_us: int, series: Sequence[str] = SERIES, extrapolate: bool = False
 ) -> DataFrame:

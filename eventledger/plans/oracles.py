@@ -318,6 +318,7 @@ def _tiles() -> str:
     done = "due_us + late_us + work_us"
     in_window = f"status IS NOT NULL AND {done} <= epoch_us({at}) AND {done} > epoch_us({at}) - {w}"
     fresh = f"ts <= {at} AND ts > {at} - to_microseconds(300000000)"
+    between = f"ts <= {at} AND prev_ts > {at} - to_microseconds({w})"
     accepted = f"""(SELECT min(CASE WHEN le = 'infinity'::DOUBLE THEN lower ELSE lower + (le - lower) * (0.99::DOUBLE * total - below) / (upto - below) END)
         FROM (SELECT *, coalesce(lag(le) OVER (ORDER BY le), 0) AS lower, coalesce(lag(upto) OVER (ORDER BY le), 0) AS below, max(upto) OVER () AS total
             FROM (SELECT le, count(*) FILTER (work_us / 1e6 <= le) AS upto FROM requests, (VALUES {_PRODUCE}, ('infinity'::DOUBLE)) AS b(le)
@@ -331,13 +332,16 @@ def _tiles() -> str:
         "rejected": "(SELECT count(*) FROM rejected WHERE reason <> 'accepted')",
         "dlq": "(SELECT count(*) FROM outcomes WHERE outcome = 'dead_letter')",
         "retries": "(SELECT sum(CASE n % 500 WHEN 3 THEN 5 WHEN 4 THEN 2 ELSE 0 END) FROM log WHERE n % 500 IN (3, 4, 5))",
-        "throughput": f"(SELECT sum(increase) / {seconds} FROM growth WHERE {fresh})",
+        "throughput": f"(SELECT sum(CASE WHEN value < prev THEN value ELSE value - prev END) / {seconds} FROM pairs WHERE {between})",
         "lag": f"(SELECT sum(value) FROM (SELECT label, arg_max(value, ts) AS value FROM gauge WHERE {fresh} GROUP BY label))",
         "partitions_owned": "(SELECT count(DISTINCT part) FROM log)",
         "partitions_paused": "(SELECT count(DISTINCT part) FROM log WHERE n % 1000 = 503)",
         "p99_accept": accepted,
         "p99_persist": "NULL",
-        "p99_e2e": f"(SELECT p99 FROM quantiles WHERE {fresh})",
+        "p99_e2e": f"""(SELECT min(CASE WHEN le = 'infinity'::DOUBLE THEN lower ELSE lower + (le - lower) * (0.99::DOUBLE * total - below) / (upto - below) END)
+        FROM (SELECT *, coalesce(lag(le) OVER (ORDER BY le), 0) AS lower, coalesce(lag(upto) OVER (ORDER BY le), 0) AS below, max(upto) OVER () AS total
+            FROM (SELECT le, sum(CASE WHEN value < prev THEN value ELSE value - prev END) AS upto FROM bucket_pairs WHERE {between} GROUP BY le))
+        WHERE total > 0 AND upto >= 0.99::DOUBLE * total AND upto > below)""",
     }
     return "SELECT " + ", ".join(
         f"round(coalesce(CAST({sql} AS DOUBLE), -1), 9) AS {name}" for name, sql in tiles.items()
@@ -566,7 +570,7 @@ def all_sql() -> dict[str, str]:
                 FROM range(0, (epoch_us(TIMESTAMP '{C.RANGE_END}') - epoch_us(TIMESTAMP '{C.RANGE_START}')) // {C.RANGE_STEP_US} + 1) AS t(i))
             ON tick_us >= epoch_us(ts) AND tick_us < epoch_us(ts) + 300000000 GROUP BY tick_us, label""", "gauge"),
         "dashboard_tiles": _with(
-            _tiles(), "outcomes", "requests", "rejected", "growth", "gauge", "quantiles"),
+            _tiles(), "outcomes", "requests", "rejected", "pairs", "gauge", "bucket_pairs"),
         "tumbling_rate": _with(
             """SELECT epoch_us(processed_at) // 30000000 * 30000000 AS window_us, tag, count(*) AS rows,
                 round(count(*) / 30.0::DOUBLE, 9) AS rate FROM store GROUP BY ALL""", "store"),
