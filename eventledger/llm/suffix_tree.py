@@ -4,7 +4,7 @@ Symbols are the bytes of the text's words in lower case, a space between two
 words and an end. Over all training documents the runs of DEPTH + 1 symbols are
 counted. A context of 1 to DEPTH symbols becomes a state if what follows it
 differs from what follows its own suffix by more than chance: the log-likelihood
-gained must exceed the description length of its distribution. Distributions are
+gained must exceed a price for each symbol kind of its distribution. Distributions are
 smoothed with those of the suffix. A text is scored by the longest state that
 ends at each symbol; the tree is run as an automaton over many stretches of text
 at once.
@@ -25,7 +25,9 @@ from eventledger.llm.common import share
 
 DEPTH = 5
 # Contexts are tested from this many occurrences on; the tree keeps so many states.
-LEAST_COUNT, STATES = 64, 20_000
+LEAST_COUNT, STATES = 8, 40_000
+# A context must gain this much log-likelihood per symbol kind and per e-fold of the corpus.
+PRICE = 0.1
 # Words whose counts are sent to the tasks.
 FREQUENT = 1 << 17
 # Symbols of a stretch of text in the scorer.
@@ -155,7 +157,7 @@ def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, stat
         passed = (
             tested.groupBy("context")
             .agg(gain.alias("gain"), F.max("kinds").alias("kinds"))
-            .where(F.col("gain") > 0.5 * F.col("kinds") * math.log(max(total, 2)))
+            .where(F.col("gain") > PRICE * F.col("kinds") * math.log(max(total, 2)))
             .select(F.lit(d).alias("depth"), "context", "gain")
         )
         found = passed if found is None else found.unionByName(passed)
