@@ -16,11 +16,6 @@ def elapsed_us(later: str, earlier: str) -> Column:
     return F.unix_micros(F.col(later)) - F.unix_micros(F.col(earlier))
 
 
-def run_tag(customer_id: Column) -> Column:
-    """The run a generated order belongs to: its customer id without the number."""
-    return F.regexp_extract(customer_id, "^(.*)-[^-]*$", 1)
-
-
 def latency_stats(
     df: DataFrame, elapsed: Column, by: Sequence[str] = (), method: str = CONTINUOUS
 ) -> DataFrame:

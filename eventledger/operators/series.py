@@ -128,14 +128,23 @@ def peak_over_run(
     """Largest sum over all series at one time, within each run's own span.
 
     ``runs``: run columns, run_start, run_end. Runs are expanded to the steps
-    they cover, so the two sides meet on equality.
+    they share with the samples, so the two sides meet on equality and a run
+    with a time far off makes no more rows than there are samples' steps.
     """
 
     def step_of(time: str) -> Column:
         return bucket_of(F.unix_micros(time), step_us)
 
     ticks = samples.groupBy("ts").agg(F.sum("value").alias("_total")).withColumn("_step", step_of("ts"))
-    covered = runs.withColumn("_step", F.explode(F.sequence(step_of("run_start"), step_of("run_end"))))
+    # one row
+    span = ticks.agg(F.min("_step").alias("_low"), F.max("_step").alias("_high"))
+    first, last = F.greatest(step_of("run_start"), F.col("_low")), F.least(step_of("run_end"), F.col("_high"))
+    covered = (
+        runs.join(F.broadcast(span))
+        .where(first <= last)
+        .withColumn("_step", F.explode(F.sequence(first, last)))
+        .drop("_low", "_high")
+    )
     return (
         covered.join(ticks, "_step")
         .where((F.col("ts") >= F.col("run_start")) & (F.col("ts") <= F.col("run_end")))

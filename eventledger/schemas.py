@@ -44,11 +44,10 @@ BACKOFF_BASE_MS = 100
 BACKOFF_MAX_MS = 5_000
 BACKOFF_BUDGET_MS = 45_000
 
-# Histogram bucket bounds in seconds.
+# Histogram bucket bounds in seconds.
 PROCESSING_BUCKETS = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30]
 END_TO_END_BUCKETS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30, 60]
 PRODUCE_BUCKETS = [0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5]
-READ_BUCKETS = [0.0005, 0.001, 0.0025, 0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1]
 
 # Schemas.
 
@@ -100,17 +99,10 @@ STORE = T.StructType([
     T.StructField("processed_at", T.TimestampType()),
 ])
 
+# Committed offsets of a group, appended by each run.
 OFFSETS = T.StructType([
     T.StructField("group_id", T.StringType()),
     T.StructField("topic", T.StringType()),
     T.StructField("partition", T.IntegerType()),
     T.StructField("next_offset", T.LongType()),
 ])
-
-SINK_FAULTS = T.StructType([
-    T.StructField("partition", T.IntegerType()),
-    T.StructField("offset", T.LongType()),
-    T.StructField("sqlstate", T.StringType()),
-    T.StructField("attempts", T.IntegerType()),
-    T.StructField("recovered", T.BooleanType()),
-])

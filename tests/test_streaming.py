@@ -7,6 +7,7 @@ from eventledger.sources.record_log import read_log
 from eventledger.streaming import persist_job as P
 from eventledger.streaming.ingest_job import REJECTIONS, IngestJob
 from eventledger.operators.reads import get_order
+from eventledger.streaming.drain_job import DrainJob
 from eventledger.streaming.replay_job import ReplayJob
 from eventledger.streaming.retry import RetryPolicy, SinkError, sink_error, with_retry
 from eventledger.streaming.store import (
@@ -255,6 +256,24 @@ def test_lookups_read_one_bucket(spark, log_folder):
     assert BUCKET in plan and [r.event_id for r in met.collect()] == [ids[0]]
 
 
+def test_drain_holds_a_blocked_partition_and_moves_the_others(spark, folder):
+    rows = [record(p, o, event(uid(f"e{p}-{o}"), uid(f"o{p}-{o}"))) for p in (0, 1) for o in range(6) if (p, o) != (1, 2)]
+    log = log_frame(spark, [*rows, record(1, 2, "{not json")])
+    paths = [folder + x for x in ("/store", "/dlq", "/commits")]
+    down = lambda dead: dead.where("partition = 1")
+    seen = {r.partition: (r.next_offset, r.blocked) for r in DrainJob(spark, *paths, unparkable=down).run(log).collect()}
+    assert seen == {0: (6, False), 1: (2, True)}
+    assert read_batches(spark, paths[0], S.STORE).count() == 8
+    assert read_batches(spark, paths[1], S.RECORD).count() == 0
+    # once it can be parked, the rest follows, in bounded steps
+    job = DrainJob(spark, *paths, most_records=3)
+    assert [(r.partition, r.next_offset) for r in job.run(log).collect()] == [(1, 5)]
+    assert [(r.partition, r.next_offset) for r in job.run(log).collect()] == [(1, 6)]
+    assert job.run(log).count() == 0
+    assert read_batches(spark, paths[0], S.STORE).count() == 11
+    assert read_batches(spark, paths[1], S.RECORD).count() == 1
+
+
 def test_retry_budget():
     now, waits = [0.0], []
 
