@@ -232,63 +232,93 @@ def _agreement(small: np.ndarray) -> np.ndarray:
     return (out - 1 / 16) / (1 - 1 / 16)
 
 
-def _candidates(forest: bool):
-    """Pairs of a bucket's piece worth verifying.
+class _Forest:
+    """Which members are joined already."""
 
-    With ``forest`` a spanning forest of the likely pairs, the most similar first:
-    fewer pairs than members. Without it the likely pairs of members whose
-    components differ, where one of the two is at home in this piece.
+    def __init__(self, names):
+        self.above = {name: name for name in names}
+
+    def root(self, name):
+        while self.above[name] != name:
+            self.above[name] = self.above[self.above[name]]
+            name = self.above[name]
+        return name
+
+    def join(self, one, two) -> bool:
+        one, two = self.root(one), self.root(two)
+        self.above[one] = two
+        return one != two
+
+
+def _likely(small: np.ndarray):
+    """Pairs of a piece whose signatures agree enough, the most similar first."""
+    likely = _agreement(small)
+    one, two = np.nonzero(likely >= SCREEN)
+    order = np.argsort(-likely[one, two], kind="stable")
+    return zip(one[order].tolist(), two[order].tolist())
+
+
+def _pairs(left: list, right: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(map(min, left, right), pa.binary()), pa.array(map(max, left, right), pa.binary())], names=["u", "v"]
+    )
+
+
+def _forest_pairs(batches):
+    """A spanning forest of the likely pairs of each piece: fewer pairs than members."""
+    for table, cuts in _groups(batches):
+        tids = table.column("tid").to_pylist()
+        small = np.array([np.frombuffer(b, np.uint8) for b in table.column("small").to_pylist()])
+        left, right = [], []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a < 2:
+                continue
+            forest = _Forest(range(a, b))
+            for i, j in _likely(small[a:b]):
+                if forest.join(a + i, a + j):
+                    left.append(tids[a + i])
+                    right.append(tids[a + j])
+        yield _pairs(left, right)
+
+
+def _links_between(similarity: float):
+    """Verified links of a piece that join two components, found among all its likely pairs.
+
+    A pair is looked at where one of the two is at home, and its links form a
+    forest over the components: fewer of them than components.
     """
 
     def run(batches):
         for table, cuts in _groups(batches):
             tids = table.column("tid").to_pylist()
             small = np.array([np.frombuffer(b, np.uint8) for b in table.column("small").to_pylist()])
-            home = table.column("home").to_pylist()
-            component = table.column("component").to_pylist()
+            home, component = table.column("home").to_pylist(), table.column("component").to_pylist()
+            units = table.column("units").combine_chunks()
+            ends, values = units.offsets.to_numpy(), units.values.to_numpy()
             left, right = [], []
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                a, b = int(a), int(b)
-                if b - a < 2:
-                    continue
-                likely = _agreement(small[a:b])
-                one, two = np.nonzero(likely >= SCREEN)
-                order = np.argsort(-likely[one, two], kind="stable")
-                root = list(range(b - a))
-
-                def find(x):
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for i, j in zip(one[order].tolist(), two[order].tolist()):
-                    if forest:
-                        ri, rj = find(i), find(j)
-                        if ri == rj:
-                            continue
-                        root[ri] = rj
-                    elif component[a + i] == component[a + j] or not (home[a + i] or home[a + j]):
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                forest = _Forest(component[a:b])
+                for i, j in _likely(small[a:b]) if b - a > 1 else ():
+                    i, j = a + i, a + j
+                    if not (home[i] or home[j]) or forest.root(component[i]) == forest.root(component[j]):
                         continue
-                    x, y = tids[a + i], tids[a + j]
-                    left.append(min(x, y))
-                    right.append(max(x, y))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["u", "v"]
-            )
+                    one, two = values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]
+                    if min(len(one), len(two)) < similarity * max(len(one), len(two)):
+                        continue
+                    shared = len(np.intersect1d(one, two, assume_unique=True))
+                    if shared >= similarity * (len(one) + len(two) - shared):
+                        forest.join(component[i], component[j])
+                        left.append(tids[i])
+                        right.append(tids[j])
+            yield _pairs(left, right)
 
     return run
 
 
-def _compare(members: DataFrame, forest: bool) -> DataFrame:
+def _by_piece(members: DataFrame) -> DataFrame:
+    """Rows of a piece of a bucket together, in the order that ``_groups`` expects."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (
-        members.select("key", "piece", "tid", "small", "home", "component")
-        .repartition(parts, "key", "piece")
-        .sortWithinPartitions("key", "piece", "tid")
-        .mapInArrow(_candidates(forest), "u binary, v binary")
-        .distinct()
-    )
+    return members.repartition(parts, "key", "piece").sortWithinPartitions("key", "piece", "tid")
 
 
 def _verified(pairs: DataFrame, units: DataFrame, similarity: float) -> DataFrame:
@@ -311,9 +341,10 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     documents without ids apart. Other columns are not read.
 
     Links are found in two rounds over the buckets of all bands. The first
-    verifies a spanning forest of each bucket. The second verifies every likely
-    pair that still lies in two components, so what stays unverified cannot
-    join anything. Copies of one text are one node throughout.
+    verifies a spanning forest of each bucket. The second verifies, inside the
+    pieces of the buckets that still hold several components, every likely pair
+    of two components, so what stays unverified cannot join anything. Copies of
+    one text are one node throughout.
     """
     sketched = (
         docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("text_hash"), F.coalesce("text", F.lit("")).alias("text"))
@@ -341,10 +372,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     own = F.pmod(F.xxhash64("tid"), pieces).cast("int")
     small = wanted.select("tid", "small")
 
-    first = buckets.join(small, "tid").select(
-        "key", own.alias("piece"), "tid", "small", F.lit(True).alias("home"), F.lit(b"").alias("component")
-    )
-    tried = compacted(_compare(first, True))
+    first = buckets.join(small, "tid").select("key", own.alias("piece"), "tid", "small")
+    tried = compacted(_by_piece(first).mapInArrow(_forest_pairs, "u binary, v binary").distinct())
     links = compacted(_verified(tried, units, similarity))
     joined = components(links)
     # which component each member of a bucket is in now, and the largest of the bucket
@@ -360,14 +389,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .select("key", "main")
     )
     spread = F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), pieces - 1))
+    # the multisets travel with the members of open buckets, so that no pair has to be sent to be verified
     second = (
         labelled.join(open_buckets, "key")
         .select("key", "tid", "component", own.alias("own"), F.explode(spread).alias("piece"))
         .join(small, "tid")
-        .select("key", "piece", "tid", "small", (F.col("piece") == F.col("own")).alias("home"), "component")
+        .join(units, "tid")
+        .select("key", "piece", "tid", "small", "units", (F.col("piece") == F.col("own")).alias("home"), "component")
+    )
+    more = compacted(
+        _by_piece(second).mapInArrow(_links_between(similarity), "u binary, v binary").distinct()
     )
-    untried = _compare(second, False).join(tried, ["u", "v"], "left_anti")
-    more = compacted(_verified(compacted(untried), units, similarity))
     final = components(links.union(more)).withColumnRenamed("node", "tid").withColumnRenamed("component", "_class")
     lone = F.concat(F.lit("-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.col("text_hash").cast("string"))
     rows = (
