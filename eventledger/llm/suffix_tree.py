@@ -5,9 +5,10 @@ words and an end. Over all training documents the runs of DEPTH + 1 symbols are
 counted. A context of 1 to DEPTH symbols becomes a state if what follows it
 differs from what follows its own suffix by more than chance: the log-likelihood
 gained must exceed a price for each symbol kind of its distribution. Distributions are
-smoothed with those of the suffix. A text is scored by the longest state that
-ends at each symbol; the tree is run as an automaton over many stretches of text
-at once.
+smoothed with those of the suffix. Every context that passes is kept; only the
+test, whose price rises with the corpus, bounds the tree. A text is scored by the
+longest state that ends at each symbol: the different runs of a batch of texts are
+followed down the tree together, from the root to longer and longer contexts.
 
 Beside it stands the unigram baseline over whole words, whose counts are kept as
 a table and joined; only the most frequent ones, a bounded number, are sent to
@@ -24,14 +25,12 @@ from eventledger.llm.byte_words import chunks, joined_bytes, not_space, word_has
 from eventledger.llm.common import share
 
 DEPTH = 5
-# Contexts are tested from this many occurrences on; the tree keeps so many states.
-LEAST_COUNT, STATES = 8, 40_000
+# Contexts are tested from this many occurrences on.
+LEAST_COUNT = 8
 # A context must gain this much log-likelihood per symbol kind and per e-fold of the corpus.
 PRICE = 0.1
 # Words whose counts are sent to the tasks.
 FREQUENT = 1 << 17
-# Symbols of a stretch of text in the scorer.
-STRETCH = 512
 
 # The symbols between words and at the end of a text.
 SPACE, END = 0x20, 0x0A
@@ -55,8 +54,8 @@ def symbols(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return folded[keep], upto[begins], hashes, first
 
 
-def run_counts(stream: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different runs of DEPTH + 1 symbols, packed into integers, with counts.
+def packed_runs(stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Per symbol the run of DEPTH + 1 symbols that ends there, packed into an integer.
 
     Before a text stand DEPTH ends.
     """
@@ -69,7 +68,12 @@ def run_counts(stream: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.n
             symbol[back:] = stream[: n - back]
         symbol[into < back] = END
         packed = packed << 8 | symbol
-    return np.unique(packed, return_counts=True)
+    return packed
+
+
+def run_counts(stream: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different runs of DEPTH + 1 symbols with counts."""
+    return np.unique(packed_runs(stream, begins), return_counts=True)
 
 
 def _gathered(batches):
@@ -121,11 +125,10 @@ def gather(training: DataFrame) -> DataFrame:
     )
 
 
-def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, states: int = STATES) -> DataFrame:
-    """(depth, context, symbol, n) of the root and of the contexts that pass the divergence test.
+def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT) -> DataFrame:
+    """(depth, context, symbol, n) of the root and of all contexts that pass the divergence test.
 
-    ``runs`` has key and n. At most ``states`` contexts are kept, those that gain
-    most; that is the size of the model.
+    ``runs`` has key and n.
     """
 
     def last(column: str, count: int) -> Column:
@@ -158,96 +161,97 @@ def retained(runs: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, stat
             tested.groupBy("context")
             .agg(gain.alias("gain"), F.max("kinds").alias("kinds"))
             .where(F.col("gain") > PRICE * F.col("kinds") * math.log(max(total, 2)))
-            .select(F.lit(d).alias("depth"), "context", "gain")
+            .select(F.lit(d).alias("depth"), "context")
         )
         found = passed if found is None else found.unionByName(passed)
-    kept = found.orderBy(F.desc("gain"), "depth", "context").limit(states).checkpoint()
+    kept = found.checkpoint()
     out = by_depth[0].select(F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("context"), F.col("run").alias("symbol"), "n")
     for d in range(1, depth + 1):
         follows = by_depth[d].select(F.shiftright("run", 8).alias("context"), last("run", 1).alias("symbol"), "n")
         chosen = kept.where(F.col("depth") == d).select("context")
         out = out.unionByName(
-            follows.join(F.broadcast(chosen), "context").select(F.lit(d).alias("depth"), "context", "symbol", "n")
+            follows.join(chosen, "context").select(F.lit(d).alias("depth"), "context", "symbol", "n")
         )
     return out
 
 
 class SuffixTree:
-    """The tree as an automaton: per state and symbol a log probability and the next state."""
+    """The tree by depth: sorted contexts, and sorted runs of a context and a symbol that followed it.
+
+    Its size is that of the kept counts, whatever the number of symbols.
+    """
 
     def __init__(self, depths, contexts, symbols, counts, depth: int = DEPTH):
         """Four arrays of equal length: per state (its depth and packed context) what follows how often."""
-        order = np.lexsort((symbols, contexts, depths))
-        depths, contexts, symbols, counts = (np.asarray(x)[order] for x in (depths, contexts, symbols, counts))
-        new = np.ones(len(order), bool)
-        new[1:] = (depths[1:] != depths[:-1]) | (contexts[1:] != contexts[:-1])
-        starts = np.flatnonzero(new)
-        nothing = np.zeros(0, np.int64)
-        follows = {b"": (nothing, nothing)}
-        for a, b in zip(starts, np.append(starts[1:], len(order))):
-            follows[int(contexts[a]).to_bytes(int(depths[a]), "big")] = (symbols[a:b].astype(np.int64), counts[a:b])
-        # beginnings and suffixes of states are states too, so that steps stay inside the tree
-        names = {c[i:j] for c in follows for i in range(len(c) + 1) for j in range(i, len(c) + 1)}
-        states = sorted(names, key=lambda c: (len(c), c))
-        number = {c: i for i, c in enumerate(states)}
-        longer: list[list[tuple[int, int]]] = [[] for _ in states]
-        for i, name in enumerate(states[1:], 1):
-            longer[number[name[:-1]]].append((name[-1], i))
-        self.retained, self.depth = len(follows), depth
-        used = sorted({END, SPACE, *np.unique(symbols).tolist()})
+        self.depth, self.retained = depth, 0
+        self.runs, self.own, self.contexts, self.left = [], [], [], []
+        for d in range(depth + 1):
+            here = np.flatnonzero(depths == d)
+            runs = contexts[here].astype(np.int64) << 8 | symbols[here]
+            order = np.argsort(runs)
+            runs, often = runs[order], counts[here][order]
+            names, starts = np.unique(runs >> 8, return_index=True)
+            kinds = np.diff(np.append(starts, len(runs)))
+            every = np.add.reduceat(often, starts) + kinds if len(starts) else kinds
+            # what has not followed here is left to the suffix, by the number of kinds seen
+            self.runs.append(runs)
+            self.own.append((often / np.repeat(every, kinds)).astype(np.float32))
+            self.contexts.append(names)
+            self.left.append((kinds / every).astype(np.float32))
+            self.retained += len(names)
+        root = np.flatnonzero(depths == 0)
+        kinds, often = symbols[root].astype(np.int64), counts[root]
+        self.root = np.full(256, 0.5 / (often.sum() + 128))
+        self.root[kinds] = (often + 0.5) / (often.sum() + 128)
         # one column per symbol seen in training, and one for all others
-        self.column = np.full(256, len(used), np.int64)
-        self.column[used] = np.arange(len(used))
-        width = len(used) + 1
-        chance = np.zeros((len(states), width), np.float32)
-        step = np.zeros((len(states), width), np.int32)
-        kinds, often = follows[b""]
-        seen = int(often.sum())
-        chance[0, :] = 0.5 / (seen + 128)
-        chance[0, self.column[kinds]] = (often + 0.5) / (seen + 128)
-        for i, name in enumerate(states):
-            if name:
-                shorter = number[name[1:]]
-                step[i] = step[shorter]
-                chance[i] = chance[shorter]
-                if name in follows:
-                    # what has not followed here is left to the suffix, by the number of kinds seen
-                    kinds, often = follows[name]
-                    every = int(often.sum()) + len(kinds)
-                    chance[i] *= len(kinds) / every
-                    chance[i, self.column[kinds]] += often / every
-            for symbol, child in longer[i]:
-                step[i, self.column[symbol]] = child
-        # a text begins after DEPTH ends, whatever stood before
-        begin = max((number[c] for c in (bytes([END]) * d for d in range(depth + 1)) if c in number), key=lambda i: len(states[i]))
-        step[:, self.column[END]] = begin
-        self.begin, self.width = begin, width
-        self.logs = (np.log(chance) / math.log(10)).astype(np.float32).reshape(-1)
-        self.step = step.reshape(-1)
+        self.used = sorted({END, SPACE, *np.unique(symbols).tolist()})
+        self.column = np.full(256, len(self.used), np.int64)
+        self.column[self.used] = np.arange(len(self.used))
+        self.width = len(self.used) + 1
+
+    def chances(self, runs: np.ndarray, depth: int) -> np.ndarray:
+        """The probability of the last symbol of each of the different ``runs`` after the ``depth`` before it."""
+        if depth == 0:
+            return self.root[runs]
+        shorter, where = np.unique(runs & ((1 << 8 * depth) - 1), return_inverse=True)
+        out = self.chances(shorter, depth - 1)[where]
+        names, known = self.contexts[depth], self.runs[depth]
+        if len(names):
+            context = runs >> 8
+            at = np.minimum(np.searchsorted(names, context), len(names) - 1)
+            hit = np.flatnonzero(names[at] == context)
+            out[hit] *= self.left[depth][at[hit]]
+            follows = runs[hit]
+            at = np.minimum(np.searchsorted(known, follows), len(known) - 1)
+            seen = known[at] == follows
+            out[hit[seen]] += self.own[depth][at[seen]]
+        return out
+
+    @property
+    def logs(self) -> np.ndarray:
+        """log10 of the probability of each column after each state, row by row; for looking into small trees."""
+        ends = [*self.used, *np.flatnonzero(self.column == len(self.used))[:1]]
+        rows = [
+            self.chances(np.array([context << 8 | end]), d)
+            for d in range(self.depth + 1)
+            for context in self.contexts[d].tolist()
+            for end in ends
+        ]
+        return np.log10(np.concatenate(rows)) if rows else np.zeros(0)
 
     def scores(self, stream: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
-        n, warm = len(stream), self.depth
-        if n == 0:
+        if len(stream) == 0:
             return np.zeros(len(begins) - 1)
-        count = -(-n // STRETCH)
-        padded = np.full(warm + count * STRETCH, END, np.uint8)
-        padded[warm : warm + n] = stream
-        columns = self.column[padded]
-        state = np.full(count, self.begin, np.int64)
-        logs = np.empty((STRETCH, count), np.float32)
-        starts = np.arange(count) * STRETCH
-        for t in range(warm + STRETCH):
-            at = state * self.width + columns[starts + t]
-            if t >= warm:  # by then the state depends on the symbols before only
-                logs[t - warm] = self.logs[at]
-            state = self.step[at].astype(np.int64)
-        each = logs.T.reshape(-1)[:n].astype(np.float64)
+        runs, where = np.unique(packed_runs(stream, begins), return_inverse=True)
+        each = np.log10(self.chances(runs, self.depth))[where]
         return np.add.reduceat(each, begins[:-1])
 
 
 def fit(counts: DataFrame) -> SuffixTree:
-    found = retained(counts.where("kind = 0")).toArrow()
+    found = retained(counts.where("kind = 0")).select(
+        F.col("depth").cast("tinyint"), "context", F.col("symbol").cast("smallint"), "n"
+    ).toArrow()
     return SuffixTree(*(found.column(c).to_numpy() for c in ("depth", "context", "symbol", "n")))
 
 

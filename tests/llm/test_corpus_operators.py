@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -323,6 +324,21 @@ def test_distributions_sum_to_one_and_stretches_agree():
 # ---- neighbours
 
 
+def test_the_tree_keeps_every_context_that_passes(spark):
+    # more contexts differ from their suffixes than a model of 40,000 states can hold
+    draw = np.random.default_rng(3)
+    contexts = np.unique(draw.integers(1 << 39, 1 << 40, 45_000))
+    usual = contexts.astype(np.int64) << 8 | draw.integers(97, 123, len(contexts))
+    runs = spark.createDataFrame(pa.table({"key": usual, "n": np.full(len(usual), 5_000)}))
+    counts = runs.withColumn("kind", F.lit(0)).select("kind", "key", "n")
+    found = suffix_tree.retained(counts)
+    kept = found.select("depth", "context").distinct().count()
+    assert kept > 40_000
+    tree = suffix_tree.fit(counts)
+    assert tree.retained == kept
+    assert tree.chances(usual, suffix_tree.DEPTH).min() > 0.9
+
+
 def test_curve_is_a_walk():
     for dims, bits in ((2, 4), (3, 3)):
         cells = np.array(np.meshgrid(*[range(1 << bits)] * dims)).reshape(dims, -1).T
