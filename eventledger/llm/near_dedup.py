@@ -27,7 +27,8 @@ PLACES, ROWS = 256, 8  # 32 bands of 8 places: a pair at 0.8 meets with probabil
 # Pairs whose signatures agree less than this are not verified: 2.5 standard
 # deviations below 0.8 at 256 places of half a byte.
 SCREEN = 0.735
-# Members of a bucket compared in one piece; larger buckets are cut into pieces.
+# Members of a bucket in one piece; larger buckets are cut into pieces by a hash,
+# and no task holds more than two pieces of a bucket at once.
 PIECE = 512
 
 
@@ -222,13 +223,18 @@ def _groups(batches):
         yield rest, np.array([0, rest.num_rows])
 
 
-def _agreement(small: np.ndarray) -> np.ndarray:
-    """Estimated similarity of all pairs of a piece, row by row (half a byte agrees by chance in 1 of 16)."""
-    n = len(small)
+def _agreement(small: np.ndarray, others: np.ndarray | None = None) -> np.ndarray:
+    """Estimated similarity of all pairs of a piece, or of each of it with each of the others.
+
+    Row by row; half a byte agrees by chance in 1 of 16.
+    """
     small = np.concatenate([small >> 4, small & 15], axis=1)
-    out = np.zeros((n, n), np.float32)
-    for i in range(n - 1):
-        out[i, i + 1 :] = (small[i + 1 :] == small[i]).mean(axis=1)
+    within = others is None
+    others = small if within else np.concatenate([others >> 4, others & 15], axis=1)
+    out = np.zeros((len(small), len(others)), np.float32)
+    for i in range(len(small)):
+        first = i + 1 if within else 0
+        out[i, first:] = (others[first:] == small[i]).mean(axis=1)
     return (out - 1 / 16) / (1 - 1 / 16)
 
 
@@ -258,6 +264,26 @@ def _likely(small: np.ndarray):
     return zip(one[order].tolist(), two[order].tolist())
 
 
+# What a row of a tile is: of the first piece, whose pairs are looked at here (INNER)
+# or in another tile (OUTER), or of the second piece (OTHER).
+INNER, OUTER, OTHER = 0, 1, 2
+
+
+def _likely_in_tile(small: np.ndarray, side: np.ndarray):
+    """Pairs of a tile's first piece with its second, and within an inner first piece, the most similar first."""
+    first, second = np.flatnonzero(side != OTHER), np.flatnonzero(side == OTHER)
+    found = []
+    blocks = [(first, second, _agreement(small[first], small[second]))]
+    if (side == INNER).any():
+        blocks.append((first, first, _agreement(small[first])))
+    for left, right, likely in blocks:
+        one, two = np.nonzero(likely >= SCREEN)
+        found.append((left[one], right[two], likely[one, two]))
+    one, two, value = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(-value, kind="stable")
+    return zip(one[order].tolist(), two[order].tolist())
+
+
 def _pairs(left: list, right: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(map(min, left, right), pa.binary()), pa.array(map(max, left, right), pa.binary())], names=["u", "v"]
@@ -282,25 +308,24 @@ def _forest_pairs(batches):
 
 
 def _links_between(similarity: float):
-    """Verified links of a piece that join two components, found among all its likely pairs.
+    """Verified links of a tile that join two components, found among all its likely pairs.
 
-    A pair is looked at where one of the two is at home, and its links form a
-    forest over the components: fewer of them than components.
+    The links form a forest over the components: fewer of them than components.
     """
 
     def run(batches):
         for table, cuts in _groups(batches):
             tids = table.column("tid").to_pylist()
             small = np.array([np.frombuffer(b, np.uint8) for b in table.column("small").to_pylist()])
-            home, component = table.column("home").to_pylist(), table.column("component").to_pylist()
+            side, component = table.column("side").to_numpy(), table.column("component").to_pylist()
             units = table.column("units").combine_chunks()
             ends, values = units.offsets.to_numpy(), units.values.to_numpy()
             left, right = [], []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 forest = _Forest(component[a:b])
-                for i, j in _likely(small[a:b]) if b - a > 1 else ():
+                for i, j in _likely_in_tile(small[a:b], side[a:b]):
                     i, j = a + i, a + j
-                    if not (home[i] or home[j]) or forest.root(component[i]) == forest.root(component[j]):
+                    if forest.root(component[i]) == forest.root(component[j]):
                         continue
                     one, two = values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]]
                     if min(len(one), len(two)) < similarity * max(len(one), len(two)):
@@ -315,6 +340,36 @@ def _links_between(similarity: float):
     return run
 
 
+def _tiles(members: DataFrame) -> DataFrame:
+    """Each member of an open bucket in every tile it takes part in: key, piece (the tile), tid, component, side.
+
+    ``members`` has key, tid, component, inside (of the bucket's main component),
+    n_all and n_main. What is inside and what is not are cut into pieces; a tile
+    is two pieces outside, or one outside and one inside, so each pair of which
+    one is outside lies in one tile. Pairs inside are joined already.
+    """
+    pieces = lambda n: F.greatest(F.ceil(n / F.lit(PIECE)), F.lit(1)).cast("int")
+    outer, inner = pieces(F.col("n_all") - F.col("n_main")), pieces(F.col("n_main"))
+    own = F.pmod(F.xxhash64("tid"), F.when(F.col("inside"), inner).otherwise(outer)).cast("int")
+    tile = lambda piece, side: F.struct(piece.cast("bigint").alias("piece"), side.cast("int").alias("side"))
+    each = lambda n: F.sequence(F.lit(0), n - 1)
+    a = F.col("own")
+    with_main = F.transform(
+        each(F.col("inner")),
+        lambda c: tile(a.cast("bigint") * F.col("stride") + F.col("outer") + c, F.when(c == 0, INNER).otherwise(OUTER)),
+    )
+    with_outer = F.transform(
+        F.filter(each(F.col("outer")), lambda o: o != a),
+        lambda o: tile(F.least(a, o).cast("bigint") * F.col("stride") + F.greatest(a, o), F.when(a < o, OUTER).otherwise(OTHER)),
+    )
+    of_main = F.transform(each(F.col("outer")), lambda o: tile(o.cast("bigint") * F.col("stride") + F.col("outer") + a, F.lit(OTHER)))
+    return (
+        members.select("*", own.alias("own"), outer.alias("outer"), inner.alias("inner"), (outer + inner).alias("stride"))
+        .select("key", "tid", "component", F.explode(F.when(F.col("inside"), of_main).otherwise(F.concat(with_main, with_outer))).alias("tile"))
+        .select("key", "tile.piece", "tid", "component", "tile.side")
+    )
+
+
 def _by_piece(members: DataFrame) -> DataFrame:
     """Rows of a piece of a bucket together, in the order that ``_groups`` expects."""
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -341,9 +396,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     documents without ids apart. Other columns are not read.
 
     Links are found in two rounds over the buckets of all bands. The first
-    verifies a spanning forest of each bucket. The second verifies, inside the
-    pieces of the buckets that still hold several components, every likely pair
-    of two components, so what stays unverified cannot join anything. Copies of
+    verifies a spanning forest of each piece of a bucket. The second verifies, in
+    tiles of two pieces of the buckets that still hold several components, every
+    likely pair of two components, so what stays unverified cannot join anything. Copies of
     one text are one node throughout.
     """
     sketched = (
@@ -388,15 +443,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .where("low != high")
         .select("key", "main")
     )
-    spread = F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), pieces - 1))
+    members = labelled.join(open_buckets, "key")
+    inside = F.col("component") == F.col("main")
     # the multisets travel with the members of open buckets, so that no pair has to be sent to be verified
-    second = (
-        labelled.join(open_buckets, "key")
-        .select("key", "tid", "component", own.alias("own"), F.explode(spread).alias("piece"))
-        .join(small, "tid")
-        .join(units, "tid")
-        .select("key", "piece", "tid", "small", "units", (F.col("piece") == F.col("own")).alias("home"), "component")
-    )
+    second = _tiles(
+        members.join(
+            members.groupBy("key").agg(F.count("*").alias("n_all"), F.count(F.when(inside, 1)).alias("n_main")), "key"
+        ).select("key", "tid", "component", inside.alias("inside"), "n_all", "n_main")
+    ).join(small, "tid").join(units, "tid").select("key", "piece", "tid", "small", "units", "side", "component")
     more = compacted(
         _by_piece(second).mapInArrow(_links_between(similarity), "u binary, v binary").distinct()
     )

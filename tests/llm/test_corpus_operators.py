@@ -241,6 +241,28 @@ def test_near_classes_equal_brute_force(spark, copied, monkeypatch):
     assert classes() == expected
 
 
+def test_tiles_of_an_open_bucket_are_bounded_and_hold_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PIECE", 16)
+    bucket = [(1, f"{i:04}".encode(), f"c{i}" if i >= 60 else "main", i < 60, 300, 60) for i in range(300)]
+    bucket += [(2, f"{i:04}".encode(), f"c{i}" if i else "main", i < 1, 5, 1) for i in range(5)]
+    df = spark.createDataFrame(bucket, "key bigint, tid binary, component string, inside boolean, n_all bigint, n_main bigint")
+    tiles = defaultdict(list)
+    for r in near_dedup._tiles(df).collect():
+        tiles[r.key, r.piece].append((bytes(r.tid), r.side))
+    assert max(map(len, tiles.values())) < 80  # two pieces as a hash deals them, not all that is outside
+    assert len([t for t in tiles if t[0] == 2]) == 1
+    seen = Counter()
+    for (key, _), rows in tiles.items():
+        side = np.array([s for _, s in rows])
+        alike = np.zeros((len(rows), near_dedup.PLACES // 2), np.uint8)
+        for i, j in near_dedup._likely_in_tile(alike, side):
+            seen[key, *sorted((rows[i][0], rows[j][0]))] += 1
+    inside = {(key, tid) for key, tid, _, main, *_ in bucket if main}
+    names = {key: sorted(r[1] for r in bucket if r[0] == key) for key in (1, 2)}
+    want = {(k, a, b) for k, n in names.items() for x, a in enumerate(n) for b in n[x + 1 :] if not {(k, a), (k, b)} <= inside}
+    assert set(seen) == want and set(seen.values()) == {1}
+
+
 def test_one_of_each(spark, copied):
     df = docs_of(spark, copied)
     left = near_dedup.one_of_each(df)
