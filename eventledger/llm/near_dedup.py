@@ -24,9 +24,11 @@ from eventledger.llm.components import compacted, components
 
 WORDS, SIMILARITY = 5, 0.8
 PLACES, ROWS = 256, 8  # 32 bands of 8 places: a pair at 0.8 meets with probability 0.997
-# Pairs whose signatures agree less than this are not verified: 2.5 standard
+# Pairs whose signatures agree less than this are not verified: 4 standard
 # deviations below 0.8 at 256 places of half a byte.
-SCREEN = 0.735
+SCREEN = 0.695
+# The first round tries likelier pairs only, as the second looks at the rest.
+FIRST_SCREEN = 0.735
 # Members of a bucket in one piece; larger buckets are cut into pieces by a hash,
 # and no task holds more than two pieces of a bucket at once.
 PIECE = 512
@@ -257,9 +259,9 @@ class _Forest:
 
 
 def _likely(small: np.ndarray):
-    """Pairs of a piece whose signatures agree enough, the most similar first."""
+    """Pairs of a piece whose signatures agree enough for the first round, the most similar first."""
     likely = _agreement(small)
-    one, two = np.nonzero(likely >= SCREEN)
+    one, two = np.nonzero(likely >= FIRST_SCREEN)
     order = np.argsort(-likely[one, two], kind="stable")
     return zip(one[order].tolist(), two[order].tolist())
 

@@ -263,6 +263,16 @@ def test_tiles_of_an_open_bucket_are_bounded_and_hold_each_pair_once(spark, monk
     assert set(seen) == want and set(seen.values()) == {1}
 
 
+def test_the_screen_leaves_pairs_at_the_limit_to_the_overlap():
+    # places agree in a pair at 0.8 with 0.8 + 0.2 / 16; all but few such pairs must reach the exact overlap
+    agree = np.random.default_rng(1).random((20_000, near_dedup.PLACES)) < 0.8 + 0.2 / 16
+    halves = np.where(agree, 0, 1).astype(np.uint8)
+    others = halves[:, ::2] << 4 | halves[:, 1::2]
+    small = np.concatenate([np.zeros((1, near_dedup.PLACES // 2), np.uint8), others])
+    side = np.array([near_dedup.OUTER] + [near_dedup.OTHER] * len(others))
+    assert len(list(near_dedup._likely_in_tile(small, side))) > 0.9995 * len(others)
+
+
 def test_one_of_each(spark, copied):
     df = docs_of(spark, copied)
     left = near_dedup.one_of_each(df)
