@@ -8,12 +8,15 @@ from eventledger.llm import (
     bpe_stream,
     decontaminate,
     hilbert_ann,
+    license_templates,
     line_dedup,
     near_dedup,
+    phrases,
     secret_scan,
     shards,
     suffix_tree,
     token_counts,
+    token_overlaps,
     toxicity,
 )
 from eventledger.llm.common import read
@@ -117,6 +120,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_templates.scan(read(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"), support=30, most=2000)
+
+
+def op13_token_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_overlaps.align(
+        read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    )
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -131,12 +148,20 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_bpe_stream,
             op9_decontaminate,
             op10_line_dedup,
+            op11_license_templates,
+            op12_phrases,
+            op13_token_overlaps,
         )
     }
 
 
 def all_sql() -> dict[str, str]:
-    return {"op9_decontaminate": OP9_SQL, "op10_line_dedup": OP10_SQL}
+    return {
+        "op9_decontaminate": OP9_SQL,
+        "op10_line_dedup": OP10_SQL,
+        "op11_license_templates": op11_sql(),
+        "op12_phrases": OP12_SQL,
+    }
 
 
 OP9_SQL = r"""
@@ -194,3 +219,75 @@ SELECT d.doc_id, count(j.no)::BIGINT AS n_lines, count(j.no) FILTER (WHERE j.sta
 FROM documents d LEFT JOIN judged j ON j.doc_id = d.doc_id
 GROUP BY d.doc_id
 """
+
+
+def op11_sql() -> str:
+    """Templates as regular expressions over the words, phrases by comparing words."""
+    def places(phrase: str) -> str:
+        same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+        return f"list_filter(range(1, len(w) + 1), lambda i : coalesce({same}, false))"
+
+    patterns: dict[str, list[str]] = {}
+    for label, markup in license_templates.TEMPLATES:
+        patterns.setdefault(label, []).append(license_templates.as_regex(markup))
+    base = ",\n  ".join(f"{places(p)} AS p{k}" for k, p in enumerate(license_templates.PHRASES))
+    named = ", ".join(
+        f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(license_templates.PHRASES.values())
+    )
+    stated = ",\n    ".join(
+        f"CASE WHEN regexp_matches(line, ' (?:{'|'.join(found)})') THEN '{label}' END" for label, found in patterns.items()
+    )
+    every = ", ".join(f"p{k}" for k in range(len(license_templates.PHRASES)))
+    joined = lambda found: f"array_to_string(list_sort(list_distinct(list_filter({found}, lambda x : x IS NOT NULL))), ',')"
+    return rf"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x : x <> '') AS w
+  FROM documents),
+p AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS line,
+  {base}
+  FROM d),
+f AS (SELECT doc_id, len(w)::BIGINT AS n_words, flatten([{every}]) AS found, [{named}] AS named, [
+    {stated}] AS stated
+  FROM p)
+SELECT doc_id, n_words, len(found)::BIGINT AS n_base, (list_min(found) - 1)::BIGINT AS first_word,
+  (list_max(found) - 1)::BIGINT AS last_word, {joined("named")} AS base_labels,
+  {joined("list_concat(named, stated)")} AS labels,
+  CASE WHEN len(list_filter(stated, lambda x : x IS NOT NULL)) > 0 THEN 1.0::DOUBLE
+    WHEN len(found) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM f
+"""
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x : x <> '') AS w FROM p),
+f AS (
+  SELECT lang, k, array_to_string(w[s:s + k - 1], ' ') AS phrase, count(*) AS n
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (VALUES (1), (2), (3), (4)) AS sizes(k))
+  GROUP BY ALL),
+totals AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 30),
+cuts AS (
+  SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.n AS l, r.n AS r,
+    ((2000000::HUGEINT * c.a) // (l.n::HUGEINT + r.n))::BIGINT AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = c.head JOIN f r ON r.lang = c.lang AND r.phrase = c.rest),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[s:s + m - 1], ' ') AS phrase, a AS longer
+  FROM (SELECT lang, w, m, a, unnest(range(1, k - m + 2)) AS s FROM c, (VALUES (2), (3)) AS sizes(m) WHERE m < k)),
+kept AS (
+  SELECT * FROM weakest v
+  WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = v.lang AND i.phrase = v.phrase
+    AND 100::HUGEINT * i.longer >= 80::HUGEINT * v.a)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase) ASC) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
