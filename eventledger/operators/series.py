@@ -76,6 +76,114 @@ def counter_rate(
     return grown.withColumn("rate", F.col("increase") / F.lit(window_us / 1e6)).drop("increase")
 
 
+def rate_at_ticks(
+    samples: DataFrame,
+    start: Column,
+    end: Column,
+    step_us: int,
+    window_us: int,
+    series: Sequence[str] = SERIES,
+    extrapolate: bool = False,
+) -> DataFrame:
+    """(series, tick, increase, rate) at each tick of [start, end]: a rate drawn over time.
+
+    Ticks need not be samples. A step between two neighbouring samples counts for
+    the ticks whose window (t - w, t] holds both of them: it is repeated for those,
+    at most w/step + 1, and an aggregation by tick adds them up; nothing is joined.
+    A tick with fewer than two samples in its window has no row. ``extrapolate`` is
+    as in ``counter_increase``, with the gap behind the last sample treated alike.
+    """
+    cut, keys = with_lookback(_timed(samples), series, "_us", window_us)
+    order = Window.partitionBy(*keys).orderBy("_us")
+    stepped = (
+        cut.withColumn("_from", F.lag("_us").over(order))
+        .withColumn("_value", F.lag("value").over(order))
+        .where(~F.col("_earlier") & (F.col("_us") - F.col("_from") < window_us))
+        .withColumn("_gain", F.when(F.col("value") < F.col("_value"), F.col("value")).otherwise(F.col("value") - F.col("_value")))
+    )
+    first, last, step = F.unix_micros(start), F.unix_micros(end), F.lit(step_us)
+    low = F.greatest(F.lit(0), F.call_function("div", F.col("_us") - first + step - 1, step))
+    until = F.least(last, F.col("_from") + F.lit(window_us - 1)) - first
+    high = F.when(until >= 0, F.call_function("div", until, step)).otherwise(-1)
+    at_ticks = (
+        stepped.withColumn("_low", low)
+        .withColumn("_high", high)
+        .where(F.col("_low") <= F.col("_high"))
+        .withColumn("_tick", F.explode(F.sequence("_low", "_high")))
+        .groupBy(*series, "_tick")
+        .agg(
+            F.sum("_gain").alias("increase"),
+            F.count("*").alias("_gaps"),
+            F.min("_from").alias("_first"),
+            F.max("_us").alias("_last"),
+            F.min_by("_value", "_from").alias("_first_value"),
+        )
+        .withColumn("_at", first + F.col("_tick") * step)
+    )
+    gain = F.col("increase")
+    if extrapolate:
+        covered = F.col("_last") - F.col("_first")
+        gap = covered / F.col("_gaps")
+        reach = lambda far: F.when(far >= gap * 1.1, gap / 2).otherwise(far)
+        to_zero = F.when((gain > 0) & (F.col("_first_value") >= 0), covered * F.col("_first_value") / gain)
+        # least() passes over NULL
+        to_start = F.least(reach(F.col("_first") - (F.col("_at") - F.lit(window_us))), to_zero)
+        gain = gain * ((covered + to_start + reach(F.col("_at") - F.col("_last"))) / covered)
+    return at_ticks.withColumn("increase", gain).select(
+        *series, F.timestamp_micros("_at").alias("tick"), "increase", (F.col("increase") / F.lit(window_us / 1e6)).alias("rate")
+    )
+
+
+def aligned(
+    samples: DataFrame, step_us: int, series: Sequence[str] = SERIES, staleness_us: int = STALENESS_US
+) -> DataFrame:
+    """(series, tick, value): each series at the whole multiples of the step.
+
+    A sample holds from its time until the next one of its series, and no longer than
+    the staleness; of samples at one time the greatest holds. Series whose samples
+    lie at different times can be added up afterwards.
+    """
+    # time runs backwards, so that looking back finds the sample that comes next
+    turned = F.lit(1 << 61) - F.unix_micros("ts")
+    cut, keys = with_lookback(samples.withColumn("_turned", turned), series, "_turned", staleness_us)
+    order = Window.partitionBy(*keys).orderBy("_turned", F.desc("value"))
+    us = F.lit(1 << 61) - F.col("_turned")
+    following = F.lit(1 << 61) - F.lag("_turned").over(order)
+    until = F.least(following, us + F.lit(staleness_us))
+    held = cut.withColumn("_until", until).where(~F.col("_earlier"))
+
+    def tick_from(at: Column) -> Column:
+        """Number of the first tick at or after a time."""
+        return F.call_function("div", at - F.pmod(at, F.lit(step_us)), F.lit(step_us)) + (F.pmod(at, F.lit(step_us)) > 0).cast("bigint")
+
+    return (
+        held.withColumn("_low", tick_from(us))
+        .withColumn("_high", tick_from(F.col("_until")) - 1)
+        .where(F.col("_low") <= F.col("_high"))
+        .withColumn("_tick", F.explode(F.sequence("_low", "_high")))
+        .select(*series, F.timestamp_micros(F.col("_tick") * step_us).alias("tick"), "value")
+    )
+
+
+def sum_at_ticks(
+    samples: DataFrame, step_us: int, by: Sequence[str] = (), series: Sequence[str] = SERIES, staleness_us: int = STALENESS_US
+) -> DataFrame:
+    """(by, tick, value): sum over series that are sampled at times of their own."""
+    return aligned(samples, step_us, series, staleness_us).groupBy(*by, "tick").agg(F.sum("value").alias("value"))
+
+
+def peak_of_sum(
+    samples: DataFrame, runs: DataFrame, run: Sequence[str], step_us: int, slot_us: int = 3_600_000_000
+) -> DataFrame:
+    """Largest sum over all series at any tick of each run's span: the maximum over time of a sum.
+
+    ``runs`` as for ``peak_over_run``, with which it agrees where all series are
+    sampled at the same ticks.
+    """
+    sums = sum_at_ticks(samples, step_us).select(F.col("tick").alias("ts"), "value")
+    return peak_over_run(sums, runs, run, slot_us)
+
+
 def sum_by(samples: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """Sum over instances (and whatever else ``by`` leaves out) at each time."""
     return samples.groupBy(*by).agg(F.sum(value).alias(value))

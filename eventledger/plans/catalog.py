@@ -799,6 +799,49 @@ def range_resample(spark, sf_dir):
     return ticks.select(_us("tick", "tick_us"), "label", _rounded(F.col("value"), 6, "value"))
 
 
+TICKS_START = "2024-01-01 00:07:00"
+TICK_US = 1_200_000_000
+
+
+@query
+def rate_at_ticks(spark, sf_dir):
+    """``sum by (label) (rate(x[6h]))`` drawn every twenty minutes, seven past the full hour and on."""
+    rated = series.rate_at_ticks(
+        _counter(spark, sf_dir), F.lit(TICKS_START).cast("timestamp"), F.lit(RANGE_END).cast("timestamp"), TICK_US, WINDOW_US
+    )
+    summed = series.sum_by(rated, "rate", ["tick", "label"])
+    return summed.select(_us("tick", "tick_us"), "label", _rounded(F.col("rate"), 9, "rate"))
+
+
+SHIFT_US = 17_000_000
+SUM_TICK_US = 60_000_000
+PEAK_TICK_US = 5_000_000
+
+
+def _shifted(samples: DataFrame, number: Column) -> DataFrame:
+    """Each series at times of its own."""
+    return samples.withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + number * SHIFT_US))
+
+
+@query
+def shifted_sums(spark, sf_dir):
+    """Counters of instances that are scraped at different times, summed at common ticks."""
+    counter = _shifted(_counter(spark, sf_dir), F.substring_index("instance", "-", -1).try_cast("bigint"))
+    total = series.sum_at_ticks(counter, SUM_TICK_US, ["label"])
+    return total.select(_us("tick", "tick_us"), "label", "value")
+
+
+@query
+def peak_lag_at_ticks(spark, sf_dir):
+    """``max_over_time(sum(lag)[run:5s])`` of partitions that are sampled at different times."""
+    runs = T.orders_store(spark, sf_dir).groupBy("tag").agg(
+        F.min("processed_at").alias("run_start"), F.max("processed_at").alias("run_end")
+    )
+    lag = _shifted(_gauge(spark, sf_dir), F.col("label").try_cast("bigint"))
+    peak = series.peak_of_sum(lag, runs, ["tag"], PEAK_TICK_US)
+    return peak.select("tag", _rounded(F.col("peak_lag"), 6, "peak_lag"))
+
+
 TILES_AT = "2024-01-20 12:04:00"
 
 

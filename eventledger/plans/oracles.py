@@ -569,6 +569,29 @@ def all_sql() -> dict[str, str]:
             FROM gauge JOIN (SELECT epoch_us(TIMESTAMP '{C.RANGE_START}') + i * {C.RANGE_STEP_US} AS tick_us
                 FROM range(0, (epoch_us(TIMESTAMP '{C.RANGE_END}') - epoch_us(TIMESTAMP '{C.RANGE_START}')) // {C.RANGE_STEP_US} + 1) AS t(i))
             ON tick_us >= epoch_us(ts) AND tick_us < epoch_us(ts) + 300000000 GROUP BY tick_us, label""", "gauge"),
+        "rate_at_ticks": _with(
+            f"""SELECT tick_us, label, round(sum(increase / {C.WINDOW_US / 1e6}), 9) AS rate FROM (
+                SELECT tick_us, instance, label, sum(CASE WHEN value < prev THEN value ELSE value - prev END) AS increase
+                FROM pairs JOIN (SELECT epoch_us(TIMESTAMP '{C.TICKS_START}') + i * {C.TICK_US} AS tick_us
+                    FROM range(0, (epoch_us(TIMESTAMP '{C.RANGE_END}') - epoch_us(TIMESTAMP '{C.TICKS_START}')) // {C.TICK_US} + 1) AS t(i))
+                ON epoch_us(ts) <= tick_us AND epoch_us(prev_ts) > tick_us - {C.WINDOW_US} GROUP BY tick_us, instance, label)
+            GROUP BY tick_us, label""", "pairs"),
+        "shifted_sums": _with(
+            f"""SELECT tick_us, label, sum(value) AS value FROM (
+                SELECT tick_us, instance, label, arg_max(value, since) AS value
+                FROM (SELECT *, epoch_us(ts) + CAST(right(instance, 1) AS BIGINT) * {C.SHIFT_US} AS since FROM counter)
+                JOIN (SELECT epoch_us(TIMESTAMP '2024-01-01') + i * {C.SUM_TICK_US} AS tick_us FROM range(0, 50000) AS t(i))
+                ON tick_us >= since AND tick_us < since + 300000000 GROUP BY tick_us, instance, label)
+            GROUP BY tick_us, label""", "counter"),
+        "peak_lag_at_ticks": _with(
+            f""", ticks AS (SELECT tick_us, sum(value) AS total FROM (
+                SELECT tick_us, label, arg_max(value, since) AS value
+                FROM (SELECT *, epoch_us(ts) + CAST(label AS BIGINT) * {C.SHIFT_US} AS since FROM gauge)
+                JOIN (SELECT epoch_us(TIMESTAMP '2024-01-01') + i * {C.PEAK_TICK_US} AS tick_us FROM range(0, 600000) AS t(i))
+                ON tick_us >= since AND tick_us < since + 300000000 GROUP BY tick_us, label) GROUP BY tick_us)
+            SELECT tag, round(max(total), 6) AS peak_lag
+            FROM (SELECT tag, epoch_us(min(processed_at)) AS a, epoch_us(max(processed_at)) AS z FROM store GROUP BY tag)
+            JOIN ticks ON tick_us BETWEEN a AND z GROUP BY tag""", "store", "gauge"),
         "dashboard_tiles": _with(
             _tiles(), "outcomes", "requests", "rejected", "pairs", "gauge", "bucket_pairs"),
         "tumbling_rate": _with(

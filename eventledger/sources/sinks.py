@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import STORE
-from ..streaming.store import BATCH, BUCKET
+from ..streaming.manifest import BATCH, Files
+from ..streaming.store import BUCKET, batches_of
 
 TAB = "\t"
 
@@ -11,8 +12,8 @@ TAB = "\t"
 def create_store(spark: SparkSession, name: str, path: str) -> None:
     """Name the orders that ``PersistJob`` writes to ``path`` as a SQL table; does nothing where it exists.
 
-    Call ``MSCK REPAIR TABLE`` after batches were added. The bloom filters and the
-    order within files come from the writer, see ``streaming.store.write_orders``.
+    Call ``refresh_store`` after batches were added. The bloom filters and the
+    order within files come from the writer, see ``streaming.store.write_orders_table``.
     """
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in STORE.fields)
     spark.sql(
@@ -21,6 +22,20 @@ def create_store(spark: SparkSession, name: str, path: str) -> None:
     )
 
 
+def refresh_store(spark: SparkSession, name: str, path: str) -> None:
+    """The named table shows what the commits of the store hold now: new folders, and none that were merged."""
+    shown = {int(r[0].split("/")[0].split("=")[1]) for r in spark.sql(f"SHOW PARTITIONS {name}").collect()}
+    held = batches_of(spark, path)
+    for folder in sorted(shown - held):
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({BATCH}={folder})")
+    files = Files(spark)
+    for folder in sorted(held - shown):
+        buckets = [n.split("=")[1] for n in files.names(f"{path}/{BATCH}={folder}") if n.startswith(f"{BUCKET}=")]
+        parts = " ".join(f"PARTITION ({BATCH}={folder}, {BUCKET}={b})" for b in buckets)
+        if parts:
+            spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {parts}")
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A one-row report as a single JSON file."""
     report.coalesce(1).write.mode("overwrite").json(path)

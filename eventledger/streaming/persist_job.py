@@ -1,9 +1,11 @@
 """The worker as a streaming query: read the log, store once, park what fails.
 
 Offsets are committed by the checkpoint after a micro-batch has been written;
-a batch that failed comes again with the same id and the same rows. Together
-with the lookup of ids already stored this makes at-least-once delivery end in
-each event being stored once.
+a batch that failed comes again with the same id and the same rows. All that a
+batch leaves (orders, dead letters, outcomes) becomes visible in one commit, which
+notes the batch as well, so a batch that comes again after its commit is passed
+over. Together with the lookup of ids already stored this makes at-least-once
+delivery end in each event being stored once.
 """
 
 import time
@@ -17,8 +19,20 @@ from .. import schemas as S
 from ..operators import measure, persist, replay
 from ..operators.scale import number_in_order
 from ..sources.record_log import append_records
+from .manifest import Manifest
 from .retry import RetryPolicy, SinkError, with_retry
-from .store import append_to_log, stored_with, write_batch, write_orders
+from .store import (
+    ORDERS,
+    Appended,
+    add,
+    add_orders,
+    append_to_log,
+    commits_of_store,
+    merge_due,
+    store_tables,
+    stored_with,
+    write_orders_table,
+)
 
 OUTCOMES = T.StructType([
     T.StructField("outcome", T.StringType()),
@@ -49,21 +63,34 @@ class PersistJob:
     faults: Callable[[DataFrame, int], DataFrame] | None = None
     sleep: Callable[[float], None] | None = None
 
-    def stored_ids(self, decoded: DataFrame, batch_id: int) -> DataFrame:
-        """Rows of earlier batches that share an order or an event with this one.
+    def __post_init__(self) -> None:
+        self._commits: Manifest | None = None
+        self._source = ""
 
-        This batch's own folder is left out: a retried batch must not meet its
-        half-finished output. Only the buckets of the batch's ids are read.
-        """
-        return stored_with(self.spark, self.store, decoded.select("order_id", "event_id"), without=batch_id)
+    def commits(self) -> Manifest:
+        """The commits of the job's tables; the first call takes them over from any other job."""
+        if self._commits is None:
+            tables = store_tables(self.store) | {
+                "dead_letters": self.dead_letters, "outcomes": self.outcomes, "seconds": f"{self.outcomes}-seconds",
+            }
+            self._commits = commits_of_store(self.spark, self.store).open(tables)
+        return self._commits
+
+    def stored_ids(self, decoded: DataFrame) -> DataFrame:
+        """Rows of earlier batches that share an order or an event with this one."""
+        return stored_with(self.spark, self.store, decoded.select("order_id", "event_id"), self.commits())
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        """One micro-batch: store, dead letters, outcomes, each in its batch folder."""
+        """One micro-batch: store, dead letters and outcomes, visible together."""
+        commits = self.commits()
+        commits.check()
+        if commits.is_done(self._source, batch_id):
+            return
         began = time.monotonic()
         records = batch.select(*[f.name for f in S.RECORD.fields])
         decoded = persist.decode_records(records).persist()
         try:
-            stored = self.stored_ids(decoded, batch_id).persist()
+            stored = self.stored_ids(decoded).persist()
             faults = self.faults(records, batch_id) if self.faults else None
             classified = persist.classify_decoded(decoded, stored, faults).persist()
             refused = self._store(classified, batch_id)
@@ -72,13 +99,18 @@ class PersistJob:
                 known = refused if faults is None else refused.unionByName(faults.select(*refused.columns))
                 classified.unpersist()
                 classified = persist.classify_decoded(decoded, stored, known).persist()
-                write_orders(self._rows(classified), self.store, batch_id)
-            self._park(classified, batch_id)
-            counts = classified.groupBy("outcome", "reason").agg(F.count("*").alias("n"))
-            write_batch(counts.coalesce(1), self.outcomes, batch_id)
-            self._note_time(classified, time.monotonic() - began, batch_id)
-            classified.unpersist()
-            stored.unpersist()
+                write_orders_table(self._rows(classified), commits.attempt(ORDERS))
+            parked = self._park(classified)
+            counts = classified.groupBy("outcome", "reason").agg(F.count("*").alias("n")).coalesce(1).persist()
+            # one row per outcome and reason
+            persisted = sum(r["n"] for r in counts.collect() if r["outcome"] == S.PERSISTED)
+            adds = add_orders(self._rows(classified), persisted, commits) | parked.adds
+            adds["outcomes"] = add(counts, commits, "outcomes")
+            adds["seconds"] = add(self._time(classified, time.monotonic() - began), commits, "seconds")
+            commits.commit(adds, done={self._source: batch_id}, ends=parked.ends)
+            for table in (counts, classified, stored):
+                table.unpersist()
+            merge_due(commits)
         finally:
             decoded.unpersist()
 
@@ -90,7 +122,7 @@ class PersistJob:
 
         def attempt() -> None:
             self.before_store_write(rows, batch_id)
-            write_orders(rows, self.store, batch_id)
+            write_orders_table(rows, self.commits().attempt(ORDERS))
 
         return with_retry(attempt, self.policy, **({"sleep": self.sleep} if self.sleep else {}))
 
@@ -100,8 +132,9 @@ class PersistJob:
         A failure of the environment that outlasts the budget refuses the whole
         batch. A refusal that the data caused is narrowed down: the batch is
         halved, and each half that is refused again, until single records are
-        left, so one bad record does not take the others down. Each attempt
-        overwrites the batch's folder; the caller writes what is left at last.
+        left, so one bad record does not take the others down. A half that the
+        environment fails is refused as a whole, like a batch. Each attempt
+        overwrites the one before; the caller writes what is left at last.
         """
         attempts, error = self._try(classified, batch_id)
         if error is None:
@@ -127,8 +160,11 @@ class PersistJob:
             for part in ((low, middle), (middle, high)):
                 chosen = numbered.where((F.col("_number") >= part[0]) & (F.col("_number") < part[1]))
                 half = classified.join(chosen.select("partition", "offset"), ["partition", "offset"], "left_semi")
-                _, refusal = self._try(half, batch_id)
-                if refusal is not None:
+                tries, refusal = self._try(half, batch_id)
+                if refusal is not None and refusal.retryable:
+                    whole = self._refused(chosen.select("partition", "offset"), refusal, tries)
+                    bad = whole if bad is None else bad.unionByName(whole)
+                elif refusal is not None:
                     pending.append((*part, refusal))
         if bad is not None:
             bad = bad.checkpoint()
@@ -141,34 +177,31 @@ class PersistJob:
             F.lit(attempts).alias("attempts"), F.lit(False).alias("recovered"),
         )
 
-    def _park(self, classified: DataFrame, batch_id: int) -> None:
+    def _park(self, classified: DataFrame) -> Appended:
         # a key stays on its source partition, so this keeps the order of each key
-        append_to_log(
-            self.spark,
+        return append_to_log(
+            self.commits(),
+            "dead_letters",
             lambda end: append_records(
                 replay.dead_letters(classified, F.current_timestamp()), "source_offset", S.DEAD_LETTER_TOPIC,
                 self.dlq_partitions, end=end, order=["source_partition"],
             ),
-            self.dead_letters,
-            batch_id,
         )
 
-    def _note_time(self, classified: DataFrame, seconds: float, batch_id: int) -> None:
+    def _time(self, classified: DataFrame, seconds: float) -> DataFrame:
         """Every record of a batch waited for the whole of it."""
         persisted = classified.where(F.col("outcome") == S.PERSISTED)
         took = measure.histogram(persisted.withColumn("_seconds", F.lit(seconds)), F.col("_seconds"), S.PROCESSING_BUCKETS)
-        write_batch(
-            took.select(F.col("le").cast("double").alias("le"), F.col("bucket_count").cast("bigint").alias("n")).coalesce(1),
-            f"{self.outcomes}-seconds",
-            batch_id,
-        )
+        return took.select(F.col("le").cast("double").alias("le"), F.col("bucket_count").cast("bigint").alias("n")).coalesce(1)
 
     def start(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         """Work off what the log holds now, then stop.
 
         The batch size is an option of the source: ``maxFilesPerTrigger`` for
-        files, ``maxOffsetsPerTrigger`` for Kafka.
+        files, ``maxOffsetsPerTrigger`` for Kafka. Batches are told apart by their
+        number and the checkpoint.
         """
+        self._source = checkpoint
         observed = log.observe("arrivals", F.count("*").alias("records"))
         return (
             observed.writeStream.foreachBatch(self.write)

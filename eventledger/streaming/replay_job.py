@@ -10,12 +10,12 @@ from ..operators import replay
 from ..operators.scale import number_rows, side_by_side
 from ..sources.record_log import append_records
 from .retry import RetryPolicy, with_retry
-from .store import append_to_log, next_replay_batch
+from .store import append_to_log, commits_of_log, log_tables
 
 
 @dataclass
 class ReplayJob:
-    """Works on a dead-letter log and appends to the log that ingest writes, one job at a time.
+    """Works on a dead-letter log and appends to the log that ingest writes, which it takes over from that job.
 
     ``commits`` is the commit table, to which a run appends.
     """
@@ -103,10 +103,12 @@ class ReplayJob:
         """Append the records to the log; the number of those that could not be sent (all or none)."""
         ordered = number_rows(back, "dlq_offset", order=["dlq_partition"], into="position").checkpoint()
         place = lambda end: append_records(ordered, "position", S.SOURCE_TOPIC, self.partitions, end=end)
-        # one number per run: a retry overwrites what the attempt before has left
-        batch = next_replay_batch(self.spark, log_path)
         pauses = {"sleep": self.sleep} if self.sleep else {}
-        _, error = with_retry(
-            lambda: append_to_log(self.spark, place, log_path, batch), self.policy, **pauses
-        )
+
+        def append() -> None:
+            commits = commits_of_log(self.spark, log_path).open(log_tables(log_path))
+            appended = append_to_log(commits, "log", place)
+            commits.commit(appended.adds, ends=appended.ends)
+
+        _, error = with_retry(append, self.policy, **pauses)
         return ordered.count() if error is not None else 0

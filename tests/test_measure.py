@@ -9,7 +9,7 @@ from eventledger.functions import failures
 from eventledger.operators import measure, series
 from eventledger.sources import sinks
 from eventledger.sources.record_log import append_records, log_end
-from eventledger.streaming.store import write_orders
+from eventledger.streaming.store import write_orders_table
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 
@@ -85,10 +85,10 @@ def test_report_and_table_files(spark, folder):
 
 def test_create_store_twice(spark, folder):
     rows = spark.createDataFrame([("o1", "e1", "c", [], 1, T0, T0)], S.STORE)
-    write_orders(rows, folder + "/orders", 0)
+    write_orders_table(rows, folder + "/orders/batch_id=0")
     for _ in range(2):
         sinks.create_store(spark, "orders_test_table", folder + "/orders")
-    spark.sql("MSCK REPAIR TABLE orders_test_table")
+    sinks.refresh_store(spark, "orders_test_table", folder + "/orders")
     table = spark.table("orders_test_table")
     assert table.columns == [f.name for f in S.STORE.fields] + ["batch_id", "id_bucket"]
     assert [(r.order_id, r.batch_id) for r in table.collect()] == [("o1", 0)]

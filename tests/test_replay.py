@@ -157,7 +157,7 @@ def test_job_dry_run_apply_and_rerun(spark, folder):
     done = job.run(dlq, None, *paths, apply=True, store=store).first()
     assert (done.scanned, done.replayed, done.failed) == (4, 2, 0)
     assert (done.verify.checked, done.verify.missing) == (2, 1)
-    sent = read_batches(spark, paths[0], S.RECORD).where("batch_id < 0")
+    sent = read_batches(spark, paths[0], S.RECORD).where("batch_id > 0")
     assert sent.count() == 2
     assert sent.groupBy("partition").agg(F.min("offset").alias("o")).where("o <> 5").count() == 0
 
