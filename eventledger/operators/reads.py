@@ -1,12 +1,12 @@
 """Point lookup, newest-first listing with page tokens, counts."""
 
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
 from ..functions import paging
 from ..functions.events import rfc3339
 from ..functions.ids import canonical_uuid_text
 from ..schemas import ITEM, STORE
-from ..streaming.store import BUCKET, in_bucket_of
+from ..streaming.store import BUCKET, in_bucket_of, newest_orders
 from .scale import bucket_of, number_in_order
 
 COLUMNS = [f.name for f in STORE.fields]
@@ -66,6 +66,19 @@ def list_orders(
     return rows[:size], token
 
 
+def list_stored(
+    spark: SparkSession, path: str, page_size: int = 0, page_token: str = "", customer_id: str = ""
+) -> tuple[list[Row], str]:
+    """``list_orders`` of a store that a job keeps at ``path``: read by its listing, not by a scan."""
+    size = paging.page_size_or_default(page_size)
+    rows = (
+        newest_orders(spark, path, size + 1, page_token, customer_id)
+        .withColumn("_token", paging.page_token(F.col("processed_at"), F.col("order_id")))
+        .collect()
+    )
+    return rows[:size], rows[size - 1]["_token"] if len(rows) > size else ""
+
+
 def keyset_pages(store: DataFrame, page_size: int) -> DataFrame:
     """order_id, processed_at and page number of every order, for an export of all pages.
 

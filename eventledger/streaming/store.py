@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from ..operators.scale import BROADCAST_ROWS
 from ..schemas import RECORD, STORE
 from ..sources.record_log import log_end
+from . import listing
 from .manifest import BATCH, Manifest, manifest_of
 
 BUCKET = "id_bucket"
@@ -172,13 +173,14 @@ def append_to_log(
 
 # --- the orders
 
-ORDERS, EVENTS, MEMBERS = "orders", "events", "members"
+ORDERS, EVENTS, MEMBERS, LISTING, SLICES = "orders", "events", "members", "listing", "slices"
+OF_STORE = (ORDERS, EVENTS, MEMBERS, LISTING, SLICES)
 _IDS = (("order", ORDERS, "order_id"), ("event", EVENTS, "event_id"))
 
 
 def store_tables(store: str) -> dict[str, str]:
-    """The tables of a store: orders, the index of event ids, the filters of both."""
-    return {ORDERS: store, EVENTS: f"{store}-events", MEMBERS: f"{store}-members"}
+    """The tables of a store: orders, the index of event ids, the filters of both, the listing and its slices."""
+    return {ORDERS: store} | {name: f"{store}-{name}" for name in OF_STORE[1:]}
 
 
 def commits_of_store(spark: SparkSession, store: str) -> Manifest:
@@ -271,7 +273,7 @@ def filters_of(ids: DataFrame, size: FilterSize) -> DataFrame:
 
 
 def add_orders(rows: DataFrame, count: int, manifest: Manifest, level: int = 0) -> dict[str, dict]:
-    """Writes the filters of orders that lie in the attempt of this commit, and the event index."""
+    """Writes what goes with orders that lie in the attempt of this commit: index, filters and listing."""
     if count == 0:
         return {}
     spark, size = manifest.spark, FilterSize.of(count)
@@ -279,11 +281,16 @@ def add_orders(rows: DataFrame, count: int, manifest: Manifest, level: int = 0)
     ids = spark.read.schema(STORE).parquet(orders).select("order_id", "event_id")
     write_event_index(ids, manifest.attempt(EVENTS))
     members = add(filters_of(ids, size), manifest, MEMBERS)
+    listed = manifest.attempt(LISTING)
+    listing.write_listing(spark.read.schema(STORE).parquet(orders), count, listed)
+    slices = add(listing.slices_in(spark, listed).coalesce(1), manifest, SLICES)
     known = {"rows": count, "level": level}
     return {
         ORDERS: {"from": orders, **known, **size._asdict()},
         EVENTS: {"from": manifest.attempt(EVENTS), **known},
         MEMBERS: {**members, **known},
+        LISTING: {"from": listed, **known},
+        SLICES: {**slices, **known},
     }
 
 
@@ -359,6 +366,30 @@ def stored_with(spark: SparkSession, path: str, ids: DataFrame, manifest: Manife
     return found[0].unionByName(found[1]).distinct()
 
 
+def newest_orders(spark: SparkSession, store: str, rows: int, page_token: str = "", customer_id: str = "") -> DataFrame:
+    """The next orders of a listing, newest first, by way of the listing.
+
+    Reads the slices that hold them, then the buckets of the folders in which they
+    lie; at most 501 keys reach the driver. All of it is seen as of one commit.
+    """
+    manifest = commits_of_store(spark, store)
+    folders = manifest.folders(SLICES)
+    tables = store_tables(store)
+    known = _read_folders(spark, tables[SLICES], listing.SLICES, [f"{tables[SLICES]}/{BATCH}={n}" for n in sorted(folders)])
+
+    def read(slices) -> DataFrame:
+        places = [f"{tables[LISTING]}/{BATCH}={s[BATCH]}/cluster={s['cluster']}/bucket={s['bucket']}/slice={s['slice']}" for s in slices]
+        return _read_folders(spark, tables[LISTING], listing.LISTED, sorted(places))
+
+    keys = listing.next_keys(known, read, rows, page_token, customer_id)
+    ids = spark.createDataFrame([(k[BATCH], k["order_id"]) for k in keys], f"{BATCH} bigint, order_id string")
+    at = ids.select(BATCH, bucket_of_id(F.col("order_id")).alias(BUCKET)).distinct().collect()
+    places = [f"{store}/{BATCH}={r[BATCH]}/{BUCKET}={r[BUCKET]}" for r in at]
+    found = _read_folders(spark, store, STORE, sorted(places)).select(*STORE.fieldNames())
+    wanted = found.where(F.col("order_id").isin([k["order_id"] for k in keys]))
+    return wanted.orderBy(F.desc("processed_at"), F.desc("order_id"))
+
+
 def merge_due(manifest: Manifest) -> bool:
     """Merges the oldest MERGED_FOLDERS folders of a level into one of the next, in one commit.
 
@@ -382,5 +413,5 @@ def merge_due(manifest: Manifest) -> bool:
         rows = _read_folders(spark, path, STORE, [f"{path}/{BATCH}={n}" for n in chosen]).drop(BATCH)
         write_orders_table(rows, manifest.attempt(ORDERS))
         adds = add_orders(rows, sum(folders[n]["rows"] for n in chosen), manifest, full[0] + 1)
-        manifest.commit(adds, removes={table: chosen for table in (ORDERS, EVENTS, MEMBERS)})
+        manifest.commit(adds, removes={table: chosen for table in OF_STORE})
         merged = True

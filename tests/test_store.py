@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventledger import schemas as S
-from eventledger.streaming import manifest as M, persist_job as P, store as St
+from eventledger.operators import reads
+from eventledger.streaming import listing, manifest as M, persist_job as P, store as St
 from eventledger.streaming.ingest_job import IngestJob
 from eventledger.streaming.retry import RetryPolicy, SinkError
 from helpers import event, log_frame, record, uid
@@ -131,6 +132,67 @@ def test_states_are_read_from_the_newest_whole_one(spark, folder, monkeypatch):
     assert len(read) == 1
 
 
+# --- listing
+
+
+def many(spark, first, n):
+    """Orders of three customers, one of which has nearly all; three of them at a time."""
+    rows = [
+        (uid(f"o{i}"), uid(f"e{i}"), "rare" if i % 20 == 7 else "other" if i % 20 == 9 else "hot", [], i, T0, T0 + dt.timedelta(seconds=i // 3))
+        for i in range(first, first + n)
+    ]
+    return spark.createDataFrame(rows, S.STORE)
+
+
+def walked(spark, store, size, customer=""):
+    token, pages = "", []
+    while True:
+        rows, token = reads.list_stored(spark, store, size, token, customer)
+        pages.append([r.order_id for r in rows])
+        if not token:
+            return pages
+
+
+def test_pages_read_few_slices(spark, folder, monkeypatch):
+    monkeypatch.setattr(listing, "SLICE_ROWS", 20)
+    monkeypatch.setattr(listing, "SLICES_FIRST", 2)
+    commits = opened(spark, folder)
+    store, everything = folder + "/s", []
+    for k in range(3):
+        rows = many(spark, 60 * k, 60)
+        St.write_orders_table(rows, commits.attempt(St.ORDERS))
+        commits.commit(St.add_orders(rows, 60, commits))
+        everything += rows.collect()
+    newest = [r.order_id for r in sorted(everything, key=lambda r: (r.processed_at, r.order_id), reverse=True)]
+    sizes = []
+    real = listing._chosen
+
+    def counted(*args):
+        found = real(*args)
+        sizes.append(len(found[0]))
+        return found
+
+    monkeypatch.setattr(listing, "_chosen", counted)
+    pages = walked(spark, store, 25)
+    assert sum(pages, []) == newest and [len(p) for p in pages] == [25] * 7 + [5]
+    # of some nine slices in three folders a page needs those that hold 26 rows, and the one it begins in
+    total = St.read_batches(spark, folder + "/s-slices", listing.SLICES).where("cluster = 'time'").count()
+    assert total >= 9 and max(sizes) <= 5
+    for customer in ("hot", "rare", "nobody"):
+        own = [o for o in newest if next(r for r in everything if r.order_id == o).customer_id == customer]
+        assert sum(walked(spark, store, 7, customer), []) == own
+    page = St.newest_orders(spark, store, 6)
+    assert {batch for batch, _ in files_of(page)} == {f"batch_id={max(commits.folders(St.ORDERS))}"}
+    monkeypatch.setattr(St, "MERGED_FOLDERS", 3)
+    assert St.merge_due(commits)
+    assert sum(walked(spark, store, 100), []) == newest
+
+
+def test_pages_of_an_empty_store(spark, folder):
+    opened(spark, folder)
+    assert walked(spark, folder + "/s", 5) == [[]]
+
+
 # --- all or nothing
 
 STEPS = ["write_orders_table", "add_orders", "_park", "add", "commit"]
