@@ -274,6 +274,12 @@ def _outcome_columns(judged: DataFrame) -> DataFrame:
     )
 
 
+def events_keep_apart(records: DataFrame, faults: DataFrame | None = None) -> bool:
+    """Whether no event of the records that can be stored lies on two orders."""
+    eligible = with_faults(decode_records(records), faults).where(F.col("cause").isNull())
+    return _shared_events(eligible).isEmpty()
+
+
 def outcome_counts(
     records: DataFrame, faults: DataFrame | None = None, one_order_per_event: bool = False
 ) -> DataFrame:
@@ -346,13 +352,13 @@ def insert_once(
 ) -> DataFrame:
     """The store after writing a log to an empty one: each order once, each event once.
 
-    Where the producer guarantees one order per event, a single aggregation
-    gives it: the first eligible record of each order is its row, so no verdict
-    has to be joined back and copies are dropped map-side. Without that promise
-    the records are classified. ``processed_at`` may refer to ``r.timestamp``,
+    With one order per event, a single aggregation gives it: the first eligible
+    record of each order is its row, so no verdict has to be joined back and copies
+    are dropped map-side. Where the producer does not guarantee it, one aggregation
+    looks, and the records are classified if it finds an event on several orders. ``processed_at`` may refer to ``r.timestamp``,
     the time of the record.
     """
-    if not one_order_per_event:
+    if not one_order_per_event and not events_keep_apart(records, faults):
         classified = classify(records, faults=faults).withColumn("r", F.struct("timestamp"))
         return store_rows(classified, F.current_timestamp() if processed_at is None else processed_at)
     judged = with_faults(decode_records(records), faults).where(F.col("cause").isNull())

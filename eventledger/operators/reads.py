@@ -6,7 +6,7 @@ from ..functions import paging
 from ..functions.events import rfc3339
 from ..functions.ids import canonical_uuid_text
 from ..schemas import ITEM, STORE
-from ..streaming.store import BUCKET, in_bucket_of, newest_orders
+from ..streaming.store import BUCKET, bucket_of_id, in_bucket_of, newest_orders
 from .scale import bucket_of, number_in_order
 
 COLUMNS = [f.name for f in STORE.fields]
@@ -24,6 +24,16 @@ def get_order(store: DataFrame, order_id: str) -> DataFrame:
     return store.where(F.col("order_id") == wanted).select(*COLUMNS)
 
 
+def orders_with(store: DataFrame, ids: list[str]) -> DataFrame:
+    """The orders of a page, newest first; of a table laid out by id only their buckets are read."""
+    if BUCKET in store.columns:
+        keys = store.sparkSession.createDataFrame([(i,) for i in ids], "order_id string")
+        buckets = sorted({r[0] for r in keys.select(bucket_of_id(F.col("order_id"))).collect()})
+        store = store.where(F.col(BUCKET).isin(buckets))
+    found = store.where(F.col("order_id").isin(ids)).select(*COLUMNS)
+    return found.orderBy(F.desc("processed_at"), F.desc("order_id"))
+
+
 def after_cursor(store: DataFrame, stamp: str, order_id: str) -> DataFrame:
     """Rows behind a position in newest-first order.
 

@@ -147,39 +147,32 @@ def replay_report(scanned: DataFrame) -> DataFrame:
     return report_of(with_event_id(scanned))
 
 
-# Reasons beyond this many different ones are counted together.
-REASONS_SHOWN = 50
 OTHER_REASONS = "other"
+# Why a dead letter can be left where it is; every other reason is counted as one.
+LEFT = sorted(["no_dlq_reason", "replay_limit", f"reason:{S.POISON}", f"reason:{S.RETRIES_EXHAUSTED}"])
 
 
 def report_of(read: DataFrame) -> DataFrame:
-    """The report of records that went through ``with_event_id``.
+    """The report of records that went through ``with_event_id``, by one aggregation.
 
     ``failed`` is 0 here; a job that could not send records counts them there. A
-    reason is a text of the record's headers and not bounded: the most frequent
-    ones are named, the rest counted as one.
+    reason is a text of the record's headers and not bounded: the known ones are
+    named, all others counted as one.
     """
-    unreadable = (F.col("decision") == REPLAY) & (F.col("event_id") == "")
-    kinds = read.groupBy("decision").agg(F.count("*").alias("n"), F.count_if(unreadable).alias("bad"))
-    named = (
-        kinds.where(F.col("decision") != REPLAY)
-        .orderBy(F.desc("n"), "decision")
-        .limit(REASONS_SHOWN)
-        .agg(F.sort_array(F.collect_list(F.struct("decision", "n"))).alias("named"))
-        .select("named", F.aggregate("named", F.lit(0).cast("bigint"), lambda t, e: t + e["n"]).alias("told"))
+    sent = F.col("decision") == REPLAY
+    counts = {name: F.col("decision") == name for name in LEFT}
+    counts[OTHER_REASONS] = ~F.col("decision").isin(REPLAY, *LEFT)
+    counted = read.agg(
+        F.count("*").alias("scanned"),
+        F.count_if(sent).alias("replayed"),
+        F.count_if(sent & (F.col("event_id") == "")).alias("unreadable"),
+        *[F.count_if(kind).alias(f"_{name}") for name, kind in counts.items()],
     )
-    sums = kinds.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("scanned"),
-        F.coalesce(F.sum(F.when(F.col("decision") == REPLAY, F.col("n"))), F.lit(0)).alias("replayed"),
-        F.coalesce(F.sum("bad"), F.lit(0)).alias("unreadable"),
-    )
-    rest = F.col("scanned") - F.col("replayed") - F.col("told")
-    others = F.when(rest > 0, F.array(F.struct(F.lit(OTHER_REASONS).alias("decision"), rest.alias("n"))))
-    none = F.array().cast("array<struct<decision:string,n:bigint>>")
-    return side_by_side(sums, named).select(
+    entries = [F.struct(F.lit(name).alias("decision"), F.col(f"`_{name}`").alias("n")) for name in sorted(counts)]
+    return counted.select(
         "scanned",
         "replayed",
         F.lit(0).cast("bigint").alias("failed"),
         "unreadable",
-        F.map_from_entries(F.concat("named", F.coalesce(others, none))).alias("skipped"),
+        F.map_from_entries(F.filter(F.array(*entries), lambda e: e["n"] > 0)).alias("skipped"),
     )

@@ -13,6 +13,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.ansi.enabled": "true",
     # of two equal keys in a JSON object the last one wins
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # what a Python worker holds at a time: batches of long texts are cut by their size
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -100,7 +102,12 @@ def _as_parquet(frame: DataFrame, path: str) -> None:
 def table_of(
     spark: SparkSession, name: str, sf_dir: str, inputs: Sequence[str], build, write=_as_parquet
 ) -> DataFrame:
-    """Write ``build()`` once per application as a Parquet table and read it back.
+    """Write ``build()`` once per application as a Parquet table and read it back."""
+    return spark.read.parquet(folder_of(spark, name, sf_dir, inputs, build, write))
+
+
+def folder_of(spark: SparkSession, name: str, sf_dir: str, inputs: Sequence[str], build, write=_as_parquet) -> str:
+    """Where ``write`` has put ``build()``, once per application.
 
     Used for what in production is a stored table (the two record logs, the
     orders) rather than something recomputed by each reader. Built again when
@@ -114,4 +121,4 @@ def table_of(
         path = run_folder(spark, f"{name}-{tag}")
         write(build(), path)
         _tables[where] = path
-    return spark.read.parquet(_tables[where])
+    return _tables[where]

@@ -12,8 +12,10 @@ from ..functions.events import event_json
 from ..functions.ids import uuid_from_md5
 from ..operators import persist, replay
 from ..operators.scale import lookup, number_rows
-from ..session import prepare, table_of
-from ..streaming.store import write_orders_table
+from ..session import folder_of, prepare, table_of
+from ..streaming import listing
+from ..streaming.manifest import BATCH
+from ..streaming.store import read_folders, write_orders_table
 from .record_log import append_records
 
 PARTITIONS = 3
@@ -323,6 +325,26 @@ def orders_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def next_orders(
+    spark: SparkSession, sf_dir: str, rows: int, page_token: str = "", tag: str = ""
+) -> list:
+    """Keys of the next orders by the listing that goes with the store, kept per application; its customer is the tag."""
+
+    def write(orders: DataFrame, path: str) -> None:
+        listing.write_listing(orders, orders.count(), f"{path}/listing/{BATCH}=0")
+        listing.slices_in(spark, f"{path}/listing/{BATCH}=0").coalesce(1).write.parquet(f"{path}/slices/{BATCH}=0")
+
+    by_tag = lambda: orders_store(spark, sf_dir).withColumn("customer_id", F.col("tag"))
+    path = folder_of(spark, "orders_listing", sf_dir, ["events"], by_tag, write)
+
+    def read(slices) -> DataFrame:
+        places = [f"{path}/listing/{BATCH}=0/cluster={s['cluster']}/bucket={s['bucket']}/slice={s['slice']}" for s in slices]
+        return read_folders(spark, f"{path}/listing", listing.LISTED, sorted(places))
+
+    slices = read_folders(spark, f"{path}/slices", listing.SLICES, [f"{path}/slices/{BATCH}=0"])
+    return listing.next_keys(slices, read, rows, page_token, tag)
+
+
 def _stored_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     delay = F.floor(F.col("value") * 1000).cast("bigint")
     items = _one_item()

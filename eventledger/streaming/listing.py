@@ -113,7 +113,7 @@ def next_keys(
     page_token: str = "",
     customer_id: str = "",
 ) -> list[Row]:
-    """(batch_id, processed_at, order_id) of the next ``rows`` orders, newest first.
+    """(batch_id, order_id, token) of the next ``rows`` orders, newest first.
 
     ``read`` gives the rows of some slices, in the shape of LISTED with the folder's number.
     """
@@ -139,7 +139,12 @@ def next_keys(
             us = F.unix_micros("processed_at")
             found = found.where((us <= behind.us) & ((us < behind.us) | (F.col("order_id") < behind.id)))
             found = found.where(F.col("processed_at") <= F.timestamp_micros(F.lit(behind.us)))
-        keys = found.select(BATCH, "processed_at", "order_id").orderBy(F.desc("processed_at"), F.desc("order_id")).limit(rows).collect()
+        keys = (
+            found.orderBy(F.desc("processed_at"), F.desc("order_id"))
+            .limit(rows)
+            .select(BATCH, "order_id", paging.page_token(F.col("processed_at"), F.col("order_id")).alias("token"))
+            .collect()
+        )
         if len(keys) == rows or not more:
             return keys
         wanted *= 4

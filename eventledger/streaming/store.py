@@ -83,13 +83,13 @@ def read_batches(spark: SparkSession, path: str, schema: T.StructType, only: Col
     layout (see ``bucket_of_id``) that leaves whole folders unread.
     """
     laid_out = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())]) if only is not None else schema
-    batches = _read_folders(spark, path, laid_out, [f"{path}/{BATCH}={n}" for n in sorted(batches_of(spark, path))])
+    batches = read_folders(spark, path, laid_out, [f"{path}/{BATCH}={n}" for n in sorted(batches_of(spark, path))])
     if only is not None:
         batches = batches.where(only)
     return batches.select(*schema.fieldNames(), BATCH)
 
 
-def _read_folders(spark: SparkSession, path: str, schema: T.StructType, folders: list[str]) -> DataFrame:
+def read_folders(spark: SparkSession, path: str, schema: T.StructType, folders: list[str]) -> DataFrame:
     full = _with_batch(schema)
     if not folders:
         return spark.createDataFrame([], full)
@@ -143,7 +143,7 @@ def ends_of(manifest: Manifest, table: str) -> dict[int, int]:
     old = [n for n, info in manifest.folders(table).items() if "records" not in info]
     if old and not ends:
         path = manifest.state()["tables"][table]["path"]
-        ends = ends_in(_read_folders(manifest.spark, path, RECORD, [f"{path}/{BATCH}={n}" for n in old]))
+        ends = ends_in(read_folders(manifest.spark, path, RECORD, [f"{path}/{BATCH}={n}" for n in old]))
     return ends
 
 
@@ -359,7 +359,7 @@ def stored_with(spark: SparkSession, path: str, ids: DataFrame, manifest: Manife
     for kind, table, an_id in _IDS:
         places = [f"{tables[table]}/{BATCH}={n}/{BUCKET}={b}" for n, b in sorted(admitted.get(kind, []))]
         schema = STORE if table == ORDERS else EVENT_INDEX
-        rows = _read_folders(spark, tables[table], schema, places).select("order_id", "event_id")
+        rows = read_folders(spark, tables[table], schema, places).select("order_id", "event_id")
         own = wanted.where(F.col("kind") == kind).select(F.col("id").alias(an_id))
         own = F.broadcast(own) if count <= BROADCAST_ROWS else own
         found.append(rows.join(own, an_id, "left_semi").select("order_id", "event_id"))
@@ -375,17 +375,17 @@ def newest_orders(spark: SparkSession, store: str, rows: int, page_token: str =
     manifest = commits_of_store(spark, store)
     folders = manifest.folders(SLICES)
     tables = store_tables(store)
-    known = _read_folders(spark, tables[SLICES], listing.SLICES, [f"{tables[SLICES]}/{BATCH}={n}" for n in sorted(folders)])
+    known = read_folders(spark, tables[SLICES], listing.SLICES, [f"{tables[SLICES]}/{BATCH}={n}" for n in sorted(folders)])
 
     def read(slices) -> DataFrame:
         places = [f"{tables[LISTING]}/{BATCH}={s[BATCH]}/cluster={s['cluster']}/bucket={s['bucket']}/slice={s['slice']}" for s in slices]
-        return _read_folders(spark, tables[LISTING], listing.LISTED, sorted(places))
+        return read_folders(spark, tables[LISTING], listing.LISTED, sorted(places))
 
     keys = listing.next_keys(known, read, rows, page_token, customer_id)
     ids = spark.createDataFrame([(k[BATCH], k["order_id"]) for k in keys], f"{BATCH} bigint, order_id string")
     at = ids.select(BATCH, bucket_of_id(F.col("order_id")).alias(BUCKET)).distinct().collect()
     places = [f"{store}/{BATCH}={r[BATCH]}/{BUCKET}={r[BUCKET]}" for r in at]
-    found = _read_folders(spark, store, STORE, sorted(places)).select(*STORE.fieldNames())
+    found = read_folders(spark, store, STORE, sorted(places)).select(*STORE.fieldNames())
     wanted = found.where(F.col("order_id").isin([k["order_id"] for k in keys]))
     return wanted.orderBy(F.desc("processed_at"), F.desc("order_id"))
 
@@ -410,7 +410,7 @@ def merge_due(manifest: Manifest) -> bool:
             return merged
         chosen = levels[full[0]][:MERGED_FOLDERS]
         path = manifest.state()["tables"][ORDERS]["path"]
-        rows = _read_folders(spark, path, STORE, [f"{path}/{BATCH}={n}" for n in chosen]).drop(BATCH)
+        rows = read_folders(spark, path, STORE, [f"{path}/{BATCH}={n}" for n in chosen]).drop(BATCH)
         write_orders_table(rows, manifest.attempt(ORDERS))
         adds = add_orders(rows, sum(folders[n]["rows"] for n in chosen), manifest, full[0] + 1)
         manifest.commit(adds, removes={table: chosen for table in OF_STORE})

@@ -131,3 +131,12 @@ def test_the_registered_lookup_reads_one_bucket(spark):
     assert BUCKET in plan.split("PartitionFilters")[1].split("]")[0]
     assert "EqualTo(order_id" in plan.split("PushedFilters")[1]
     assert found.count() == 1
+
+
+@pytest.mark.parametrize("name", ["list_orders", "list_orders_by_customer", "list_orders_page2"])
+def test_registered_listings_do_not_scan_the_store(spark, name):
+    found = catalog.all_queries()[name](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert BUCKET in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "order_id" in plan.split("PushedFilters")[1]
+    assert found.count() == catalog.PAGE
