@@ -8,6 +8,7 @@ over. Together with the lookup of ids already stored this makes at-least-once
 delivery end in each event being stored once.
 """
 
+import datetime as dt
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -16,9 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schemas as S
-from ..operators import measure, persist, replay
+from ..operators import persist, replay
 from ..operators.scale import number_in_order
-from ..sources.record_log import append_records
+from ..sources.record_log import append_records, log_end
 from .manifest import Manifest
 from .retry import RetryPolicy, SinkError, with_retry
 from .store import (
@@ -28,6 +29,7 @@ from .store import (
     add_orders,
     append_to_log,
     commits_of_store,
+    end_offsets,
     merge_due,
     store_tables,
     stored_with,
@@ -47,9 +49,29 @@ PROCESSING = T.StructType([
 ])
 
 
+# What a job says about itself: a sample per counter and batch.
+SAMPLES = T.StructType([
+    T.StructField("ts", T.TimestampType()),
+    T.StructField("metric", T.StringType()),
+    T.StructField("instance", T.StringType()),
+    T.StructField("label", T.StringType()),
+    T.StructField("value", T.DoubleType()),
+])
+# Names of the metrics.
+PROCESSED, DEAD_LETTERED, TOOK, LAG = (
+    "orders_processed_total", "dlq_messages_total", "order_processing_duration_seconds_bucket", "consumer_lag",
+)
+COUNTERS, READ = "counters", "read"
+
+
 @dataclass
 class PersistJob:
-    """Where one worker query reads its state from and writes to."""
+    """Where one worker query reads its state from and writes to.
+
+    Samples of its counters are left beside the outcomes, one per batch. They go on
+    from the commit before, also after a restart. ``log`` is the folder of the log,
+    whose end says how far the job is behind.
+    """
 
     spark: SparkSession
     store: str
@@ -62,6 +84,8 @@ class PersistJob:
     # failed writes of single records, as the store reports them
     faults: Callable[[DataFrame, int], DataFrame] | None = None
     sleep: Callable[[float], None] | None = None
+    instance: str = "worker-0"
+    log: str | None = None
 
     def __post_init__(self) -> None:
         self._commits: Manifest | None = None
@@ -72,7 +96,9 @@ class PersistJob:
         if self._commits is None:
             tables = store_tables(self.store) | {
                 "dead_letters": self.dead_letters, "outcomes": self.outcomes, "seconds": f"{self.outcomes}-seconds",
+                "samples": f"{self.outcomes}-samples",
             }
+            self._opened_at = dt.datetime.now(dt.timezone.utc)
             self._commits = commits_of_store(self.spark, self.store).open(tables)
         return self._commits
 
@@ -103,11 +129,15 @@ class PersistJob:
             parked = self._park(classified)
             counts = classified.groupBy("outcome", "reason").agg(F.count("*").alias("n")).coalesce(1).persist()
             # one row per outcome and reason
-            persisted = sum(r["n"] for r in counts.collect() if r["outcome"] == S.PERSISTED)
+            told = counts.collect()
+            persisted = sum(r["n"] for r in told if r["outcome"] == S.PERSISTED)
             adds = add_orders(self._rows(classified), persisted, commits) | parked.adds
             adds["outcomes"] = add(counts, commits, "outcomes")
-            adds["seconds"] = add(self._time(classified, time.monotonic() - began), commits, "seconds")
-            commits.commit(adds, done={self._source: batch_id}, ends=parked.ends)
+            took = self._time(persisted, time.monotonic() - began)
+            adds["seconds"] = add(took, commits, "seconds")
+            samples, ends = self._samples(told, took, classified)
+            adds["samples"] = add(samples, commits, "samples")
+            commits.commit(adds, done={self._source: batch_id}, ends=parked.ends | ends)
             for table in (counts, classified, stored):
                 table.unpersist()
             merge_due(commits)
@@ -188,11 +218,40 @@ class PersistJob:
             ),
         )
 
-    def _time(self, classified: DataFrame, seconds: float) -> DataFrame:
+    def _time(self, persisted: int, seconds: float) -> DataFrame:
         """Every record of a batch waited for the whole of it."""
-        persisted = classified.where(F.col("outcome") == S.PERSISTED)
-        took = measure.histogram(persisted.withColumn("_seconds", F.lit(seconds)), F.col("_seconds"), S.PROCESSING_BUCKETS)
-        return took.select(F.col("le").cast("double").alias("le"), F.col("bucket_count").cast("bigint").alias("n")).coalesce(1)
+        bounds = [*map(float, S.PROCESSING_BUCKETS), float("inf")]
+        return self.spark.createDataFrame([(le, persisted if seconds <= le else 0) for le in bounds], PROCESSING).coalesce(1)
+
+    def _samples(self, told: list, took: DataFrame, classified: DataFrame) -> tuple[DataFrame, dict]:
+        """Counters after this batch, and the ends that the commit keeps them in.
+
+        The first batch begins with a sample of 0 each, so that it counts in a rate.
+        """
+        state, now = self.commits().state()["ends"], dt.datetime.now(dt.timezone.utc)
+        before = state.get(COUNTERS, {})
+        grown = {f"{PROCESSED}|{o}": 0 for o in (S.PERSISTED, S.DUPLICATE, S.DEAD_LETTER)}
+        grown |= {f"{DEAD_LETTERED}|{r}": 0 for r in (S.POISON, S.RETRIES_EXHAUSTED)}
+        for row in told:
+            grown[f"{PROCESSED}|{row['outcome']}"] += row["n"]
+            if row["outcome"] == S.DEAD_LETTER:
+                grown[f"{DEAD_LETTERED}|{row['reason']}"] += row["n"]
+        for row in took.collect():
+            grown[f"{TOOK}|{'+Inf' if row['le'] == float('inf') else row['le']}"] = row["n"]
+        total = {name: before.get(name, 0) + n for name, n in grown.items()}
+        rows = [(now, *name.split("|"), float(n)) for name, n in total.items()]
+        if not before:
+            rows += [(self._opened_at, *name.split("|"), 0.0) for name in total]
+        ends = {COUNTERS: total}
+        if self.log is not None:
+            # one row per partition
+            seen = {r["partition"]: r["next_offset"] for r in log_end(classified).collect()}
+            read = {int(p): n for p, n in state.get(READ, {}).items()} | seen
+            at_end = {r["partition"]: r["next_offset"] for r in end_offsets(self.spark, self.log).collect()}
+            rows += [(now, LAG, str(p), float(max(0, end - read.get(p, 0)))) for p, end in sorted(at_end.items())]
+            ends[READ] = seen
+        named = [(ts, metric, self.instance, label, value) for ts, metric, label, value in rows]
+        return self.spark.createDataFrame(named, SAMPLES).coalesce(1), ends
 
     def start(self, log: DataFrame, checkpoint: str) -> StreamingQuery:
         """Work off what the log holds now, then stop.

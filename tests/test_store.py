@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from eventledger import schemas as S
-from eventledger.operators import reads
+from eventledger.operators import reads, series
 from eventledger.streaming import listing, manifest as M, persist_job as P, store as St
 from eventledger.streaming.ingest_job import IngestJob
 from eventledger.streaming.retry import RetryPolicy, SinkError
@@ -282,3 +282,23 @@ def test_a_half_that_the_environment_fails_is_not_split(spark, folder):
     assert [n for n in tries if n < 4] == []
     found = {(r.outcome, r.reason): r.n for r in St.read_batches(spark, folder + "/o", P.OUTCOMES).collect()}
     assert found == {("persisted", None): 4, ("dead_letter", "retries_exhausted"): 4}
+
+
+def test_a_job_leaves_samples_of_its_own(spark, folder):
+    """Counters go on after a restart; the dashboard's processing time and the lag come from them."""
+    rows = [record(p, o, event(uid(f"e{p}-{o}"), uid(f"o{p}-{o}")) if o else "{not json") for p in (0, 1) for o in range(4)]
+    St.write_batch(log_frame(spark, rows), folder + "/log", 0)
+    paths = [folder + "/s", folder + "/d", folder + "/o"]
+    P.PersistJob(spark, *paths, log=folder + "/log").write(log_frame(spark, [r for r in rows if r[3] == 0]), 0)
+    P.PersistJob(spark, *paths, log=folder + "/log").write(log_frame(spark, [r for r in rows if r[3] == 1][:3]), 1)
+    samples = St.read_batches(spark, folder + "/o-samples", P.SAMPLES).drop("batch_id")
+    now = F.current_timestamp()
+    grown = series.increase_at(samples.where("metric <> 'consumer_lag'"), now, 3_600_000_000)
+    found = {(r.metric, r.label): r.increase for r in grown.collect()}
+    assert found["orders_processed_total", "persisted"] == 5 and found["orders_processed_total", "dead_letter"] == 2
+    assert found["dlq_messages_total", "poison"] == 2 and found[P.TOOK, "+Inf"] == 5
+    le = F.when(F.col("label") == "+Inf", float("inf")).otherwise(F.col("label").try_cast("double"))
+    buckets = grown.where(F.col("metric") == P.TOOK).withColumn("le", le)
+    assert series.histogram_quantile(buckets, 0.99, ["metric"], "increase").first()["quantile"] > 0
+    lag = series.latest(samples.where("metric = 'consumer_lag'"), now)
+    assert {r.label: r.value for r in lag.collect()} == {"0": 0.0, "1": 1.0}
