@@ -14,14 +14,23 @@ words. Words are what spaces part. Blank lines always stay.
 4. Per key the earliest line is the candidate of the others, never all pairs.
    Lines that share a key of changed words are all one edit apart, so the
    earliest decides for them all. Candidates are verified on the words.
+
+Texts are not shuffled: what a step needs of lines or keys is let through a bitmap
+of hashes first, a broadcast table of at most BITMAP_WORDS rows that may let through
+too much, never too little. From step 3 on a line is a number in the order of places.
 """
 
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from eventledger.operators.scale import number_in_order
+
 LEAST_WORDS = 10
 
+# Rows of a bitmap, each of 64 bits.
+BITMAP_WORDS = 1 << 20
+
 # A place is one number: the document id, 10 digits of its text's checksum, 9 of the line.
 _PER_LINE, _PER_DOC = 10**9, Decimal(10**19)
 PLACE = "decimal(38,0)"
@@ -118,6 +127,28 @@ def _with_neighbour(distinct: DataFrame) -> DataFrame:
     return halves.join(shared, "half", "left_semi").select("place").distinct()
 
 
+def _word_and_bit(hashed: Column) -> tuple[Column, Column]:
+    return F.pmod(F.shiftrightunsigned(hashed, 6), F.lit(BITMAP_WORDS)).cast("int"), hashed.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bitmap(members: DataFrame, hashed: Column) -> DataFrame:
+    """The bits of the members' hashes; a row per word that has any."""
+    word, bit = _word_and_bit(hashed)
+    return (
+        members.select(word.alias("_word"), bit.alias("_bit"))
+        .groupBy("_word")
+        .agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_mask"))
+    )
+
+
+def _let_through(rows: DataFrame, hashed: Column, bitmap: DataFrame) -> DataFrame:
+    """Rows whose hash may be one of the bitmap's members."""
+    word, bit = _word_and_bit(hashed)
+    is_set = F.call_function("shiftright", F.col("_mask"), F.col("_bit")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    marked = rows.withColumn("_word", word).withColumn("_bit", bit)
+    return marked.join(F.broadcast(bitmap), "_word").where(is_set).select(*rows.columns)
+
+
 def _scan(values: Column, size: Column) -> Column:
     """Running exclusive or over an array: each round doubles the reach, log2(size) rounds."""
     rounds = F.sequence(F.lit(0), F.ceil(F.log2(size + 1.0)).cast("int"))
@@ -134,7 +165,7 @@ def _scan(values: Column, size: Column) -> Column:
 
 
 def _neighbourhood(lines: DataFrame) -> DataFrame:
-    """place, key, role for each variant of each line.
+    """key, code for each variant of each line; the code is four times the line's number plus its role.
 
     Roles: 0 the whole line, 1 the line without one word, 2 the line with one word
     left open in its place.
@@ -142,7 +173,7 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     xor = lambda a, b: a.bitwiseXOR(b)
     hashed = lines.select(
-        "place",
+        "number",
         F.size("words").alias("n"),
         F.transform("words", lambda w, i: F.xxhash64(w, i)).alias("here"),
         F.transform("words", lambda w, i: F.xxhash64(w, i - 1)).alias("moved"),
@@ -177,8 +208,8 @@ def _neighbourhood(lines: DataFrame) -> DataFrame:
     whole = F.array(
         F.struct(F.xxhash64(F.lit(1), F.col("n"), F.col("all_here")).alias("key"), F.lit(0).alias("role"))
     )
-    return sums.select("place", F.explode(F.concat(whole, without, left_open)).alias("variant")).select(
-        "place", "variant.key", "variant.role"
+    return sums.select("number", F.explode(F.concat(whole, without, left_open)).alias("variant")).select(
+        "variant.key", (F.col("number") * 4 + F.col("variant.role")).alias("code")
     )
 
 
@@ -199,48 +230,50 @@ def one_edit(a: str, b: str) -> Column:
     )
 
 
+def _numbered_lines(docs: DataFrame, numbered: DataFrame) -> DataFrame:
+    """number, words of the lines at the places of ``numbered`` (place, number)."""
+    hashed = F.xxhash64("place")
+    here = _lines(docs).select(_place().alias("place"), "line")
+    return (
+        _let_through(here, hashed, _bitmap(numbered, hashed))
+        .join(numbered, "place")
+        .dropDuplicates(["number"])
+        .select("number", F.split("line", " ").alias("words"))
+    )
+
+
 def _near_copies(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """Places of different lines that are one edit from an earlier line."""
-    places = _with_neighbour(distinct).select("place", *_place_parts())
-    asked = places.groupBy("doc_id", "crc").agg(F.collect_set(F.struct("line_no", "place")).alias("asked"))
-    texts = _doc(docs, "text").join(
-        asked.withColumnsRenamed({"doc_id": "_doc", "crc": "_crc"}),
-        F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("crc") == F.col("_crc")),
-    )
-    lines = (
-        texts.select(F.split("text", "\n").alias("lines"), F.explode("asked").alias("one"))
-        .select("one.place", F.split(F.col("lines")[F.col("one.line_no")], " ").alias("words"))
-        .dropDuplicates(["place"])
-    ).checkpoint()
+    numbered = number_in_order(_with_neighbour(distinct).checkpoint(), [F.col("place")], into="number").checkpoint()
+    lines = _numbered_lines(docs, numbered).checkpoint()
     variants = _neighbourhood(lines)
+    role = F.col("code").bitwiseAND(F.lit(3).cast("bigint"))
+    first = lambda of: F.min(F.when(role == of, F.shiftright("code", 2)))
     # one line may give a key several times (equal neighbouring words): the earliest counts
     earliest = (
         variants.groupBy("key")
         .agg(
-            F.min(F.when(F.col("role") == 0, F.col("place"))).alias("whole"),
-            F.min(F.when(F.col("role") == 1, F.col("place"))).alias("without"),
-            F.min(F.when(F.col("role") == 2, F.col("place"))).alias("left_open"),
-            F.min("place").alias("low"),
-            F.max("place").alias("high"),
+            first(0).alias("whole"),
+            first(1).alias("without"),
+            first(2).alias("left_open"),
+            F.max(F.when(role == 2, F.shiftright("code", 2))).alias("last_open"),
         )
-        .where("low < high")
-    )
-    other = (
-        F.when(F.col("role") == 0, F.col("without"))
-        .when(F.col("role") == 1, F.col("whole"))
-        .otherwise(F.col("left_open"))
+        .where(F.col("whole").isNotNull() & F.col("without").isNotNull() | (F.col("left_open") < F.col("last_open")))
+        .drop("last_open")
+        .checkpoint()
     )
+    other = F.when(role == 0, F.col("without")).when(role == 1, F.col("whole")).otherwise(F.col("left_open"))
     pairs = (
-        variants.join(earliest, "key")
-        .select("place", other.alias("earlier"))
-        .where(F.col("earlier") < F.col("place"))
+        _let_through(variants, F.col("key"), _bitmap(earliest, F.col("key")))
+        .join(earliest, "key")
+        .select(F.shiftright("code", 2).alias("number"), other.alias("earlier"))
+        .where(F.col("earlier") < F.col("number"))
         .distinct()
     )
-    one = lines.select("place", F.col("words").alias("own"))
-    two = lines.select(F.col("place").alias("earlier"), F.col("words").alias("others"))
-    return (
-        pairs.join(one, "place").join(two, "earlier").where(one_edit("own", "others")).select("place").distinct()
-    )
+    one = lines.select("number", F.col("words").alias("own"))
+    two = lines.select(F.col("number").alias("earlier"), F.col("words").alias("others"))
+    near = pairs.join(one, "number").join(two, "earlier").where(one_edit("own", "others")).select("number").distinct()
+    return near.join(numbered, "number").select("place")
 
 
 def line_verdicts(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
