@@ -12,17 +12,21 @@ occur often enough are found and counted exactly in a few passes:
    are none. A phrase cannot be frequent unless its halves are, so nothing is
    missed then, whatever the sample was. Three further passes are the most.
 
-Proposals travel as a bitmap of hashes of fixed size. It errs to one side only: a
-phrase let in by chance is counted like any other. Counts are by the phrases
-themselves.
+These passes count hashes of phrases, which may only count too much. A last pass
+counts the phrases themselves, of those hashes that came out as frequent.
+
+Proposals and frequent hashes travel as bitmaps of bounded size. They err to one side
+only: a phrase let in by chance is counted like any other.
 """
 
 import hashlib
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from eventledger.llm import byte_words
@@ -31,9 +35,21 @@ from eventledger.llm.common import share, text_or_empty
 LONGEST = 4
 # One document in so many proposes.
 SAMPLE_ONE_IN = 4
-# A bitmap of 2 ** FILTER_BITS bits (16 MB), whatever the number of proposals.
-FILTER_BITS = 27
+# A bitmap has 32 bits per member, but within these powers of two (16 MB at most).
+LEAST_BITS, MOST_BITS = 20, 27
+# A hash sets the bits that these shifts of its upper bits name.
+PROBES = (0, 10, 19)
 NO_LANG = "und"
+# Characters looked at together.
+TOGETHER = 1 << 19
+# Hashes that a task adds up before it hands them on (16 bytes each).
+TALLIED = 1 << 20
+# Phrases that a task adds up before it hands them on, and characters in them.
+NAMED, NAMED_TEXT = 1 << 18, 1 << 25
+# Groups in which hashes are added up, for each partition of the documents, and the limits of their number.
+GROUPS_EACH, LEAST_GROUP_BITS, MOST_GROUP_BITS = 16, 8, 20
+# Bits of a hash that are counted; the two lowest hold the number of words.
+KEY_BITS = 48
 # Candidates of one language that one task ranks.
 RANKED_TOGETHER = 100_000
 
@@ -61,19 +77,27 @@ def _breaks() -> np.ndarray:
 class Filter:
     """Hashes that were proposed; may answer yes for others."""
 
-    def __init__(self, words: np.ndarray | None = None):
-        self.words = np.zeros(1 << (FILTER_BITS - 6), np.uint64) if words is None else words
+    def __init__(self, words: np.ndarray):
+        self.words, self.bits = words, int(len(words)).bit_length() + 5
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        place = hashes >> np.uint64(64 - FILTER_BITS)
-        return (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    @staticmethod
+    def empty(members: int) -> "Filter":
+        bits = min(max(LEAST_BITS, (32 * members).bit_length()), MOST_BITS)
+        return Filter(np.zeros(1 << (bits - 6), np.uint64))
 
-    def with_hashes(self, hashes: DataFrame) -> "Filter":
-        """Adds a column ``hash``; what reaches the driver is at most the bitmap."""
-        place = F.shiftrightunsigned("hash", 64 - FILTER_BITS)
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        held, mask = np.ones(len(hashes), bool), np.uint64((1 << self.bits) - 1)
+        for shift in PROBES:
+            place = (hashes >> np.uint64(64 - KEY_BITS + 2 + shift)) & mask
+            held &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+        return held
+
+    def with_keys(self, keys: DataFrame) -> "Filter":
+        """Adds a column ``key``; what reaches the driver is at most the bitmap."""
+        places = F.array(*[F.shiftright("key", 2 + shift).bitwiseAND(F.lit((1 << self.bits) - 1)) for shift in PROBES])
         mask = F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))")
         found = (
-            hashes.select(place.alias("place"))
+            keys.select(F.explode(places).alias("place"))
             .groupBy(F.shiftright("place", 6).alias("word"))
             .agg(mask.alias("mask"))
             .toArrow()
@@ -137,82 +161,200 @@ def _texts(docs: DataFrame) -> DataFrame:
 def _parts(batches) -> Iterator[Places]:
     for batch in batches:
         langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        for part in byte_words.chunks(texts):
+        for part in byte_words.chunks(texts, TOGETHER):
             yield Places(texts[part], langs[part])
 
 
-def propose(docs: DataFrame, support: int, one_in: int) -> DataFrame:
-    """Hashes of the words, pairs and triples that the sample holds often enough."""
+def _keys(value: np.ndarray, words: int) -> np.ndarray:
+    """The upper bits of a hash and the number of words."""
+    return (value >> np.uint64(64 - KEY_BITS + 2) << np.uint64(2)) | np.uint64(words - 1)
 
-    def run(batches):
-        for places in _parts(batches):
-            for _, fits, value in places.levels(LONGEST - 1):
-                hashes, counts = np.unique(value[fits], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(hashes.view(np.int64)), pa.array(counts.astype(np.int64))], ["hash", "n"]
-                )
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0)
-    counted = _texts(sample).mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n"))
-    return counted.where(F.col("n") >= lowered(support, one_in)).select("hash")
+def _added_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.concatenate([k for k, _ in parts])
+    order = np.argsort(keys)
+    keys, counts = keys[order], np.concatenate([n for _, n in parts])[order]
+    first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]))
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _narrowed(values: np.ndarray) -> bytes:
+    """The width in bytes, then the numbers in that width."""
+    width = next(w for w in (1, 4, 8) if w == 8 or not len(values) or int(values.max()) < 1 << (8 * w))
+    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+
 
+def _widened(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint64)
 
-def _count_pass(docs: DataFrame, proposed: Filter, before: Filter | None) -> DataFrame:
-    """lang, words, phrase, hash, n of what ``proposed`` makes countable and ``before`` did not.
 
-    The first pass adds a row of no words per language, with the number of all its words.
+def _tallies(found: Iterator[np.ndarray], group_bits: int) -> Iterator[pa.RecordBatch]:
+    """(group, keys, counts) of a task: per group the steps between its sorted keys, and how often each occurred.
+
+    What repeats is added up as far as TALLIED allows.
+    """
+
+    def tally(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        group = keys >> np.uint64(KEY_BITS - group_bits)
+        cuts = np.flatnonzero(np.diff(group, prepend=~group[:1], append=~group[-1:]))
+        rows = [(int(group[a]), keys[a:b], counts[a:b]) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        steps = [_narrowed(np.diff(k, prepend=np.uint64(g << (KEY_BITS - group_bits)))) for g, k, _ in rows]
+        columns = [pa.array([g for g, _, _ in rows], pa.int32()), steps, [_narrowed(n) for _, _, n in rows]]
+        return pa.RecordBatch.from_arrays(
+            [columns[0], *(pa.array(c, pa.binary()) for c in columns[1:])], ["group", "keys", "counts"]
+        )
+
+    parts, size = [], 0
+    for keys in found:
+        parts.append(np.unique(keys, return_counts=True))
+        size += len(parts[-1][0])
+        if size >= TALLIED:
+            parts = [_added_up(parts)]
+            size = len(parts[0][0])
+            if size >= TALLIED // 2:
+                yield tally(*parts[0])
+                parts, size = [], 0
+    if size:
+        yield tally(*_added_up(parts))
+
+
+def _group_bits(texts: DataFrame) -> int:
+    """A group has the hashes of one range.
+
+    There are so many groups for the partitions of the documents that a group is about
+    as large as the sixteenth part of a partition.
     """
+    groups = GROUPS_EACH * texts.rdd.getNumPartitions()
+    return min(max(LEAST_GROUP_BITS, groups.bit_length()), MOST_GROUP_BITS)
+
+
+def _counted(docs: DataFrame, keys, least: int) -> DataFrame:
+    """Keys that occur ``least`` times; ``keys`` gives those of some places, once per level."""
+    texts = _texts(docs)
+    group_bits = _group_bits(texts)
+
+    def run(batches):
+        return _tallies((k for places in _parts(batches) for k in keys(places)), group_bits)
+
+    def add_up(group: pa.Table) -> pa.Table:
+        first = np.uint64(group["group"][0].as_py() << (KEY_BITS - group_bits))
+        parts = [
+            (first + np.cumsum(_widened(k.as_py()), dtype=np.uint64), _widened(n.as_py()))
+            for k, n in zip(group["keys"], group["counts"])
+        ]
+        found, counts = _added_up(parts)
+        return pa.table({"key": found[counts >= least].astype(np.int64)})
+
+    tallies = texts.mapInArrow(run, "group int, keys binary, counts binary")
+    return tallies.groupBy("group").applyInArrow(add_up, "key bigint")
+
+
+def propose(docs: DataFrame, support: int, one_in: int) -> DataFrame:
+    """Keys of the words, pairs and triples that the sample holds often enough."""
+
+    def keys(places: Places):
+        for words, fits, value in places.levels(LONGEST - 1):
+            yield _keys(value[fits], words)
+
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(one_in)) == 0)
+    return _counted(sample, keys, lowered(support, one_in))
+
+
+def _count_pass(docs: DataFrame, proposed: Filter, before: Filter | None, support: int) -> DataFrame:
+    """Frequent keys of what ``proposed`` makes countable and ``before`` did not."""
     shared = share(docs.sparkSession, (proposed.words, None if before is None else before.words))
+    filters = []
 
     def countable(fits, inside):
         return fits & inside[:-1] & inside[1:]
 
+    def keys(places: Places):
+        if not filters:
+            filters.extend(None if words is None else Filter(words) for words in shared())
+        now, old = filters
+        inside = known = None
+        for words, fits, value in places.levels(LONGEST):
+            if words > 1:
+                chosen = countable(fits, inside)
+                if old is not None:
+                    chosen &= ~countable(fits, known)
+            else:
+                chosen = fits if old is None else np.zeros(len(fits), bool)
+            yield _keys(value[chosen], words)
+            inside = fits & now.holds(value)
+            known = None if old is None else fits & old.holds(value)
+
+    return _counted(docs, keys, support)
+
+
+def _count_phrases(docs: DataFrame, frequent: Filter, support: int) -> DataFrame:
+    """lang, words, phrase, n of the phrases whose hashes are in ``frequent`` and that occur ``support`` times.
+
+    A row of no words per language has the number of all its words. As hashes do, the
+    phrases of a task travel in groups: those of one language and range of hashes, a line each.
+    """
+    texts = _texts(docs)
+    group_bits, shared = _group_bits(texts), share(docs.sparkSession, frequent.words)
+
     def run(batches):
-        now, old = shared()
-        now, old = Filter(now), None if old is None else Filter(old)
+        wanted, known, text, totals = Filter(shared()), {}, 0, Counter()
         for places in _parts(batches):
-            inside = known = None
             for words, fits, value in places.levels(LONGEST):
-                if words > 1:
-                    chosen = countable(fits, inside)
-                    if old is not None:
-                        chosen &= ~countable(fits, known)
-                else:
-                    chosen = fits if old is None else np.zeros(len(fits), bool)
-                at = np.flatnonzero(chosen)
-                hashes, first, counts = np.unique(value[at], return_index=True, return_counts=True)
-                at = at[first]
-                yield _rows(places, at, words, hashes, counts)
-                inside = fits & now.holds(value)
-                known = None if old is None else fits & old.holds(value)
-            if old is None:
-                totals = np.bincount(places.lang, minlength=len(places.langs))
-                none = np.zeros(len(totals), np.uint64)
-                yield _batch(places.langs, [b""] * len(totals), 0, none, totals)
-
-    schema = "lang string, words int, phrase string, hash bigint, n bigint"
-    counted = _texts(docs).mapInArrow(run, schema)
-    return counted.groupBy("lang", "words", "phrase", "hash").agg(F.sum("n").alias("n"))
-
-
-def _rows(places: Places, at, words, hashes, counts) -> pa.RecordBatch:
-    langs = pa.array(places.langs, pa.string()).take(pa.array(places.lang[at]))
-    return _batch(langs, places.phrases(at, words), words, hashes, counts)
-
-
-def _batch(langs, phrases: list[bytes], words: int, hashes, counts) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
+                at = np.flatnonzero(fits & wanted.holds(value))
+                found, first, counts = np.unique(value[at], return_index=True, return_counts=True)
+                new = np.array([h not in known for h in found.tolist()], bool)
+                at = at[first[new]]
+                for h, lang, phrase in zip(found[new].tolist(), places.lang[at].tolist(), places.phrases(at, words)):
+                    known[h] = [places.langs[lang], phrase, 0]
+                    text += len(phrase)
+                for h, n in zip(found.tolist(), counts.tolist()):
+                    known[h][2] += n
+            for lang, n in zip(places.langs, np.bincount(places.lang, minlength=len(places.langs)).tolist()):
+                totals[lang] += n
+            if len(known) > NAMED or text > NAMED_TEXT:
+                yield _lines_of(known, group_bits)
+                known, text = {}, 0
+        yield _lines_of(known, group_bits)
+        yield _as_batch([(lang, -1, b"", _narrowed(np.array([n], np.int64))) for lang, n in totals.items()])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        phrases = pa.array([p for lines in group["phrases"] for p in lines.as_py().split(b"\n")], pa.binary())
+        counts = pa.array(np.concatenate([_widened(n.as_py()).astype(np.int64) for n in group["counts"]]))
+        summed = pa.table({"phrase": phrases, "n": counts}).group_by("phrase").aggregate([("n", "sum")])
+        summed = summed.filter(pc.or_(pc.greater_equal(summed["n_sum"], support), pc.equal(summed["phrase"], b"")))
+        words = [p.count(b" ") + 1 if p else 0 for p in summed["phrase"].to_pylist()]
+        return pa.table(
+            {
+                "lang": pa.array([group["lang"][0].as_py()] * len(words), pa.string()),
+                "words": pa.array(words, pa.int32()),
+                "phrase": summed["phrase"].cast(pa.string()),
+                "n": summed["n_sum"],
+            }
+        )
+
+    lines = texts.mapInArrow(run, "lang string, group int, phrases binary, counts binary")
+    return lines.groupBy("lang", "group").applyInArrow(add_up, "lang string, words int, phrase string, n bigint")
+
+
+def _lines_of(known: dict, group_bits: int) -> pa.RecordBatch:
+    """One row per language and group: the phrases, one a line (none holds a line's end), and their counts."""
+    groups: dict[tuple[str, int], list] = {}
+    for h, (lang, phrase, n) in known.items():
+        groups.setdefault((lang, h >> (64 - group_bits)), []).append((phrase, n))
+    return _as_batch(
         [
-            langs if isinstance(langs, pa.Array) else pa.array(langs, pa.string()),
-            pa.array(np.full(len(phrases), words, np.int32)),
-            pa.array(phrases, pa.binary()).cast(pa.string()),
-            pa.array(hashes.view(np.int64)),
-            pa.array(counts.astype(np.int64)),
-        ],
-        ["lang", "words", "phrase", "hash", "n"],
+            (lang, group, b"\n".join(p for p, _ in found), _narrowed(np.array([n for _, n in found], np.int64)))
+            for (lang, group), found in groups.items()
+        ]
     )
 
 
+def _as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    langs, groups, phrases, counts = zip(*rows) if rows else ([], [], [], [])
+    columns = [pa.array(langs, pa.string()), pa.array(groups, pa.int32()), pa.array(phrases, pa.binary()), pa.array(counts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["lang", "group", "phrases", "counts"])
+
+
 def frequent_phrases(docs: DataFrame, support: int = 30, one_in: int = SAMPLE_ONE_IN) -> DataFrame:
     """lang, words, phrase, n of all phrases of up to four words that occur ``support`` times.
 
@@ -221,17 +363,18 @@ def frequent_phrases(docs: DataFrame, support: int = 30, one_in: int = SAMPLE_ON
     no word occurs have no rows; each other one has a row of no words with the number
     of its words.
     """
-    proposed, before = Filter().with_hashes(propose(docs, support, one_in)), None
-    found = None
+    proposals = propose(docs, support, one_in).checkpoint()
+    none = Filter.empty(proposals.count())
+    proposed, before, frequent = none.with_keys(proposals), None, None
     while True:
-        counted = _count_pass(docs, proposed, before)
-        counted = counted.where((F.col("n") >= support) | (F.col("words") == 0)).checkpoint()
-        found = counted if found is None else found.unionByName(counted)
-        halves = counted.where(F.col("words").between(1, LONGEST - 1))
-        wider = proposed.with_hashes(halves)
+        counted = _count_pass(docs, proposed, before, support).checkpoint()
+        frequent = counted if frequent is None else frequent.unionByName(counted)
+        wider = proposed.with_keys(counted.where(F.col("key").bitwiseAND(F.lit(3)) < LONGEST - 1))
         if wider == proposed:
-            return found.where("n > 0").select("lang", "words", "phrase", "n")
+            break
         proposed, before = wider, proposed
+    named = Filter.empty(frequent.count()).with_keys(frequent)
+    return _count_phrases(docs, named, support).where("n > 0").checkpoint()
 
 
 def _exact(column: str) -> Column:

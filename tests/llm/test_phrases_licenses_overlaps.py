@@ -93,7 +93,11 @@ def test_a_failed_border_starts_further_passes(spark, monkeypatch):
 def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
     rows = chatter(60, 9)
     docs = docs_of(spark, [(i, lang, text) for i, (lang, text) in enumerate(rows)], "doc_id bigint, lang string, text string")
-    monkeypatch.setattr(phrases, "FILTER_BITS", 6)
+    monkeypatch.setattr(phrases, "LEAST_BITS", 6)
+    monkeypatch.setattr(phrases, "MOST_BITS", 6)
+    # and hands over what it has added up again and again
+    monkeypatch.setattr(phrases, "TALLIED", 50)
+    monkeypatch.setattr(phrases, "NAMED", 3)
     got = phrases.collocations(docs, support=5, most=20).collect()
     assert sorted(tuple(r) for r in got) == plain_phrases(rows, 5, 20)
 
