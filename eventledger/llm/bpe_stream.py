@@ -184,10 +184,15 @@ class Decoder:
     """
 
     def __init__(self, tokens: dict[int, str], byte_level: bool = False, special: Iterable[str] = ()):
-        self.tokens, self.byte_level, self.first = tokens, byte_level, True
-        self.special = set(special)
-        self.bytes = {letter: b for b, letter in enumerate(byte_letters())}
-        self.pending = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        self.tokens, self.byte_level, self.special = tokens, byte_level, set(special)
+        self.bytes = {letter: b for b, letter in enumerate(byte_letters())} if byte_level else {}
+        self.start()
+
+    def start(self) -> None:
+        """Begin another text."""
+        self.first = True
+        if self.byte_level:
+            self.pending = codecs.getincrementaldecoder("utf-8")(errors="replace")
 
     def feed(self, token_id: int) -> str:
         token = self.tokens.get(token_id)
@@ -207,9 +212,12 @@ class Decoder:
 def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) -> DataFrame:
     """Encodes every text and decodes it again.
 
-    One row per row of ``docs``: doc_id, n_tokens, ids_sha256, decoded_sha256, and
-    with ``with_text`` the ids (decimals joined by spaces) and the decoded text.
-    A null text counts as empty and has no tokens.
+    One row per row of ``docs``, repeated ones included: doc_id, n_tokens,
+    ids_sha256, decoded_sha256, and with ``with_ids`` the ids (decimals joined by
+    spaces). The decoded text is what ``Decoder`` says for the ids, one at a time;
+    neither side holds more of a text than a stretch of it, ``with_ids`` apart. A
+    null text counts as empty and has no tokens; an empty table gives none; other
+    columns are not read.
     """
     merges = Merges.load(tokenizer)
     shared = share(docs.sparkSession, (merges, sufficient_lookahead(merges)))
@@ -217,21 +225,21 @@ def encode_documents(docs: DataFrame, tokenizer: str, with_ids: bool = False) ->
     def rows():
         merges, lookahead = shared()
         encode = encoder(merges, lookahead)
-        tokens = {str(i): t.encode("utf-8") for i, t in merges.tokens.items()}
+        decoder = Decoder(merges.tokens)
 
         def handle(ids, texts):
             for doc_id, text in zip(ids, texts):
                 ids_hash, text_hash, n = hashlib.sha256(), hashlib.sha256(), 0
                 kept: list[str] = []
+                decoder.start()
                 for joined in encode(text):
-                    # without a decoder in the tokenizer's file a token is its own text
                     parts = joined.split(" ")
-                    spelled = b" ".join(map(tokens.__getitem__, parts))
                     ids_hash.update(b" " + joined.encode() if n else joined.encode())
-                    text_hash.update(b" " + spelled if n else spelled)
+                    text_hash.update("".join(map(decoder.feed, map(int, parts))).encode("utf-8"))
                     n += len(parts)
                     if with_ids:
                         kept.append(joined)
+                text_hash.update(decoder.end().encode("utf-8"))
                 row = doc_id, n, ids_hash.hexdigest(), text_hash.hexdigest()
                 yield (*row, " ".join(kept)) if with_ids else row
 
