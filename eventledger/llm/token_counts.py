@@ -25,6 +25,8 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 STRETCH = 1 << 18
 # Counts of merged pieces remembered per task.
 REMEMBERED = 1 << 18
+# Strings of this many characters are counted anew each time.
+LONG = 256
 
 
 def proved_whole(merges: Merges) -> set[str]:
@@ -47,7 +49,8 @@ def proved_whole(merges: Merges) -> set[str]:
 class PieceCounts(dict):
     """Tokens per piece: 1 for proved pieces, merged on first sight for others.
 
-    Starts over when it has grown by REMEMBERED entries, so its size is bounded.
+    Starts over when it has grown by REMEMBERED entries, and does not keep pieces of
+    LONG characters or more, so its size is bounded.
     """
 
     def __init__(self, merges: Merges, whole: set[str]):
@@ -57,10 +60,11 @@ class PieceCounts(dict):
 
     def __missing__(self, piece: str) -> int:
         count = len(self.merges.merge(self.merges.symbols(piece.encode("utf-8"))))
-        if len(self) >= self.room:
-            self.clear()
-            self.update(dict.fromkeys(self.whole, 1))
-        self[piece] = count
+        if len(piece) < LONG:
+            if len(self) >= self.room:
+                self.clear()
+                self.update(dict.fromkeys(self.whole, 1))
+            self[piece] = count
         return count
 
 
@@ -95,9 +99,10 @@ class UnitCounts(dict):
 
     def __missing__(self, unit: str) -> int:
         count = sum(map(self.pieces.__getitem__, self.split(" " + unit)))
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[unit] = count
+        if len(unit) < LONG:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[unit] = count
         return count
 
 
@@ -148,8 +153,13 @@ def token_counter(merges: Merges, whole: set[str]):
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
     """Tokens of each text, as the tokenizer's library counts them.
 
-    One row per row of ``docs``: doc_id, n_bytes, n_tokens, over_limit. A null
-    text counts as empty; other columns of ``docs`` are not read. The vocabulary
+    One row per row of ``docs``, repeated ones included: doc_id, n_bytes, n_tokens,
+    over_limit. A null text counts as empty; an empty table gives none; other
+    columns of ``docs`` are not read. A long text is counted by stretches that end
+    at white space; without any it is one stretch, and no part of it of LONG
+    characters or more is remembered. PIECES is the word pattern of byte-level
+    files like ``byte_bpe_50k.json``; give files with another pattern to the
+    library. The vocabulary
     (bounded by its file) is sent to the tasks once.
     """
     merges = Merges.load(tokenizer)
