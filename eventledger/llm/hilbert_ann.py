@@ -12,6 +12,7 @@ the narrowest width of a ladder at which the sample's recall reaches the target.
 Clustered vectors get narrow windows, vectors without structure wide ones.
 """
 
+import functools
 import math
 
 import numpy as np
@@ -124,9 +125,7 @@ def usable(vectors: DataFrame, id_column: str, column: str) -> DataFrame:
         & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
         & F.exists("vec", lambda x: x != 0)
     )
-    sizes = kept.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"))
-    usual = sizes.orderBy(F.desc("n"), "dim").limit(1)
-    return kept.join(F.broadcast(usual), F.size("vec") == F.col("dim")).select("vec_id", "vec").distinct()
+    return kept.distinct()
 
 
 def _matrix(column) -> np.ndarray:
@@ -145,13 +144,23 @@ def nearest(
     """The ``k`` nearest found for each query row, by Euclidean distance.
 
     Rows: query_id, rank from 1, vec_id, score; ties go to the smaller id. A row
-    takes part if it has an id and its vector has the usual number of components,
-    all finite, not all zero. Rows that repeat in full count once; a query is
+    takes part if it has an id and its vector has components that are all finite and
+    not all zero. Vectors are compared with those of as many components, one number
+    of components after the other. Rows that repeat in full count once; a query is
     never its own neighbour. Equal vectors share one place on the curves, with
     their k + 1 smallest ids. An empty table gives no rows.
     """
-    spark = vectors.sparkSession
     rows = usable(vectors, id_column, column).checkpoint()
+    lengths = [r["dim"] for r in rows.select(F.size("vec").alias("dim")).distinct().orderBy("dim").collect()]
+    found = [_nearest_of(rows.where(F.size("vec") == dim), is_query, k, target) for dim in lengths]
+    if not found:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _nearest_of(rows: DataFrame, is_query, k: int, target: float) -> DataFrame:
+    """``nearest`` for rows (vec_id, vec) whose vectors have equally many components."""
+    spark = rows.sparkSession
     order = Window.partitionBy("vec").orderBy("vec_id")
     few = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= k + 1)
     places = (
@@ -161,12 +170,11 @@ def nearest(
         .checkpoint()
     )
     n = places.count()
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if n == 0:
-        return spark.createDataFrame([], schema)
-    sample = np.array(
-        [r["vec"] for r in places.orderBy(F.xxhash64("place"), "place").limit(SAMPLE).select("vec").collect()]
-    )
+    # SAMPLE places are expected below the threshold, however many partitions there are
+    hashed = places.select(F.xxhash64("place").alias("hash"), "place", "vec")
+    taken = hashed.where(F.pmod("hash", F.lit(1 << 40)) < int(min(1.0, SAMPLE / n) * (1 << 40)))
+    drawn = taken.collect() or hashed.orderBy("hash").limit(1).collect()
+    sample = np.array([r["vec"] for r in sorted(drawn, key=lambda r: (r["hash"], r["place"]))])
     curves = Curves(sample)
     reach = max(8 * k, math.ceil(fitted_window(curves, sample, k, target) * n))
     shared = share(spark, curves)
