@@ -19,11 +19,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from eventledger.llm.common import arrow_map, share, text_or_empty
 
-# Bounds of what the lexicon is fitted on and of its size.
+# Bound of the labelled documents that the lexicon is fitted on.
 SAMPLE_DOCUMENTS = 20_000
-ENTRIES = 2_000
-EXCEPTIONS = 2_000
-CANDIDATES = 200_000
 
 # An entry is seen in this many toxic documents at least, and this many times likelier there.
 LEAST_DOCUMENTS, LEAST_RATIO = 3, 8.0
@@ -119,7 +116,10 @@ def _features(word: str):
 
 
 def _texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """(text, toxic) of at most ``sample`` labelled documents, those of smallest hash."""
+    """(text, toxic) of at most ``sample`` labelled documents, those of smallest hash.
+
+    One row per document: of rows that share an id the smallest text counts.
+    """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
         .groupBy(F.col("doc_id").cast("bigint").alias("_id"))
@@ -127,8 +127,12 @@ def _texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select(
-        text_or_empty(), F.col("_toxic").alias("toxic")
+    labelled = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_or_empty().alias("text"))
+    return (
+        labelled.join(F.broadcast(chosen), "_id")
+        .groupBy("_id", "_toxic")
+        .agg(F.min("text").alias("text"))
+        .select("text", F.col("_toxic").alias("toxic"))
     )
 
 
@@ -136,8 +140,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
     """Fit a lexicon on labelled documents (``labels``: doc_id, toxic).
 
     Document frequencies of words and beginnings of words are counted in Spark
-    over the sample of at most ``sample`` documents; the driver gets at most
-    CANDIDATES candidates and one (evidence, label) pair per sampled document.
+    over the sample of at most ``sample`` documents; the driver gets those features
+    that are toxic by the test, and one (evidence, label) pair per sampled document.
+    The sample bounds both; no entry or exception phrase is left out. Rows without
+    a label, and labels without a row, are not used; without labels of both kinds
+    the lexicon is empty.
     """
     texts = _texts(docs, labels, sample).checkpoint()
     totals = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -159,8 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
         .agg(F.sum("toxic").cast("bigint").alias("t"), F.count("*").alias("n"))
         .where((F.col("t") >= LEAST_DOCUMENTS) & (F.col("t") * clean >= LEAST_RATIO * toxic * (F.col("n") - F.col("t") + 0.5)))
     )
-    strength = F.col("t") / (F.col("n") - F.col("t") + 0.5)
-    rows = seen.orderBy(F.desc(F.col("t") * F.log(strength)), "feature").limit(CANDIDATES).collect()
+    rows = seen.collect()
     entries = _chosen([(r["feature"], r["t"], r["n"] - r["t"]) for r in rows], toxic, clean)
     plain = Lexicon(entries, set())
     exceptions = _exceptions(texts, plain)
@@ -193,8 +199,6 @@ def _chosen(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[st
         if any(s in chosen for s in shorter):
             continue  # the shorter beginning already counts these words
         chosen[feature] = weight[feature]
-        if len(chosen) >= ENTRIES:
-            break
     return chosen
 
 
@@ -225,8 +229,6 @@ def _exceptions(texts: DataFrame, lexicon: Lexicon) -> set[str]:
         .groupBy("phrase")
         .agg(F.sum("toxic").cast("bigint").alias("t"), F.count("*").alias("n"))
         .where((F.col("n") - F.col("t") >= LEAST_DOCUMENTS) & (F.col("t") * 4 <= F.col("n")))
-        .orderBy(F.desc("n"), "phrase")
-        .limit(EXCEPTIONS)
         .collect()
     )
     return {r["phrase"] for r in rows}
@@ -262,6 +264,8 @@ def score(docs: DataFrame, lexicon: Lexicon, columns: tuple[str, ...] = ("doc_id
     """Adds score, predicted, hits to ``columns`` of every row of ``docs``.
 
     A null text counts as empty; a text without hits has the score of the offset.
+    Repeated rows are scored each, texts of any length whole; an empty table gives
+    no rows. Columns of ``docs`` may not be called like the three added ones.
     """
     shared = share(docs.sparkSession, lexicon)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
@@ -287,7 +291,11 @@ def score(docs: DataFrame, lexicon: Lexicon, columns: tuple[str, ...] = ("doc_id
 
 
 def without_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """The rows of ``docs`` that are not predicted to be toxic, with all their columns."""
+    """The rows of ``docs`` that are not predicted to be toxic, with all their columns.
+
+    Texts are judged as by ``score``: whole, a null one as empty, repeated rows
+    each. No column is added, so columns of any name may stand beside the text.
+    """
     shared = share(docs.sparkSession, lexicon)
 
     def keep(batches):

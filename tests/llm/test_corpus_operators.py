@@ -381,11 +381,12 @@ def test_curve_is_a_walk():
 
 
 def plain_nearest(rows, k=10):
-    good = sorted({(i, tuple(map(float, v))) for i, v in rows if i is not None and v and len(v) == 4 and all(x is not None and math.isfinite(x) for x in v) and any(v)})
-    ids, vectors = np.array([i for i, _ in good]), np.array([v for _, v in good])
+    good = sorted({(i, tuple(map(float, v))) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v) and any(v)})
     out = []
     for i, v in good:
         if i % 100 == 0:
+            alike = [g for g in good if len(g[1]) == len(v)]
+            ids, vectors = np.array([j for j, _ in alike]), np.array([w for _, w in alike])
             away = np.sqrt(((vectors - np.array(v)) ** 2).sum(axis=1))
             order = [j for j in np.lexsort((ids, away)) if ids[j] != i][:k]
             out += [(i, r + 1, int(ids[j]), float(away[j])) for r, j in enumerate(order)]
@@ -396,7 +397,7 @@ def test_nearest_equals_brute_force_where_windows_cover_all(spark):
     draw = np.random.default_rng(6)
     rows = [(i, draw.normal(size=4).astype(np.float32).tolist()) for i in range(350)]
     rows += [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(600, 700)]  # ties
-    rows += [(700, None), (800, [0.0] * 4), (900, [1.0, None, 2.0, 3.0]), (1000, [float("nan"), 1.0, 2.0, 3.0]), (1100, [1.0, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), rows[100]]
+    rows += [(700, None), (800, [0.0] * 4), (900, [1.0, None, 2.0, 3.0]), (1000, [float("nan"), 1.0, 2.0, 3.0]), (1100, [1.0, 2.0]), (1200, [1.5, 2.5]), (1201, [0.5, 2.0]), (None, [1.0, 1.0, 1.0, 1.0]), rows[100]]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("place", F.lit(1)).withColumn("rank", F.lit(2))
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in hilbert_ann.nearest(df, F.col("vec_id") % 100 == 0).collect())
     want = plain_nearest(rows)

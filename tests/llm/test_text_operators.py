@@ -1,6 +1,7 @@
 """Operators that work on one text at a time, against plain versions and libraries."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,6 +9,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -154,6 +156,57 @@ def test_learned_formats(spark):
     assert secret_scan.scan(docs_of(spark, [])).count() == 0
 
 
+def test_planted_credentials_outside_the_base_rules_are_found(spark):
+    draw = random.Random(19)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    key = lambda n=32: "".join(draw.choice(letters) for _ in range(n))
+    words = ["administration", "internationally", "responsibility", "straightforward", "usr/share/documentation"]
+    prose = lambda: " ".join(draw.choice(words) for _ in range(40))
+    rows = [(i, f"{prose()} api_key = {key()} {prose()}") for i in range(300)]
+    planted = []  # fewer than one in a thousand words: what is commoner counts as ordinary
+    for i, before in enumerate(["auth=", "example.com/path/", "Bearer ", "user.name.", "a=b/c=", "token=short/but="] * 2):
+        secret, lead = key(), prose() + " " + before
+        planted.append((1000 + i, len(lead), len(lead) + 32))
+        rows.append((1000 + i, lead + secret + "\n" + prose()))
+    rows += [(2000 + i, prose()) for i in range(50)] + [(3000, key(5000) + " " + "=" * 3000), (3000, prose()), (3000, prose())]
+    out = {r.doc_id: r for r in secret_scan.scan(docs_of(spark, rows)).collect()}
+    for doc_id, start, end in planted:
+        covered = [tuple(map(int, s.split(":")[1:])) for s in out[doc_id].spans.split(",") if s]
+        assert any(s <= start and end <= e for s, e in covered), out[doc_id].spans
+        if doc_id % 6 in (1000 % 6, 1002 % 6):  # after auth= and alone
+            assert f"learned:{start}:{end}" in out[doc_id].spans.split(",")
+    assert all(out[2000 + i].spans == "" for i in range(50))
+    # before and after each base span lies ordinary text
+    assert sum(out[i].n_learned for i in range(300)) == 0
+
+
+def test_candidates_outside_base_spans():
+    draw = random.Random(20)
+    for _ in range(2000):
+        text = "".join(draw.choice("aZ9./= -") * draw.randint(1, 9) for _ in range(12))
+        found = secret_scan._candidates(text)
+        cuts = sorted(draw.sample(range(len(text) + 1), 4)) if len(text) > 4 else [0, 0, 0, 0]
+        spans = [(cuts[0], "assign", cuts[1]), (cuts[2], "hex", cuts[3])]
+        covered = {i for s, _, e in spans for i in range(s, e)}
+        got = secret_scan.outside(found, spans)
+        assert all(text[s : s + len(w)] == w and not covered & set(range(s, s + len(w))) for s, w in got)
+        masked = "".join(" " if i in covered else c for i, c in enumerate(text))
+        assert {(m.start(), m.group()) for m in secret_scan.CANDIDATE.finditer(masked)} <= set(got)
+        assert {(m.start(), m.group()) for m in secret_scan.PART.finditer(masked)} <= set(got)
+    assert secret_scan.best_apart([(5.0, 0, 10), (9.0, 8, 20), (1.0, 0, 8), (1.0, 30, 40)]) == [(0, 8), (8, 20), (30, 40)]
+
+
+def test_long_strings_are_not_remembered():
+    merges = token_counts.Merges.load(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = token_counts.PieceCounts(merges, token_counts.proved_whole(merges))
+    units = token_counts.UnitCounts(pieces, regex.compile(token_counts.PIECES).findall)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    before = len(pieces)
+    for text in ["x" * 5000, "ab" * 700, "é" * 900]:
+        assert units[text] == len(library.encode(" " + text, add_special_tokens=False).ids)
+    assert len(units) == 0 and len(pieces) == before
+
+
 def test_inferred_automaton_prefers_its_format():
     draw = random.Random(10)
     made = Counter("AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)) for _ in range(400))
@@ -182,6 +235,35 @@ def test_shards(spark):
     assert shards.assign_shards(docs_of(spark, []), 8).count() == 0
 
 
+def test_score_by_hand():
+    lexicon = toxicity.Lexicon({"idiot ": 3.0, "stup": 1.5}, {"idiot proof"}, slope=0.8, offset=-2.0)
+    match = lexicon.matcher()
+    assert match("An id1ot, stupid and stupidly so") == ([3.0, 1.5 * (1 + math.log(2))], 3, 6) or match(
+        "An id1ot, stupid and stupidly so"
+    ) == ([1.5 * (1 + math.log(2)), 3.0], 3, 6)
+    assert match("idiot proof") == ([], 0, 2) and match("") == ([], 0, 0)
+    assert lexicon.evidence([3.0, 1.5], 2, 100) == 4.5 and lexicon.evidence([3.0, 1.5], 2, 1600) == 2.25
+    assert abs(lexicon.probability(4.5) - 1 / (1 + math.exp(2.0 - 0.8 * 4.5))) < 1e-12
+
+
+def test_more_entries_and_exceptions_than_any_cap(spark):
+    draw = random.Random(21)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 2 == 0
+        words = [f"w{draw.randrange(50)}x" for _ in range(10)]
+        if toxic:  # 2,400 entries of four letters each, four times
+            words += ["".join("bcdfghjklmnpqrst"[(n >> s) & 15] for s in (8, 4, 0)) + "q" for n in ((i * 4 + j) % 2400 for j in range(16))]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    labelled = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(docs_of(spark, rows), labelled)
+    assert len(lexicon.entries) > 2000
+    # copies of a labelled row change nothing
+    again = toxicity.learn(docs_of(spark, rows + rows[:300]), labelled)
+    assert again.entries == lexicon.entries and again.slope == lexicon.slope
+
+
 def test_folding_reads_disguised_words():
     assert toxicity.words_of("ID1OT, mоron; $tupid Réeux 2024 a1") == ["idiot", "moron", "stupid", "reeux", "2024", "ai"]
 
