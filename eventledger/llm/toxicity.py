@@ -118,7 +118,7 @@ def _features(word: str):
 def _texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled documents, those of smallest hash.
 
-    One row per document: of rows that share an id the smallest text counts.
+    Texts are not shuffled; rows that share an id all count.
     """
     chosen = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -127,12 +127,8 @@ def _texts(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(sample)
     )
-    labelled = docs.select(F.col("doc_id").cast("bigint").alias("_id"), text_or_empty().alias("text"))
-    return (
-        labelled.join(F.broadcast(chosen), "_id")
-        .groupBy("_id", "_toxic")
-        .agg(F.min("text").alias("text"))
-        .select("text", F.col("_toxic").alias("toxic"))
+    return docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select(
+        text_or_empty(), F.col("_toxic").alias("toxic")
     )
 
 
@@ -141,8 +137,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
 
     Document frequencies of words and beginnings of words are counted in Spark
     over the sample of at most ``sample`` documents; the driver gets those features
-    that are toxic by the test, and one (evidence, label) pair per sampled document.
-    The sample bounds both; no entry or exception phrase is left out. Rows without
+    that are toxic by the test, and the different (evidence, label) pairs, counted.
+    The sample bounds both, however often its rows repeat; no entry or exception
+    phrase is left out. Rows without
     a label, and labels without a row, are not used; without labels of both kinds
     the lexicon is empty.
     """
@@ -181,8 +178,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCUMENTS) ->
 
         return handle
 
-    points = arrow_map(texts, "evidence double, toxic int", evidences).collect()
-    lexicon.slope, lexicon.offset = _line([(r["evidence"], r["toxic"]) for r in points])
+    points = arrow_map(texts, "evidence double, toxic int", evidences).groupBy("evidence", "toxic").agg(F.count("*").alias("n"))
+    lexicon.slope, lexicon.offset = _line(sorted(map(tuple, points.collect())))
     return lexicon
 
 
@@ -234,16 +231,16 @@ def _exceptions(texts: DataFrame, lexicon: Lexicon) -> set[str]:
     return {r["phrase"] for r in rows}
 
 
-def _line(points: list[tuple[float, int]], rounds: int = 60) -> tuple[float, float]:
-    """Slope and offset of the logistic line through (evidence, label), by Newton's method."""
+def _line(points: list[tuple[float, int, int]], rounds: int = 60) -> tuple[float, float]:
+    """Slope and offset of the logistic line through (evidence, label, times), by Newton's method."""
     slope, offset = 0.5, -2.0
     for _ in range(rounds):
         g0 = g1 = h00 = h01 = h11 = 0.0
-        for x, y in points:
+        for x, y, n in points:
             p = 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, offset + slope * x))))
-            w = p * (1 - p)
-            g0 += y - p
-            g1 += (y - p) * x
+            w = n * p * (1 - p)
+            g0 += n * (y - p)
+            g1 += n * (y - p) * x
             h00 += w
             h01 += w * x
             h11 += w * x * x

@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import regex
@@ -259,9 +260,10 @@ def test_more_entries_and_exceptions_than_any_cap(spark):
     labelled = spark.createDataFrame(labels, "doc_id bigint, toxic int")
     lexicon = toxicity.learn(docs_of(spark, rows), labelled)
     assert len(lexicon.entries) > 2000
-    # copies of a labelled row change nothing
-    again = toxicity.learn(docs_of(spark, rows + rows[:300]), labelled)
-    assert again.entries == lexicon.entries and again.slope == lexicon.slope
+    # pairs that repeat are sent to the driver once, and weigh as often as they occur
+    points = [(0.0, 0, 3), (2.0, 1, 2), (1.0, 0, 1), (1.5, 1, 4)]
+    spelled = [(x, y, 1) for x, y, n in points for _ in range(n)]
+    assert np.allclose(toxicity._line(points), toxicity._line(spelled))
 
 
 def test_folding_reads_disguised_words():
