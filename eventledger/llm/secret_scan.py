@@ -1,11 +1,13 @@
 """Secret scan: fixed rules, and formats learned by grammar inference.
 
-The fixed rules give the base spans. What they find on a bounded sample of the
-corpus are the labelled credentials. From those of each kind a prefix tree with
-counts is built, and states whose continuations do not differ statistically are
-merged into a probabilistic automaton; ordinary words of the same alphabet give
-the automaton of what is not a secret. Every candidate of every text is then
-scored by how much likelier the formats are than ordinary text.
+The fixed rules give the base spans. What they find in all texts are the labelled
+credentials. From those of each kind a prefix tree with counts is built, and states
+whose continuations do not differ statistically are merged into a probabilistic
+automaton; ordinary words of the same alphabet give the automaton of what is not a
+secret. Prefixes are counted in Spark. The driver merges those that many strings
+share, as others have too few to differ by the test; then all strings are sent
+through the automata, which gives the frequencies in each state. Every candidate of
+every text is scored by how much likelier the formats are than ordinary text.
 """
 
 import bisect
@@ -34,18 +36,20 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{12,}")
 PART = re.compile(r"[A-Za-z0-9+_-]{12,}")
 LEARNED = "learned"
 
-# Bounds of the sample that the automata are fitted on: documents, strings of a
-# kind, and their length; a kind with fewer strings than LEAST_STRINGS has no format.
-SAMPLE_DOCUMENTS = 20_000
-SAMPLE_STRINGS = 2_000
-LONGEST_STRING = 256
+# A kind with fewer strings than LEAST_STRINGS has no format.
 LEAST_STRINGS = 20
+# Continuations of prefixes that the driver merges, for each kind: those of the prefixes
+# that most strings share. Prefixes are no longer than TREE_DEPTH.
+TREE_ROWS, TREE_DEPTH = 1 << 13, 64
+# Leads of longer strings are not remembered.
+LONGEST_STRING = 256
 # Two states differ if their frequencies do by this test (the smaller, the more is merged).
 ALPHA = 0.05
 # Log-likelihood by which a format must beat ordinary text in all, and the share of
-# the sample's ordinary words whose lead per character a secret must exceed.
+# the ordinary words' occurrences whose lead per character a secret must exceed.
 MARGIN, ORDINARY_SHARE = 14.0, 0.999
-ORDINARY_STRINGS = 20_000
+# Leads per character are told apart by this part of one.
+LEAD_STEPS = 1024
 
 
 def base_spans(text: str, candidates=None) -> list[tuple[int, str, int]]:
@@ -113,40 +117,59 @@ def joined(spans) -> str:
 
 
 class Automaton:
-    """A probabilistic automaton: per state the next states and log probabilities."""
+    """A probabilistic automaton: per state the next states and how often each character followed.
+
+    "" stands for the end of a string.
+    """
 
-    def __init__(self, moves: list[dict[str, int]], logs: list[dict[str, float]], other: list[float]):
-        self.moves, self.logs, self.other = moves, logs, other
+    def __init__(self, moves: list[dict[str, int]], counts: list[dict[str, int]], alphabet: int = 70):
+        self.moves, self.counts = moves, counts
+        totals = [sum(found.values()) + 0.5 * (alphabet + 1) for found in counts]
+        self.logs = [{c: math.log((n + 0.5) / t) for c, n in found.items()} for found, t in zip(counts, totals)]
+        self.other = [math.log(0.5 / t) for t in totals]
 
     def score(self, word: str) -> float:
         state, total = 0, 0.0
         for c in word:
             known = self.logs[state].get(c)
             total += self.other[state] if known is None else known
-            # a character never seen in this place leaves the state as it is
+            # a character that leads nowhere from this place leaves the state as it is
             state = self.moves[state].get(c, state)
         return total + self.logs[state].get("", self.other[state])
 
+    def steps(self, word: str):
+        """The states that a string passes, each with the character that follows."""
+        state = 0
+        for c in word:
+            yield state, c
+            state = self.moves[state].get(c, state)
+        yield state, ""
 
-def infer(strings: Counter, alphabet: int = 70) -> Automaton:
-    """Merge compatible states of the prefix tree of ``strings`` (with counts).
 
-    States are visited from the root. Each new one is merged with the first
+def infer(strings: Counter) -> Automaton:
+    """The automaton of ``strings`` (with counts), from their whole prefix tree."""
+    following: dict[str, Counter] = defaultdict(Counter)
+    for string, count in strings.items():
+        for at in range(len(string) + 1):
+            following[string[:at]][string[at : at + 1]] += count
+    return merged(following)
+
+
+def merged(following: dict[str, dict[str, int]]) -> Automaton:
+    """Merge compatible states of a prefix tree: how often each character follows each prefix.
+
+    With a prefix its beginnings are in the tree; a character may follow without
+    a prefix of its own. States are visited from the root. Each new one is merged with the first
     settled state from which all continuations have compatible frequencies, or
     becomes settled itself. "" stands for the end of a string.
     """
-    children: list[dict[str, int]] = [{}]
-    through: list[Counter] = [Counter()]
-    for string, count in sorted(strings.items()):
-        at = 0
-        for c in string:
-            through[at][c] += count
-            if c not in children[at]:
-                children[at][c] = len(children)
-                children.append({})
-                through.append(Counter())
-            at = children[at][c]
-        through[at][""] += count
+    number = {prefix: i for i, prefix in enumerate(sorted(following))}
+    children: list[dict[str, int]] = [{} for _ in number]
+    through = [Counter(following[prefix]) for prefix in number]
+    total = [found.total() for found in through]
+    for prefix, i in number.items():
+        if prefix:
+            children[number[prefix[:-1]]][prefix[-1]] = i
     bound = math.sqrt(0.5 * math.log(2 / ALPHA))
 
     def alike(a: int, b: int) -> bool:
@@ -154,15 +177,15 @@ def infer(strings: Counter, alphabet: int = 70) -> Automaton:
         pending = [(a, b)]
         while pending:
             a, b = pending.pop()
-            na, nb = through[a].total(), through[b].total()
-            if not na or not nb:
+            na, nb = total[a], total[b]
+            # no frequency differs by more than 1, and what lies below b is rarer still
+            if not na or not nb or bound / math.sqrt(nb) >= 1:
                 continue
             gap = bound * (1 / math.sqrt(na) + 1 / math.sqrt(nb))
-            if gap < 1 and any(
-                abs(through[a][c] / na - through[b][c] / nb) > gap
-                for c in through[a].keys() | through[b].keys()
-            ):
-                return False
+            if gap < 1:
+                one, two = through[a], through[b]
+                if any(abs(one.get(c, 0) / na - two.get(c, 0) / nb) > gap for c in one.keys() | two.keys()):
+                    return False
             # b goes down a tree, so no pair comes twice
             pending += [(children[a][c], children[b][c]) for c in children[a].keys() & children[b].keys() if children[a][c] != children[b][c]]
         return True
@@ -173,6 +196,7 @@ def infer(strings: Counter, alphabet: int = 70) -> Automaton:
         while pending:
             a, b = pending.pop()
             through[a].update(through[b])
+            total[a] += total[b]
             for c, child in children[b].items():
                 if c in children[a]:
                     if children[a][c] != child:
@@ -197,29 +221,15 @@ def infer(strings: Counter, alphabet: int = 70) -> Automaton:
         for state in ((node,) if into is None else (into,)):
             waiting += [(state, x) for x in sorted(children[state]) if children[state][x] not in seen]
     index = {s: i for i, s in enumerate(settled)}
-    moves, logs, other = [], [], []
-    for state in settled:
-        total = through[state].total() + 0.5 * (alphabet + 1)
-        moves.append({c: index[x] for c, x in children[state].items() if x in index})
-        logs.append({c: math.log((n + 0.5) / total) for c, n in through[state].items()})
-        other.append(math.log(0.5 / total))
-    return Automaton(moves, logs, other)
+    moves = [{c: index[x] for c, x in children[state].items() if x in index} for state in settled]
+    return Automaton(moves, [dict(through[state]) for state in settled])
 
 
 class Formats:
-    """The automata of the kinds and of ordinary words; ``words`` are these with their counts."""
-
-    def __init__(self, formats: dict[str, Automaton], ordinary: Automaton, words: Counter):
-        self.formats, self.ordinary = formats, ordinary
-        leads = sorted((self.lead(w)[1] / len(w), n) for w, n in words.items()) if formats else []
-        # a tenth beyond what nearly all occurrences of ordinary words reach, and at least
-        # e-fold per character; an unknown secret among them occurs less often than words do
-        usual, below = 0.0, ORDINARY_SHARE * (words.total() - 1)
-        for usual, n in leads:
-            below -= n
-            if below < 0:
-                break
-        self.per_char = max(1.0, 1.1 * usual)
+    """The automata of the kinds and of ordinary words, and the lead per character that a secret needs."""
+
+    def __init__(self, formats: dict[str, Automaton], ordinary: Automaton, per_char: float = 1.0):
+        self.formats, self.ordinary, self.per_char = formats, ordinary, per_char
 
     def lead(self, word: str) -> tuple[str, float]:
         kind, best = max(((k, a.score(word)) for k, a in self.formats.items()), key=lambda x: x[1])
@@ -233,68 +243,140 @@ class Formats:
         return (kind, lead) if lead >= max(MARGIN, self.per_char * len(word)) else None
 
 
-def _sample(docs: DataFrame, documents: int) -> DataFrame:
-    """The texts of smallest hash, at most ``documents``, all different.
+def _strings(docs: DataFrame) -> DataFrame:
+    """kind, value, n of what the fixed rules find in all texts, and of all ordinary words.
 
-    Only hashes are sorted; one number, the last hash taken, comes to the driver.
+    A text that repeats counts once: a secret does not become a usual word by copies.
     """
-    hashed = docs.where(F.length("text") > 0).select("text", F.xxhash64("text").alias("hash"))
-    taken = hashed.select("hash").distinct().orderBy("hash").limit(documents)
-    last = taken.agg(F.max("hash").alias("last")).first()["last"]
-    return (hashed.where(F.col("hash") <= F.lit(last)) if last is not None else hashed).select("text").distinct()
 
+    def rows():
+        def handle(texts, names):
+            for text, name in zip(texts, names):
+                found = _candidates(text)
+                spans = base_spans(text, found)
+                strings = Counter(("ordinary", word) for _, word in outside(found, spans))
+                for start, kind, end in spans:
+                    strings[kind, ASSIGN.match(text, start).group(2) if kind == "assign" else text[start:end]] += 1
+                for (kind, value), n in strings.items():
+                    yield name, kind, value, n
+
+        return handle
 
-def ordinary_automaton(words: Counter) -> Automaton:
-    """From words with their occurrences; one that occurs once may be an unknown secret."""
-    repeated = Counter({w: n for w, n in words.items() if n > 1})
-    return infer(repeated or words or Counter({"": 1}))
+    texts = docs.where(F.length("text") > 0).select("text", F.unhex(F.md5("text")).alias("name"))
+    return (
+        arrow_map(texts, "name binary, kind string, value string, n bigint", rows)
+        .distinct()
+        .groupBy("kind", "value")
+        .agg(F.sum("n").alias("n"))
+    )
 
 
-def learn_formats(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, strings: int = SAMPLE_STRINGS) -> Formats:
-    """Fit the automata on at most ``documents`` texts and ``strings`` strings of each kind.
+def _trees(strings: DataFrame, most: int) -> dict[str, dict[str, dict[str, int]]]:
+    """Per kind how often each character follows each prefix, of at most ``most`` continuations.
 
-    Strings of more than LONGEST_STRING characters are not fitted on (they are scored).
-    The sample is the documents of smallest hash, so it does not depend on how
-    the table is stored.
+    Prefixes are counted over all strings; the driver gets those that occur most often,
+    down to a number of times, by eighths of powers of two.
     """
-    sample = _sample(docs, documents)
+    prefixes = (
+        strings.withColumn("at", F.explode(F.expr(f"sequence(0, least(length(value), {TREE_DEPTH}))")))
+        .groupBy("kind", F.expr("substring(value, 1, at)").alias("prefix"), F.expr("substring(value, at + 1, 1)").alias("c"))
+        .agg(F.sum("n").alias("n"))
+        .groupBy("kind", "prefix")
+        .agg(F.collect_list(F.struct("c", "n")).alias("following"), F.sum("n").alias("n"))
+        .checkpoint()
+    )
+    step = F.floor(8 * F.log2("n"))
+    rows = prefixes.groupBy("kind", step.alias("step")).agg(F.min("n").alias("low"), F.sum(F.size("following")).alias("rows"))
+    least, total = {}, Counter()
+    for kind, _, low, n in sorted(rows.collect(), reverse=True):
+        total[kind] += n
+        if total[kind] <= most or kind not in least:
+            least[kind] = low
+    trees: dict[str, dict[str, dict[str, int]]] = {}
+    for kind, low in least.items():
+        wanted = prefixes.where((F.col("kind") == kind) & (F.col("n") >= low)).select("prefix", "following")
+        trees[kind] = {prefix: dict(map(tuple, following)) for prefix, following in wanted.collect()}
+    return trees
+
+
+def _recounted(strings: DataFrame, automata: dict[str, Automaton]) -> dict[str, Automaton]:
+    """The automata with the frequencies that all strings give."""
+    shared = share(strings.sparkSession, automata)
 
     def rows():
-        def handle(texts):
-            for text in texts:
-                found = _candidates(text)
-                spans = base_spans(text, found)
-                for start, kind, end in spans:
-                    value = ASSIGN.match(text, start).group(2) if kind == "assign" else text[start:end]
-                    yield kind, value
-                for _, word in outside(found, spans):
-                    yield "ordinary", word
+        automata = shared()
+
+        def handle(kinds, values, times):
+            passed = Counter()
+            for kind, value, n in zip(kinds, values, times):
+                for state, c in automata[kind].steps(value):
+                    passed[kind, state, c] += n
+            for (kind, state, c), n in passed.items():
+                yield kind, state, c, n
 
         return handle
 
     counted = (
-        arrow_map(sample, "kind string, value string", rows)
-        .where(F.length("value") <= LONGEST_STRING)
-        .groupBy("kind", "value")
-        .agg(F.count("*").alias("n"))
-        .checkpoint()
+        arrow_map(strings.select("kind", "value", "n"), "kind string, state int, c string, n bigint", rows)
+        .groupBy("kind", "state", "c")
+        .agg(F.sum("n").alias("n"))
     )
-    # at most ``strings`` rows of each kind, and ORDINARY_STRINGS
-    per_kind = [
-        counted.where(F.col("kind") == k)
-        .orderBy(F.xxhash64("value"), "value")
-        .limit(ORDINARY_STRINGS if k == "ordinary" else strings)
-        for k in (*KINDS, "ordinary")
-    ]
-    several = per_kind[0]
-    for one in per_kind[1:]:
-        several = several.unionByName(one)
-    by_kind: dict[str, Counter] = defaultdict(Counter)
-    for kind, value, n in several.collect():
-        by_kind[kind][value] += n
-    # a string counts once in an automaton, however many copies of its text there are
-    formats = {k: infer(Counter(set(by_kind[k]))) for k in KINDS if len(by_kind[k]) >= LEAST_STRINGS}
-    return Formats(formats, ordinary_automaton(by_kind["ordinary"]), by_kind["ordinary"])
+    counts = {kind: [{} for _ in a.moves] for kind, a in automata.items()}
+    for kind, state, c, n in counted.collect():
+        counts[kind][state][c] = n
+    return {kind: Automaton(a.moves, counts[kind]) for kind, a in automata.items()}
+
+
+def _least_lead(words: DataFrame, formats: Formats) -> float:
+    """The lead per character that a secret needs, from all occurrences of ordinary words.
+
+    A tenth beyond what nearly all of them reach, and at least e-fold per character;
+    an unknown secret among them occurs less often than words do.
+    """
+    shared = share(words.sparkSession, formats)
+
+    def rows():
+        formats = shared()
+
+        def handle(values, times):
+            leads = Counter()
+            for value, n in zip(values, times):
+                leads[math.ceil(formats.lead(value)[1] / len(value) * LEAD_STEPS)] += n
+            yield from leads.items()
+
+        return handle
+
+    leads = arrow_map(words.select("value", "n"), "lead bigint, n bigint", rows).groupBy("lead").agg(F.sum("n")).collect()
+    usual, below = 0, ORDINARY_SHARE * (sum(n for _, n in leads) - 1)
+    for usual, n in sorted(leads):
+        below -= n
+        if below < 0:
+            break
+    return max(1.0, 1.1 * usual / LEAD_STEPS)
+
+
+def learn_formats(docs: DataFrame, rows: int = TREE_ROWS) -> Formats:
+    """Fit the automata on the strings of all texts.
+
+    The driver merges trees of at most ``rows`` continuations each; all frequencies
+    and the least lead are counted over all strings, whatever their length.
+    A string counts once in the automaton of its kind, however many texts have it.
+    An ordinary word that occurs once may be an unknown secret and gives nothing
+    to its automaton, unless all do.
+    """
+    strings = _strings(docs).checkpoint()
+    once = F.count(F.when(F.col("n") == 1, 1))
+    found = {kind: (n, n - single) for kind, n, single in strings.groupBy("kind").agg(F.count("*"), once).collect()}
+    kinds = [k for k in KINDS if found.get(k, (0, 0))[0] >= LEAST_STRINGS]
+    if not kinds:
+        return Formats({}, infer(Counter({"": 1})))
+    words = strings.where(F.col("kind") == "ordinary")
+    fitted = strings.where(F.col("kind").isin(kinds)).withColumn("n", F.lit(1).cast("bigint"))
+    fitted = fitted.unionByName(words.where("n > 1") if found.get("ordinary", (0, 0))[1] else words)
+    automata = _recounted(fitted, {kind: merged(tree) for kind, tree in _trees(fitted, rows).items()})
+    ordinary = automata.pop("ordinary", None) or infer(Counter({"": 1}))
+    formats = {kind: automata[kind] for kind in kinds}
+    return Formats(formats, ordinary, _least_lead(words, Formats(formats, ordinary)))
 
 
 def scan(docs: DataFrame, formats: Formats | None = None, fit: bool = True) -> DataFrame:

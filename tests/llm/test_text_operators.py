@@ -181,6 +181,21 @@ def test_planted_credentials_outside_the_base_rules_are_found(spark):
     assert sum(out[i].n_learned for i in range(300)) == 0
 
 
+def test_formats_are_learned_from_all_strings(spark):
+    draw = random.Random(23)
+    hexes = lambda n: "".join(draw.choice("0123456789abcdef") for _ in range(n))
+    values = [hexes(16) for _ in range(2990)] + [hexes(300) for _ in range(10)]
+    rows = [(i, f"administration {value} responsibility") for i, value in enumerate(values)]
+    for most in (secret_scan.TREE_ROWS, 200):
+        # copies of a text count once
+        formats = secret_scan.learn_formats(docs_of(spark, rows + rows[:50]), most)
+        seen = formats.formats["hex"].counts
+        assert sum(c.get("", 0) for c in seen) == 3000
+        assert sum(sum(c.values()) for c in seen) == sum(len(v) + 1 for v in values)
+        assert sum(c.get("", 0) for c in formats.ordinary.counts) == 2 * 3000
+        assert formats.likeliest("ab01" * 5) and not formats.likeliest("administration")
+
+
 def test_candidates_outside_base_spans():
     draw = random.Random(20)
     for _ in range(2000):
