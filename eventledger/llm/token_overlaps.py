@@ -5,7 +5,9 @@ lists. Merging them gives everything: between two neighbouring ends exactly one
 token of either side lies, which is a link, and where both sides end a group ends.
 
 1. Texts are encoded by the tokenizers' own libraries; a text whose tokens do not
-   spell it out byte for byte has none.
+   spell it out byte for byte has none. Where no token of either side can reach over
+   a space, what lies between spaces is encoded once, many parts in a row, and the
+   tokens of what repeats are remembered.
 2. The merge of the ends is cut along diagonals: a binary search on each diagonal
    says how many ends of A and of B lie before it. The pieces between have the same
    number of ends each, whatever the lengths of texts and tokens, and are merged
@@ -18,7 +20,9 @@ token of either side lies, which is a link, and where both sides end a group end
 """
 
 import hashlib
+import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -28,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, Window, functions as F
+from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
 from eventledger.llm import byte_words
@@ -41,6 +46,13 @@ PIECE = 1 << 15
 SENT_PAIRS = 1 << 20
 # Characters encoded together.
 TOGETHER = 1 << 20
+# Parts of texts whose tokens are remembered at most, and the characters of each.
+REMEMBERED, LONGEST_PART = 1 << 17, 64
+# A part begins at a space that follows and precedes a sign, letter or digit.
+PARTS = re.compile(r" (?<=[!-~\w] )(?=[!-~\w])")
+JOINABLE = re.compile(r"[!-~\w](.*[!-~\w])?", re.DOTALL)
+# Parts encoded in a row.
+JOINED = 256
 
 STORED = (
     "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, "
@@ -52,10 +64,14 @@ STORED = (
 
 
 class Side(NamedTuple):
-    """``encode`` gives the ids of each of some texts; ``spelling`` the bytes of each id."""
+    """``encode`` gives the ids of each of some texts; ``spelling`` the bytes of each id.
+
+    ``in_parts`` says that the ids of a text are those of its PARTS, one after the other.
+    """
 
     encode: Callable[[list[str]], list[list[int]]]
     spelling: list[bytes]
+    in_parts: bool
 
 
 def byte_level(source: str) -> Side:
@@ -75,7 +91,17 @@ def byte_level(source: str) -> Side:
         found = library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
         return [e.ids for e in found]
 
-    return Side(encode, spelling)
+    # the pattern of such a tokenizer has a space at the beginning of a word only
+    rules = json.loads(source)
+    words = rules.get("pre_tokenizer") or {}
+    in_parts = (
+        rules.get("normalizer") is None
+        and words.get("type") == "ByteLevel"
+        and words.get("use_regex", True)
+        and not words.get("add_prefix_space")
+        and all(token["special"] for token in rules.get("added_tokens", []))
+    )
+    return Side(encode, spelling, in_parts)
 
 
 def pieces_with_bytes(model: bytes) -> Side:
@@ -87,7 +113,17 @@ def pieces_with_bytes(model: bytes) -> Side:
         else library.id_to_piece(i).replace("▁", " ").encode("utf-8")
         for i in range(library.get_piece_size())
     ]
-    return Side(lambda texts: library.encode(texts, num_threads=1), spelling)
+    rules = sentencepiece_model_pb2.ModelProto.FromString(model)
+    plain, form = rules.normalizer_spec, rules.trainer_spec
+    in_parts = (
+        form.model_type == form.BPE
+        and not form.treat_whitespace_as_suffix
+        and plain.add_dummy_prefix
+        and not plain.remove_extra_whitespaces
+        and not plain.precompiled_charsmap
+        and not any("▁" in piece.piece.lstrip("▁") or piece.type == piece.USER_DEFINED for piece in rules.pieces)
+    )
+    return Side(lambda texts: library.encode(texts, num_threads=1), spelling, in_parts)
 
 
 # --- merging
@@ -168,6 +204,24 @@ def _flat(ids: list[list[int]]) -> np.ndarray:
     return np.fromiter(chain.from_iterable(ids), np.int64, sum(map(len, ids)))
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.int32).tobytes()
+
+
+class _Lists:
+    """Packed lists of ids, one after the other; the chosen ones in a row."""
+
+    def __init__(self, ids: list[bytes]):
+        self.lengths = np.array([len(x) for x in ids], np.int64) // 4
+        self.flat = np.frombuffer(b"".join(ids), np.int32).astype(np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[which]
+        before = np.cumsum(lengths) - lengths
+        return self.flat[np.repeat(self.starts[which] - before, lengths) + np.arange(lengths.sum())]
+
+
 def _written(strings: pa.Array, which: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The chosen strings in a row, and where each begins, and the end."""
     if not len(which):
@@ -181,6 +235,8 @@ class Aligner:
 
     def __init__(self, a: Side, b: Side):
         self.a, self.b = a, b
+        self.in_parts = a.in_parts and b.in_parts
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
         self.lengths = [np.array([len(s) for s in side.spelling], np.int64) for side in (a, b)]
         self.spelling = [pa.array(side.spelling, pa.large_binary()) for side in (a, b)]
         n = max(len(a.spelling), len(b.spelling))
@@ -193,23 +249,79 @@ class Aligner:
         ends = places[np.cumsum([0, *map(len, ids)])].tolist()
         return [letters[start:end] == text for start, end, text in zip(ends, ends[1:], raw)]
 
-    def _tokens(self, texts: list[str | None]) -> list[list[list[int]]]:
-        some = [i for i, t in enumerate(texts) if t]
-        asked = [texts[i] for i in some]
-        raw = [b" " + t.encode("utf-8") for t in asked]
-        sides = [side.encode(asked) for side in (self.a, self.b)]
+    def _whole(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
+        """The ids of both sides; None for a text that those of a side do not spell."""
+        raw = [b" " + t.encode("utf-8") for t in texts]
+        sides = [side.encode(texts) for side in (self.a, self.b)]
         right = [x and y for x, y in zip(*(self._spelled(s, ids, raw) for s, ids in enumerate(sides)))]
-        tokens = [[[] for _ in texts] for _ in sides]
-        for side, ids in zip(tokens, sides):
-            for i, found, ok in zip(some, ids, right):
-                if ok:
-                    side[i] = found
-        return tokens
+        return [ids if ok else None for *ids, ok in zip(*sides, right)]
+
+    def _whole_packed(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        return [ids and (_packed(ids[0]), _packed(ids[1])) for ids in self._whole(texts)]
+
+    def _encoded(self, parts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """The same for parts: those that may follow each other are encoded in a row and cut where they end."""
+        if not self.in_parts:
+            return self._whole_packed(parts)
+        out: list[tuple[bytes, bytes] | None] = [None] * len(parts)
+        joinable = [bool(JOINABLE.fullmatch(p)) for p in parts]
+        left = [i for i, ok in enumerate(joinable) if not ok]
+        inside = [i for i, ok in enumerate(joinable) if ok]
+        rows = [inside[k : k + JOINED] for k in range(0, len(inside), JOINED)]
+        for row, found in zip(rows, self._whole([" ".join([parts[i] for i in row]) for row in rows])):
+            ends = np.cumsum([len(parts[i].encode("utf-8")) + 1 for i in row])
+            cut = found and [self._cut(side, ids, ends) for side, ids in enumerate(found)]
+            if not cut or None in cut:
+                left += row
+                continue
+            for i, ids in zip(row, zip(*cut)):
+                out[i] = ids
+        for i, ids in zip(left, self._whole_packed([parts[i] for i in left])):
+            out[i] = ids
+        return out
+
+    def _cut(self, side: int, ids: list[int], ends: np.ndarray) -> list[bytes] | None:
+        """The ids up to each of some ends in bytes, or None if one lies inside a token."""
+        numbers = np.array(ids, np.int32)
+        reached = np.cumsum(self.lengths[side][numbers])
+        at = np.searchsorted(reached, ends)
+        if (reached[at] != ends).any():
+            return None
+        packed, cuts = numbers.tobytes(), [0, *(4 * (at + 1)).tolist()]
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _tokens(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of both sides how many ids each text has, and the ids of all."""
+        cut = PARTS.split if self.in_parts else lambda text: [text]
+        parts = [cut(t) if t else [] for t in texts]
+        number = {part: i for i, part in enumerate(dict.fromkeys(chain.from_iterable(parts)))}
+        new = [part for part in number if part not in self.known]
+        found = dict(zip(new, self._encoded(new)))
+        ids = [self.known[part] if part in self.known else found[part] for part in number]
+        # where a part is not spelled, the whole text decides
+        wrong = {i for i, x in enumerate(ids) if x is None}
+        which = [[number[part] for part in own] for own in parts]
+        again = [i for i, own in enumerate(which) if wrong and not wrong.isdisjoint(own)]
+        for i, whole in zip(again, self._whole_packed([texts[i] for i in again])):
+            which[i] = [] if whole is None else [len(ids)]
+            ids.append(whole)
+        chosen = _flat(which)
+        times = np.bincount(chosen, minlength=len(ids)).tolist()
+        repeated = [p for p in new if times[number[p]] > 1 and len(p) <= LONGEST_PART][:REMEMBERED]
+        if len(self.known) + len(repeated) > REMEMBERED:
+            self.known.clear()
+        self.known.update((p, found[p]) for p in repeated)
+        of_text = np.repeat(np.arange(len(texts)), [len(own) for own in which])
+        sides = []
+        for side in range(2):
+            lists = _Lists([x[side] if x is not None else b"" for x in ids])
+            counts = np.zeros(len(texts), np.int64)
+            np.add.at(counts, of_text, lists.lengths[chosen])
+            sides.append((counts, lists.of(chosen)))
+        return sides
 
     def align(self, texts: list[str | None]) -> Aligned:
-        tokens = self._tokens(texts)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in tokens)
-        a, b = map(_flat, tokens)
+        (n_a, a), (n_b, b) = self._tokens(texts)
         # a text has the same length on both sides, so the ends of all texts are one merge
         merged = merge_ends(np.cumsum(self.lengths[0][a]), np.cumsum(self.lengths[1][b]))
         doc_a, doc_b = (np.repeat(np.arange(len(texts)), n) for n in (n_a, n_b))

@@ -242,6 +242,24 @@ def plain_overlaps(sides, rows):
     )
 
 
+def test_texts_are_encoded_in_parts(sides):
+    draw = random.Random(31)
+    bits = ["a", "the", " ", "  ", "\n", "\t ", "'s", "é", "日", "1", "<|endoftext|>", "\x1c", "\x85", "!", "🙂", "▁", "\u3000", "\u0301", " word next "]
+    texts = ["".join(draw.choice(bits) * draw.randint(1, 3) for _ in range(draw.randint(0, 25))) for _ in range(3000)] + [None]
+    given = []
+
+    def counting(side):
+        return side._replace(encode=lambda some: given.extend(some) or side.encode(some))
+
+    parted, whole = token_overlaps.Aligner(*sides), token_overlaps.Aligner(*(s._replace(in_parts=False) for s in sides))
+    for some in (texts, texts[::2]):
+        for one, other in zip(parted.align(some), whole.align(some)):
+            assert np.array_equal(one, other)
+    repeats = [" ".join(draw.choice(["some", "words,", "that", "repeat"]) for _ in range(500)) for _ in range(20)]
+    token_overlaps.Aligner(*map(counting, sides)).align(repeats)
+    assert sum(map(len, given)) < 200
+
+
 def test_merge_path_cuts_anywhere():
     draw = random.Random(5)
     for size in (1, 2, 3, 7, 1000):
